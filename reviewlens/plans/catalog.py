@@ -41,3 +41,126 @@ SELECT class, CAST(rank AS INTEGER) AS rank, token, count FROM k WHERE rank <= 1
 @register("top_tokens", _TOP_TOKENS_BY_LABEL_SQL)
 def q_top_tokens(spark, sf_dir):
     return summary.top_tokens(reviews(spark, sf_dir), "score", n=10)
+
+
+# ------------------------------------------------------- schema and input checks
+from ..functions import text as T  # noqa: E402
+from ..operators import columns  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+from .corpus import labelled_reviews  # noqa: E402
+
+
+@register("row_count", "SELECT count(*) AS n_rows FROM documents")
+def q_row_count(spark, sf_dir):
+    return columns.row_count(reviews(spark, sf_dir))
+
+
+@register("standardize", f"SELECT doc_id, {S.std_text()} AS text, "
+                         "CAST(lang = 'en' AS INTEGER) AS score FROM documents")
+def q_standardize(spark, sf_dir):
+    return reviews(spark, sf_dir).select("doc_id", "text", "score")
+
+
+@register("preview", f"SELECT doc_id, {S.std_text()} AS text, CAST(lang = 'en' AS INTEGER) AS score "
+                     "FROM documents ORDER BY doc_id LIMIT 5")
+def q_preview(spark, sf_dir):
+    return columns.preview(reviews(spark, sf_dir).select("doc_id", "text", "score"))
+
+
+@register("input_quality", f"""
+WITH r AS (SELECT {S.std_text('d.text')} AS text, l.quality AS score
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT count(*) AS n_rows,
+       count_if(text IS NULL) AS null_text,
+       count_if(text IS NOT NULL AND length(trim(text)) = 0) AS blank_text,
+       count_if(score IS NULL) AS null_label,
+       count_if(score IS NOT NULL AND score NOT IN (0, 1)) AS bad_label,
+       count_if(score = 1) AS n_positive,
+       count_if(score = 0) AS n_negative
+FROM r""")
+def q_input_quality(spark, sf_dir):
+    return columns.input_quality(labelled_reviews(spark, sf_dir, "quality"))
+
+
+@register("nonblank", "SELECT conv_id, turn, role FROM conversations "
+                      "WHERE length(trim(coalesce(text, ''))) > 0")
+def q_nonblank(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return columns.nonblank(conv).select("conv_id", "turn", "role")
+
+
+# ------------------------------------------------------------- text functions
+def _doc_text(spark, sf_dir):
+    return reviews(spark, sf_dir).select("doc_id", "text")
+
+
+@register("text_lower", f"SELECT doc_id, {S.text_lower(S.std_text())} AS out FROM documents")
+def q_text_lower(spark, sf_dir):
+    return _doc_text(spark, sf_dir).select("doc_id", T.text_lower("text").alias("out"))
+
+
+@register("strip_urls", f"SELECT page_id, {S.strip_urls('lower(html)')} AS out FROM pages")
+def q_strip_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", T.strip_urls(F.lower("html")).alias("out"))
+
+
+@register("strip_mentions", f"SELECT doc_id, {S.strip_mentions(S.text_lower(S.std_text()))} AS out "
+                            "FROM documents")
+def q_strip_mentions(spark, sf_dir):
+    return _doc_text(spark, sf_dir).select(
+        "doc_id", T.strip_mentions(T.text_lower("text")).alias("out"))
+
+
+@register("letters_only", f"SELECT doc_id, {S.letters_only(S.text_lower(S.std_text()))} AS out "
+                          "FROM documents")
+def q_letters_only(spark, sf_dir):
+    return _doc_text(spark, sf_dir).select(
+        "doc_id", T.letters_only(T.text_lower("text")).alias("out"))
+
+
+@register("clean_ml", f"SELECT doc_id, {S.clean_ml(S.std_text())} AS clean FROM documents "
+                      f"UNION ALL SELECT -1 - page_id AS doc_id, {S.clean_ml('html')} AS clean FROM pages")
+def q_clean_ml(spark, sf_dir):
+    docs = _doc_text(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"),
+                                                 F.col("html").alias("text"))
+    return docs.unionByName(pages).select("doc_id", T.clean_ml("text").alias("clean"))
+
+
+@register("clean_light", f"SELECT doc_id, {S.clean_light(S.std_text())} AS clean FROM documents "
+                         f"UNION ALL SELECT -1 - page_id AS doc_id, {S.clean_light('html')} AS clean "
+                         "FROM pages")
+def q_clean_light(spark, sf_dir):
+    docs = _doc_text(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"),
+                                                 F.col("html").alias("text"))
+    return docs.unionByName(pages).select("doc_id", T.clean_light("text").alias("clean"))
+
+
+@register("tokens", f"""
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {S.raw_tokens(S.std_text())} AS t FROM documents)""")
+def q_tokens(spark, sf_dir):
+    t = _doc_text(spark, sf_dir).select("doc_id", T.raw_tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"),
+                    F.array_join("t", " ").alias("tokens"))
+
+
+@register("label_text", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'Positif' ELSE 'Negatif' END "
+                        "AS label_text FROM documents")
+def q_label_text(spark, sf_dir):
+    return reviews(spark, sf_dir).select("doc_id", T.label_text("score").alias("label_text"))
+
+
+@register("vocabulary", f"SELECT DISTINCT unnest({S.raw_tokens(S.std_text())}) AS token FROM documents")
+def q_vocabulary(spark, sf_dir):
+    return summary.vocabulary(reviews(spark, sf_dir))
+
+
+@register("token_counts", f"""
+SELECT label AS class, token, count(*) AS count
+FROM (SELECT label, unnest({S.raw_tokens('text')}) AS token FROM ({S.REVIEWS}))
+GROUP BY label, token""")
+def q_token_counts(spark, sf_dir):
+    return summary.token_counts(reviews(spark, sf_dir), "score")
