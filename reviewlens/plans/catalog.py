@@ -164,3 +164,130 @@ FROM (SELECT label, unnest({S.raw_tokens('text')}) AS token FROM ({S.REVIEWS}))
 GROUP BY label, token""")
 def q_token_counts(spark, sf_dir):
     return summary.token_counts(reviews(spark, sf_dir), "score")
+
+
+# ------------------------------------------------- TF-IDF + Naive Bayes family
+from ..operators import ensemble, evaluate  # noqa: E402
+from ..operators import tfidf as tfidf_ops  # noqa: E402
+from .models import nb_context, round6, scored_reviews  # noqa: E402
+from .sql_models import with_nb  # noqa: E402
+
+
+@register("split", "SELECT is_train, score, count(*) AS n_rows FROM "
+                   f"(SELECT {S.is_train()} AS is_train, CAST(lang = 'en' AS INTEGER) AS score "
+                   "FROM documents) GROUP BY is_train, score")
+def q_split(spark, sf_dir):
+    from .corpus import with_split
+    return (with_split(reviews(spark, sf_dir)).groupBy("is_train", "score")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("fit_tfidf", with_nb("SELECT term, df, round(idf, 6) AS idf FROM idf"))
+def q_fit_tfidf(spark, sf_dir):
+    ctx = nb_context(spark, sf_dir)
+    return ctx.vocab.table.select("term", "df", round6("idf"))
+
+
+@register("tfidf", with_nb("""
+, aw AS (SELECT tf.doc_id, tf.term, tf.tf * i.idf AS w FROM tf JOIN idf i USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM aw"""
+                           .replace("\n, aw", ", aw", 1)))
+def q_tfidf(spark, sf_dir):
+    ctx = nb_context(spark, sf_dir)
+    x = tfidf_ops.tfidf(ctx.tf_all, ctx.vocab)
+    return x.select("doc_id", "term", round6("x"))
+
+
+@register("fit_nb", with_nb("SELECT term, round(lp0, 6) AS lp0, round(lp1, 6) AS lp1 FROM model"))
+def q_fit_nb(spark, sf_dir):
+    ctx = nb_context(spark, sf_dir)
+    return ctx.model.table.select("term", round6("lp0"), round6("lp1"))
+
+
+@register("score_nb", with_nb("SELECT doc_id, pred_nb, round(prob_nb, 6) AS prob_nb FROM scored"))
+def q_score_nb(spark, sf_dir):
+    return nb_context(spark, sf_dir).scored.select("doc_id", "pred_nb", round6("prob_nb"))
+
+
+@register("class_distribution", with_nb("""
+SELECT pred_nb AS class, count(*) AS count,
+       round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent
+FROM scored GROUP BY pred_nb"""))
+def q_class_distribution(spark, sf_dir):
+    return summary.class_distribution(nb_context(spark, sf_dir).scored, "pred_nb")
+
+
+@register("class_filter", with_nb("SELECT doc_id FROM scored WHERE pred_nb = 1"))
+def q_class_filter(spark, sf_dir):
+    return columns.class_filter(nb_context(spark, sf_dir).scored, "pred_nb", 1).select("doc_id")
+
+
+@register("confidence_pct", with_nb("""
+SELECT doc_id, round(least(greatest(prob_nb, 0.0), 1.0), 6) AS confidence,
+       CAST(round_even(prob_nb * 100, 0) AS INTEGER) AS percent,
+       CASE WHEN pred_nb = 1 THEN 'Positif' ELSE 'Negatif' END AS label_text
+FROM scored"""))
+def q_confidence_pct(spark, sf_dir):
+    s = nb_context(spark, sf_dir).scored
+    return s.select("doc_id", F.round(T.clamp01("prob_nb"), 6).alias("confidence"),
+                    T.confidence_pct("prob_nb").alias("percent"),
+                    T.label_text("pred_nb").alias("label_text"))
+
+
+@register("top_tokens_nb", with_nb(f"""
+, t AS (SELECT s.pred_nb AS class, unnest({S.raw_tokens('r.text')}) AS token
+        FROM r JOIN scored s USING (doc_id)),
+c AS (SELECT class, token, count(*) AS count FROM t GROUP BY class, token),
+k AS (SELECT class, row_number() OVER (PARTITION BY class ORDER BY count DESC, token) AS rank,
+             token, count FROM c)
+SELECT class, CAST(rank AS INTEGER) AS rank, token, count FROM k WHERE rank <= 10"""
+                                   .replace("\n, t AS", ", t AS", 1)))
+def q_top_tokens_nb(spark, sf_dir):
+    return summary.top_tokens(scored_reviews(spark, sf_dir), "pred_nb", n=10)
+
+
+_BEST_THR_SQL = """
+, v AS (SELECT score, prob_nb FROM scored WHERE NOT is_train),
+grid AS (SELECT CAST(k AS DOUBLE) / 100.0 AS threshold FROM range(1, 100) g(k)),
+c AS (SELECT g.threshold,
+             count_if(v.score = 1 AND v.prob_nb >= g.threshold) AS tp,
+             count_if(v.score = 0 AND v.prob_nb >= g.threshold) AS fp,
+             count_if(v.score = 1 AND v.prob_nb < g.threshold) AS fn
+      FROM grid g, v GROUP BY g.threshold),
+f AS (SELECT threshold, CASE WHEN 2 * tp + fp + fn > 0
+                             THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM c),
+best AS (SELECT threshold, f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1)"""
+
+
+def _nb_best_threshold(spark, sf_dir):
+    s = nb_context(spark, sf_dir).scored
+    return evaluate.best_threshold(s.where(~F.col("is_train")), "score", "prob_nb")
+
+
+@register("best_threshold", with_nb(_BEST_THR_SQL.replace("\n, v AS", ", v AS", 1)
+                                    + "\nSELECT threshold, round(f1, 6) AS f1 FROM best"))
+def q_best_threshold(spark, sf_dir):
+    return _nb_best_threshold(spark, sf_dir).select("threshold", round6("f1"))
+
+
+@register("apply_threshold", with_nb(_BEST_THR_SQL.replace("\n, v AS", ", v AS", 1) + """
+SELECT doc_id, CAST(prob_nb >= threshold AS INTEGER) AS pred_thr FROM scored, best"""))
+def q_apply_threshold(spark, sf_dir):
+    thr = _nb_best_threshold(spark, sf_dir).first()["threshold"]
+    s = nb_context(spark, sf_dir).scored
+    return s.select("doc_id", ensemble.apply_threshold("prob_nb", thr).alias("pred_thr"))
+
+
+@register("evaluate", with_nb("""
+, c AS (SELECT count_if(score = 1 AND pred_nb = 1) AS tp, count_if(score = 0 AND pred_nb = 1) AS fp,
+               count_if(score = 1 AND pred_nb = 0) AS fn, count_if(score = 0 AND pred_nb = 0) AS tn
+        FROM scored WHERE NOT is_train AND score IS NOT NULL)
+SELECT 'nb' AS model, tp, fp, fn, tn,
+       round(CASE WHEN tp + fp + fn + tn > 0 THEN CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) ELSE 0.0 END, 4) AS accuracy,
+       round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END, 4) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END, 4) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1
+FROM c""".replace("\n, c AS", ", c AS", 1)))
+def q_evaluate(spark, sf_dir):
+    s = nb_context(spark, sf_dir).scored.where(~F.col("is_train"))
+    return evaluate.evaluate(s, "score", {"nb": "pred_nb"})
