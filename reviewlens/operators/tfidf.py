@@ -55,10 +55,12 @@ def fit_tfidf(train_tf: DataFrame, n_docs: int, min_df: int = 1,
 
 
 def weights(tf: DataFrame, model: TfidfModel, key: str = "doc_id",
-            keep: list[str] | tuple = ()) -> DataFrame:
-    """Unnormalised weights ``w = tf * idf`` for vocabulary terms."""
+            keep: list[str] | tuple = (), how: str = "inner") -> DataFrame:
+    """Unnormalised weights ``w = tf * idf`` for vocabulary terms.
+
+    ``how='left'`` keeps documents without any vocabulary term (null ``w``)."""
     vocab = bounded_broadcast(model.table.select("term", "idf"), model.n_terms)
-    return (tf.join(vocab, "term", "inner")
+    return (tf.join(vocab, "term", how)
             .select(key, *keep, "term", (F.col("tf") * F.col("idf")).alias("w")))
 
 
@@ -69,9 +71,9 @@ def l2_normalize(w: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def tfidf(tf: DataFrame, model: TfidfModel, key: str = "doc_id",
-          keep: list[str] | tuple = ()) -> DataFrame:
+          keep: list[str] | tuple = (), how: str = "inner") -> DataFrame:
     """Sparse TF-IDF rows as ``(key, *keep, term, x)`` with unit L2 norm."""
-    return l2_normalize(weights(tf, model, key, keep), key).drop("w")
+    return l2_normalize(weights(tf, model, key, keep, how), key).drop("w")
 
 
 def inv_norm(sum_sq: Column) -> Column:

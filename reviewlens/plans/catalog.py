@@ -291,3 +291,32 @@ FROM c""".replace("\n, c AS", ", c AS", 1)))
 def q_evaluate(spark, sf_dir):
     s = nb_context(spark, sf_dir).scored.where(~F.col("is_train"))
     return evaluate.evaluate(s, "score", {"nb": "pred_nb"})
+
+
+# ------------------------------------------------- SVD + boosted trees family
+from .models import trees_context  # noqa: E402
+
+
+@register("fit_svd")
+def q_fit_svd(spark, sf_dir):
+    ctx = trees_context(spark, sf_dir)
+    sv = [(i, float(s)) for i, s in enumerate(ctx.svd.singular_values)]
+    return spark.createDataFrame(sv, "component int, singular_value double")
+
+
+@register("svd_project")
+def q_svd_project(spark, sf_dir):
+    return trees_context(spark, sf_dir).feats.select("doc_id", "svd")
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    m = trees_context(spark, sf_dir).gbt
+    rows = [(i, float(w), int(t.numNodes), int(t.depth))
+            for i, (w, t) in enumerate(zip(m.treeWeights, m.trees))]
+    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
+
+
+@register("score_gbt")
+def q_score_gbt(spark, sf_dir):
+    return trees_context(spark, sf_dir).scored.select("doc_id", "pred_gbt", "prob_gbt")

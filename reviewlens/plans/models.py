@@ -68,3 +68,33 @@ def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round6(c: str):
     return F.round(F.col(c), 6).alias(c)
+
+
+@dataclass
+class TreesContext:
+    rows: DataFrame           # doc_id, score, is_train, idx, val (sparse TF-IDF)
+    svd: object
+    feats: DataFrame          # doc_id, score, is_train, svd
+    gbt: object
+    scored: DataFrame         # doc_id, score, is_train, pred_gbt, prob_gbt
+
+
+def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42) -> TreesContext:
+    from ..operators import svd as svd_ops
+    from ..operators import trees
+    key = _key(spark, sf_dir, f"trees{k}-{seed}")
+    if key in _CACHE:
+        return _CACHE[key]
+    ctx = nb_context(spark, sf_dir)
+    keep = ["score", "is_train"]
+    x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
+    v = ctx.vocab.n_terms
+    index = write_table(svd_ops.index_terms(ctx.vocab.table), "term-index")
+    rows = write_table(svd_ops.sparse_rows(x_all, index, v, keep=keep), "sparse-rows")
+    model = svd_ops.fit_svd(rows.where("is_train"), index, v, k=k, seed=seed)
+    feats = write_table(svd_ops.svd_project(rows, model, keep=keep), "svd-features")
+    gbt = trees.fit_gbt(feats.where("is_train"), seed=seed)
+    scored = trees.score_gbt(feats, gbt, keep=keep)
+    out = TreesContext(rows, model, feats, gbt, scored)
+    _CACHE[key] = out
+    return out
