@@ -320,3 +320,86 @@ def q_fit_gbt(spark, sf_dir):
 @register("score_gbt")
 def q_score_gbt(spark, sf_dir):
     return trees_context(spark, sf_dir).scored.select("doc_id", "pred_gbt", "prob_gbt")
+
+
+# ----------------------------------------------------- sequence model family
+from .models import sequence_context  # noqa: E402
+
+NUM_WORDS, MAXLEN = 20000, 150
+
+_WORD_INDEX_CTES = f"""
+r AS (SELECT doc_id, {S.clean_light(S.std_text())} AS cl, {S.is_train()} AS is_train FROM documents),
+w AS (SELECT unnest(string_split(cl, ' ')) AS word FROM r WHERE is_train),
+c AS (SELECT word, count(*) AS count FROM w WHERE length(word) > 0 GROUP BY word),
+t AS (SELECT word, count FROM c ORDER BY count DESC, word LIMIT {NUM_WORDS - 2}),
+idx AS (SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) + 1 AS INTEGER) AS id
+        FROM t)"""
+
+
+@register("fit_word_index", f"WITH {_WORD_INDEX_CTES}\nSELECT word, count, id FROM idx")
+def q_fit_word_index(spark, sf_dir):
+    return sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).index.table.select("word", "count", "id")
+
+
+@register("encode_sequence", f"""WITH {_WORD_INDEX_CTES},
+ws AS (SELECT doc_id, string_split(cl, ' ') AS ws FROM r),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM ws),
+j AS (SELECT p.doc_id, p.pos, coalesce(idx.id, 1) AS id FROM p LEFT JOIN idx USING (word)
+      WHERE length(p.word) > 0),
+g AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM j GROUP BY doc_id)
+SELECT ws.doc_id, array_to_string(list_resize(coalesce(g.ids, []), {MAXLEN}, 0), ' ') AS ids
+FROM ws LEFT JOIN g USING (doc_id)""")
+def q_encode_sequence(spark, sf_dir):
+    s = sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).seqs
+    return s.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@register("fit_gru")
+def q_fit_gru(spark, sf_dir):
+    from ..operators.gru import PARAM_NAMES
+    m = sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).model
+    rows = [(k, list(m.params[k].shape), float((m.params[k] ** 2).sum() ** 0.5))
+            for k in PARAM_NAMES]
+    rows.append(("threshold", [], float(m.threshold)))
+    return spark.createDataFrame(rows, "param string, shape array<int>, norm double")
+
+
+@register("score_gru")
+def q_score_gru(spark, sf_dir):
+    return sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).scored.select(
+        "doc_id", "pred_gru", "prob_gru")
+
+
+# --------------------------------------------------- all three models together
+def _all_scores(spark, sf_dir):
+    from .models import all_scores
+    return all_scores(spark, sf_dir)
+
+
+@register("score_all")
+def q_score_all(spark, sf_dir):
+    return _all_scores(spark, sf_dir)
+
+
+@register("vote")
+def q_vote(spark, sf_dir):
+    return _all_scores(spark, sf_dir).select("doc_id", "pred_vote")
+
+
+@register("class_distribution_vote")
+def q_class_distribution_vote(spark, sf_dir):
+    return summary.class_distribution(_all_scores(spark, sf_dir), "pred_vote")
+
+
+@register("top_tokens_vote")
+def q_top_tokens_vote(spark, sf_dir):
+    s = _all_scores(spark, sf_dir).select("doc_id", "pred_vote")
+    text = reviews(spark, sf_dir).select("doc_id", "text")
+    return summary.top_tokens(text.join(s, "doc_id"), "pred_vote", n=10)
+
+
+@register("evaluate_all")
+def q_evaluate_all(spark, sf_dir):
+    s = _all_scores(spark, sf_dir).where(~F.col("is_train"))
+    return evaluate.evaluate(s, "score", {"nb": "pred_nb", "gbt": "pred_gbt", "gru": "pred_gru",
+                                          "vote": "pred_vote"})

@@ -98,3 +98,57 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     out = TreesContext(rows, model, feats, gbt, scored)
     _CACHE[key] = out
     return out
+
+
+@dataclass
+class SequenceContext:
+    index: object             # WordIndex
+    seqs: DataFrame           # doc_id, score, is_train, ids
+    model: object             # GRUModel (threshold fitted on validation rows)
+    scored: DataFrame         # doc_id, score, is_train, pred_gru, prob_gru
+
+
+def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, maxlen: int = 150,
+                     epochs: int = 6, seed: int = 42) -> SequenceContext:
+    from ..operators import evaluate as ev
+    from ..operators import gru
+    from ..operators import sequence as seq
+    key = _key(spark, sf_dir, f"seq{num_words}-{maxlen}-{epochs}-{seed}")
+    if key in _CACHE:
+        return _CACHE[key]
+    docs = nb_context(spark, sf_dir).docs
+    keep = ["score", "is_train"]
+    index = seq.fit_word_index(docs.where("is_train"), num_words=num_words)
+    seqs = write_table(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep), "sequences")
+    model = gru.fit_gru(seqs.where("is_train"), num_words, maxlen, epochs=epochs, seed=seed)
+    probs = write_table(gru.predict_proba(seqs, model, keep=keep), "gru-probs")
+    best = ev.best_threshold(probs.where(~F.col("is_train")), "score", "prob_gru").first()
+    model.threshold = float(best["threshold"]) if best is not None else 0.5
+    scored = probs.select("doc_id", *keep,
+                          (F.col("prob_gru") >= F.lit(model.threshold)).cast("int").alias("pred_gru"),
+                          "prob_gru")
+    out = SequenceContext(index, seqs, model, scored)
+    _CACHE[key] = out
+    return out
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the six model columns and the 2-of-3 vote.
+
+    The three per-model tables are each keyed by ``doc_id`` and joined; each
+    side is one narrow row per document.
+    """
+    from ..operators.ensemble import guard_scores, vote
+    key = _key(spark, sf_dir, "all")
+    if key in _CACHE:
+        return _CACHE[key]
+    nbs = nb_context(spark, sf_dir).scored
+    gbt = trees_context(spark, sf_dir).scored.select("doc_id", "pred_gbt", "prob_gbt")
+    gru = sequence_context(spark, sf_dir).scored.select("doc_id", "pred_gru", "prob_gru")
+    df = nbs.join(gbt, "doc_id", "left").join(gru, "doc_id", "left")
+    for m in ("nb", "gbt", "gru"):
+        df = guard_scores(df, m)
+    df = df.withColumn("pred_vote", vote(F.col("pred_nb"), F.col("pred_gbt"), F.col("pred_gru")))
+    df = write_table(df, "scores")
+    _CACHE[key] = df
+    return df
