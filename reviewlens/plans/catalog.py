@@ -403,3 +403,37 @@ def q_evaluate_all(spark, sf_dir):
     s = _all_scores(spark, sf_dir).where(~F.col("is_train"))
     return evaluate.evaluate(s, "score", {"nb": "pred_nb", "gbt": "pred_gbt", "gru": "pred_gru",
                                           "vote": "pred_vote"})
+
+
+# ------------------------------------------------------ stream and timing tables
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    """The documents table replayed as a file stream and scored per micro-batch."""
+    import os
+    from ..session import scratch_path
+    from ..streaming.score_stream import review_stream, score_stream
+    from .models import model_bundle
+    models = model_bundle(spark, sf_dir)
+    src = os.path.join(sf_dir, "documents.parquet")
+    schema = spark.read.parquet(src).schema
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = score_stream(review_stream(spark, sf_dir, schema, glob="documents.parquet"), models, out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "pred_nb", "prob_nb", "pred_gbt", "prob_gbt",
+                                          "pred_gru", "prob_gru", "pred_vote")
+
+
+@register("timings")
+def q_timings(spark, sf_dir):
+    """Training seconds (recorded by the fits) and inference seconds (a full
+    scoring pass into the no-op sink) per model."""
+    import time
+    from .models import sequence_context
+    fits = {"nb": nb_context(spark, sf_dir), "gbt": trees_context(spark, sf_dir),
+            "gru": sequence_context(spark, sf_dir)}
+    rows = []
+    for name, ctx in fits.items():
+        t0 = time.time()
+        ctx.scored.write.format("noop").mode("overwrite").save()
+        rows.append((name, float(ctx.extra["fit_s"]), time.time() - t0))
+    return spark.createDataFrame(rows, "model string, training_s double, inference_s double")

@@ -8,6 +8,7 @@ run of many queries fits each model once.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,7 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     k = _key(spark, sf_dir, f"nb{alpha}")
     if k in _CACHE:
         return _CACHE[k]
+    t0 = time.time()
     docs = prepared_docs(reviews(spark, sf_dir))
     keep = ["score", "is_train"]
     tf_all = tf.term_frequencies(docs, "clean", keep=keep)
@@ -54,7 +56,7 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     vocab = tf.fit_tfidf(train_tf, sum(counts.values()))
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
     scored = nb.score_nb(tf_all, model, keep=keep)
-    ctx = NBContext(docs, tf_all, vocab, model, scored)
+    ctx = NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})
     _CACHE[k] = ctx
     return ctx
 
@@ -72,11 +74,13 @@ def round6(c: str):
 
 @dataclass
 class TreesContext:
+    index: DataFrame          # term, idx
     rows: DataFrame           # doc_id, score, is_train, idx, val (sparse TF-IDF)
     svd: object
     feats: DataFrame          # doc_id, score, is_train, svd
     gbt: object
     scored: DataFrame         # doc_id, score, is_train, pred_gbt, prob_gbt
+    extra: dict = field(default_factory=dict)
 
 
 def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42) -> TreesContext:
@@ -86,6 +90,7 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     if key in _CACHE:
         return _CACHE[key]
     ctx = nb_context(spark, sf_dir)
+    t0 = time.time()
     keep = ["score", "is_train"]
     x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
     v = ctx.vocab.n_terms
@@ -95,7 +100,7 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     feats = write_table(svd_ops.svd_project(rows, model, keep=keep), "svd-features")
     gbt = trees.fit_gbt(feats.where("is_train"), seed=seed)
     scored = trees.score_gbt(feats, gbt, keep=keep)
-    out = TreesContext(rows, model, feats, gbt, scored)
+    out = TreesContext(index, rows, model, feats, gbt, scored, {"fit_s": time.time() - t0})
     _CACHE[key] = out
     return out
 
@@ -106,6 +111,7 @@ class SequenceContext:
     seqs: DataFrame           # doc_id, score, is_train, ids
     model: object             # GRUModel (threshold fitted on validation rows)
     scored: DataFrame         # doc_id, score, is_train, pred_gru, prob_gru
+    extra: dict = field(default_factory=dict)
 
 
 def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, maxlen: int = 150,
@@ -117,6 +123,7 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, m
     if key in _CACHE:
         return _CACHE[key]
     docs = nb_context(spark, sf_dir).docs
+    t0 = time.time()
     keep = ["score", "is_train"]
     index = seq.fit_word_index(docs.where("is_train"), num_words=num_words)
     seqs = write_table(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep), "sequences")
@@ -127,7 +134,7 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, m
     scored = probs.select("doc_id", *keep,
                           (F.col("prob_gru") >= F.lit(model.threshold)).cast("int").alias("pred_gru"),
                           "prob_gru")
-    out = SequenceContext(index, seqs, model, scored)
+    out = SequenceContext(index, seqs, model, scored, {"fit_s": time.time() - t0})
     _CACHE[key] = out
     return out
 
@@ -152,3 +159,12 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = write_table(df, "scores")
     _CACHE[key] = df
     return df
+
+
+def model_bundle(spark: SparkSession, sf_dir: str):
+    """Every fitted artifact, for scoring new review tables or streams."""
+    from ..operators.scoring import ModelBundle
+    nbc = nb_context(spark, sf_dir)
+    trc = trees_context(spark, sf_dir)
+    sqc = sequence_context(spark, sf_dir)
+    return ModelBundle(nbc.vocab, nbc.model, trc.index, trc.svd, trc.gbt, sqc.index, sqc.model)
