@@ -88,8 +88,13 @@ def rows_t_times(idx, val, ptr, y: np.ndarray, n_terms: int) -> np.ndarray:
                      for j in range(y.shape[1])], axis=1)
 
 
-def gram_times(rows: DataFrame, m: np.ndarray, depth: int = 2) -> np.ndarray:
-    """``X^T X m`` over all documents of ``rows`` (distributed)."""
+def gram_times(rows: DataFrame, m: np.ndarray, block: int = 4096) -> np.ndarray:
+    """``X^T X m`` over all documents of ``rows`` (distributed).
+
+    Each task emits its partial result in blocks of ``block`` terms; blocks
+    are summed by key across tasks (a shuffle, spread over executors), and
+    only the V x l total reaches the driver.
+    """
     sc = rows.sparkSession.sparkContext
     bm = sc.broadcast(m)
     v, l = m.shape
@@ -97,17 +102,27 @@ def gram_times(rows: DataFrame, m: np.ndarray, depth: int = 2) -> np.ndarray:
     def partial(batches):
         mv = bm.value
         z = np.zeros_like(mv)
+        seen = False
         for pdf in batches:
             idx, val, ptr = _flatten(pdf)
             if not len(idx):
                 continue
+            seen = True
             z += rows_t_times(idx, val, ptr, rows_times(idx, val, ptr, mv), v)
-        yield pd.DataFrame({"z": [z.tobytes()]})
-
-    parts = rows.select("idx", "val").mapInPandas(partial, "z binary")
-    total = (parts.rdd.map(lambda r: np.frombuffer(r.z, dtype=np.float64).reshape(v, l))
-             .treeReduce(np.add, depth=depth))
+        if not seen:
+            return
+        starts = range(0, v, block)
+        yield pd.DataFrame({"b": list(starts),
+                            "z": [z[s:s + block].tobytes() for s in starts]})
+
+    parts = rows.select("idx", "val").mapInPandas(partial, "b int, z binary")
+    summed = (parts.rdd.map(lambda r: (r.b, np.frombuffer(r.z, dtype=np.float64)))
+              .reduceByKey(np.add).collect())
     bm.destroy()
+    total = np.zeros((v, l))
+    for start, flat in summed:
+        blk = flat.reshape(-1, l)
+        total[start:start + len(blk)] = blk
     return total
 
 

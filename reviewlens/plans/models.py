@@ -43,6 +43,12 @@ def prepared_docs(df: DataFrame) -> DataFrame:
         clean_ml("text").alias("clean"), clean_light("text").alias("clean_light"))
 
 
+# Vocabulary size of the shared TF-IDF (the vectoriser's ``max_features``): the
+# reference's fitted artifacts imply about 42.6k terms; the SVD basis and the
+# broadcast model tables are bounded by it.
+MAX_FEATURES = 50_000
+
+
 def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContext:
     k = _key(spark, sf_dir, f"nb{alpha}")
     if k in _CACHE:
@@ -53,7 +59,7 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     tf_all = tf.term_frequencies(docs, "clean", keep=keep)
     train_tf = write_table(tf_all.where("is_train"), "train-tf")
     counts = nb.class_counts(docs.where("is_train"))
-    vocab = tf.fit_tfidf(train_tf, sum(counts.values()))
+    vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=MAX_FEATURES)
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
     scored = nb.score_nb(tf_all, model, keep=keep)
     ctx = NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import sql_text as S
 
 
-def nb_ctes(alpha: float = 1.0) -> str:
+def nb_ctes(alpha: float = 1.0, max_features: int = 50_000) -> str:
     a = repr(float(alpha))
     return f"""
 r AS (SELECT doc_id, CAST(lang = 'en' AS INTEGER) AS score, {S.std_text()} AS text,
@@ -15,7 +15,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE length(term) >= 2 GRO
 ttf AS (SELECT tf.doc_id, r.score, tf.term, tf.tf FROM tf JOIN r USING (doc_id) WHERE r.is_train),
 n AS (SELECT count(*) AS n, count_if(score = 0) AS n0, count_if(score = 1) AS n1
       FROM r WHERE is_train),
-vocab AS (SELECT term, count(*) AS df FROM ttf GROUP BY term),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM ttf GROUP BY term
+          ORDER BY cf DESC, term LIMIT {max_features}),
 nv AS (SELECT count(*) AS v FROM vocab),
 idf AS (SELECT term, df, ln((1.0 + n) / (CAST(df AS DOUBLE) + 1.0)) + 1.0 AS idf FROM vocab, n),
 tw AS (SELECT t.doc_id, t.score, t.term, t.tf * i.idf AS w FROM ttf t JOIN idf i USING (term)),

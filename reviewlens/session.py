@@ -24,8 +24,10 @@ ENGINE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "reviewlens") -> SparkSession:
+                app_name: str = "reviewlens", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
+    if driver_memory:  # only takes effect when this call starts the JVM (local runs)
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     for key, value in ENGINE_CONF.items():
