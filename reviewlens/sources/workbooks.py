@@ -101,5 +101,5 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "path string")
     names = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header["cells"])]
     body = rows.where(F.col("row") > 0)
-    df = body.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+    df = body.select(*[F.get(F.col("cells"), i).alias(n) for i, n in enumerate(names)])
     return mark_missing(df)
