@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import write_table
+from .lineage import checkpoint_partitioned
 
 PARAM_NAMES = ["E", "Wz", "Wr", "Wh", "Uz", "Ur", "Uh", "bz", "br", "bh", "wo", "bo"]
 
@@ -188,9 +188,8 @@ def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
     n_parts = partitions or max(1, sc.defaultParallelism)
     data = train.where(F.col(label).isNotNull()).select(
         F.col(ids).alias("ids"), F.col(label).cast("double").alias("y"), "doc_id")
-    # fixed partitions, written once: every epoch sees the same rows per task
-    data = write_table(data.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id"),
-                       "gru-train")
+    # fixed partitions, checkpointed once: every epoch sees the same rows per task
+    data = checkpoint_partitioned(data.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id"))
     p = init_params(num_words, embed, hidden, seed)
     template = {k: v.copy() for k, v in p.items()}
     for epoch in range(epochs):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 
 # Largest model table (rows) shipped to every executor; a 4-column term table
 # at this size is well under 100 MB.
@@ -30,3 +30,23 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def checkpoint_partitioned(df: DataFrame) -> DataFrame:
+    """Reliable ``checkpoint`` (shared checkpoint folder) that keeps ``df``'s
+    hash partitioning visible to later plans.
+
+    Under adaptive execution a checkpointed relation reports an unknown
+    partitioning, and every later per-key step would shuffle again. The plan
+    of this single eager action is therefore built without AQE (it is a fixed
+    ``repartition(n, key)`` plus narrow work, nothing AQE would change);
+    every later plan keeps AQE.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import bounded_broadcast, write_table
+from .lineage import bounded_broadcast, checkpoint_partitioned
 
 # Largest vocabulary whose V x l basis the driver holds (8 bytes per entry).
 MAX_SVD_TERMS = 300_000
@@ -132,7 +132,7 @@ def fit_svd(rows: DataFrame, index: DataFrame, n_terms: int, k: int = 20,
     if n_terms > MAX_SVD_TERMS:
         raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
                          "fit the vocabulary with max_features")
-    rows = write_table(rows.select("idx", "val"), "svd-rows")
+    rows = checkpoint_partitioned(rows.select("idx", "val"))
     l = min(k + oversample, n_terms)
     m = np.random.default_rng(seed).standard_normal((n_terms, l))
     for _ in range(power_iters + 1):

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_light, clean_ml
+from ..functions.text import clean_light, clean_ml, nfkc
 from ..operators import naive_bayes as nb
 from ..operators import tfidf as tf
-from ..operators.lineage import write_table
+from ..operators.lineage import checkpoint_partitioned, write_table
 from .corpus import reviews, with_split
 
 _CACHE: dict = {}
@@ -37,10 +37,26 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
     return (spark.sparkContext.applicationId, sf_dir, name)
 
 
-def prepared_docs(df: DataFrame) -> DataFrame:
-    return with_split(df).select(
+def prepared_docs(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Cleaned reviews, hash-partitioned by ``doc_id`` and checkpointed.
+
+    This is the one shuffle of the text. Every later per-document step (term
+    counts, norms, per-document scores, sparse rows, id sequences, joins of the
+    per-model results) needs clustering by ``doc_id`` and finds it here, so none
+    of them shuffles again. ``checkpoint`` writes to the shared checkpoint
+    folder, keeps the partitioning and cuts the lineage.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # NFKC (an Arrow UDF, whose plan node hides the partitioning) runs before
+    # the shuffle; only codegen'd regex work follows it.
+    normalized = with_split(df).select("doc_id", "score", "is_train", "text",
+                                       nfkc("text").alias("norm"))
+    out = normalized.repartition(n, "doc_id").select(
         "doc_id", "score", "is_train", "text",
-        clean_ml("text").alias("clean"), clean_light("text").alias("clean_light"))
+        clean_ml("norm", normalize=False).alias("clean"),
+        clean_light("norm", normalize=False).alias("clean_light"))
+    return checkpoint_partitioned(out)
 
 
 # Vocabulary size of the shared TF-IDF (the vectoriser's ``max_features``): the
@@ -56,8 +72,8 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     t0 = time.time()
     docs = prepared_docs(reviews(spark, sf_dir))
     keep = ["score", "is_train"]
-    tf_all = tf.term_frequencies(docs, "clean", keep=keep)
-    train_tf = write_table(tf_all.where("is_train"), "train-tf")
+    tf_all = checkpoint_partitioned(tf.term_frequencies(docs, "clean", keep=keep))
+    train_tf = tf_all.where("is_train")
     counts = nb.class_counts(docs.where("is_train"))
     vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=MAX_FEATURES)
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
@@ -70,8 +86,10 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
 def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with their text and the NB prediction (one row per document)."""
     ctx = nb_context(spark, sf_dir)
-    return ctx.docs.select("doc_id", "text").join(
-        ctx.scored.select("doc_id", "score", "is_train", "pred_nb", "prob_nb"), "doc_id")
+    # both sides are hash-partitioned by doc_id already: a shuffled hash join
+    # needs neither an exchange nor a sort (and never broadcasts the text)
+    scored = ctx.scored.select("doc_id", "score", "is_train", "pred_nb", "prob_nb")
+    return ctx.docs.select("doc_id", "text").join(scored.hint("shuffle_hash"), "doc_id")
 
 
 def round6(c: str):
@@ -101,9 +119,9 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
     v = ctx.vocab.n_terms
     index = write_table(svd_ops.index_terms(ctx.vocab.table), "term-index")
-    rows = write_table(svd_ops.sparse_rows(x_all, index, v, keep=keep), "sparse-rows")
+    rows = checkpoint_partitioned(svd_ops.sparse_rows(x_all, index, v, keep=keep))
     model = svd_ops.fit_svd(rows.where("is_train"), index, v, k=k, seed=seed)
-    feats = write_table(svd_ops.svd_project(rows, model, keep=keep), "svd-features")
+    feats = checkpoint_partitioned(svd_ops.svd_project(rows, model, keep=keep))
     gbt = trees.fit_gbt(feats.where("is_train"), seed=seed)
     scored = trees.score_gbt(feats, gbt, keep=keep)
     out = TreesContext(index, rows, model, feats, gbt, scored, {"fit_s": time.time() - t0})
@@ -132,9 +150,9 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, m
     t0 = time.time()
     keep = ["score", "is_train"]
     index = seq.fit_word_index(docs.where("is_train"), num_words=num_words)
-    seqs = write_table(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep), "sequences")
+    seqs = checkpoint_partitioned(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep))
     model = gru.fit_gru(seqs.where("is_train"), num_words, maxlen, epochs=epochs, seed=seed)
-    probs = write_table(gru.predict_proba(seqs, model, keep=keep), "gru-probs")
+    probs = checkpoint_partitioned(gru.predict_proba(seqs, model, keep=keep))
     best = ev.best_threshold(probs.where(~F.col("is_train")), "score", "prob_gru").first()
     model.threshold = float(best["threshold"]) if best is not None else 0.5
     scored = probs.select("doc_id", *keep,
@@ -162,7 +180,7 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     for m in ("nb", "gbt", "gru"):
         df = guard_scores(df, m)
     df = df.withColumn("pred_vote", vote(F.col("pred_nb"), F.col("pred_gbt"), F.col("pred_gru")))
-    df = write_table(df, "scores")
+    df = checkpoint_partitioned(df)
     _CACHE[key] = df
     return df
 
