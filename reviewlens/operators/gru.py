@@ -99,6 +99,7 @@ def loss_and_grads(p: dict, ids: np.ndarray, y: np.ndarray):
     g["wo"] = h_last.T @ dlogit
     g["bo"] = np.array([dlogit.sum()])
     dh = dlogit[:, None] * p["wo"][None, :]
+    dxs = np.zeros(ids.shape + (p["E"].shape[1],))
     for t in range(len(cache) - 1, -1, -1):
         x, m, z, r, c, h_prev = cache[t]
         dh_new = m * dh
@@ -115,9 +116,13 @@ def loss_and_grads(p: dict, ids: np.ndarray, y: np.ndarray):
         g["Uz"] += h_prev.T @ da_z
         g["Ur"] += h_prev.T @ da_r
         g["Uh"] += (r * h_prev).T @ da_h
-        dx = da_z @ p["Wz"].T + da_r @ p["Wr"].T + da_h @ p["Wh"].T
-        np.add.at(g["E"], ids[:, t], dx)
+        dxs[:, t] = da_z @ p["Wz"].T + da_r @ p["Wr"].T + da_h @ p["Wh"].T
         dh = dh_prev
+    flat_ids = ids.ravel()
+    flat_dx = dxs.reshape(len(flat_ids), -1)
+    n_words = p["E"].shape[0]
+    g["E"] = np.stack([np.bincount(flat_ids, weights=flat_dx[:, j], minlength=n_words)
+                       for j in range(flat_dx.shape[1])], axis=1)
     return loss, g
 
 

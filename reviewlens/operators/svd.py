@@ -132,7 +132,13 @@ def fit_svd(rows: DataFrame, index: DataFrame, n_terms: int, k: int = 20,
     if n_terms > MAX_SVD_TERMS:
         raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
                          "fit the vocabulary with max_features")
-    rows = checkpoint_partitioned(rows.select("idx", "val"))
+    # one V x l partial per task: fewer, larger tasks keep the summed volume
+    # at (cores x V x l) per pass instead of (input partitions x V x l)
+    par = rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.select("idx", "val")
+    if rows.rdd.getNumPartitions() > par:
+        rows = rows.coalesce(par)
+    rows = checkpoint_partitioned(rows)
     l = min(k + oversample, n_terms)
     m = np.random.default_rng(seed).standard_normal((n_terms, l))
     for _ in range(power_iters + 1):
