@@ -166,6 +166,21 @@ def q_token_counts(spark, sf_dir):
     return summary.token_counts(reviews(spark, sf_dir), "score")
 
 
+# --- Fixed values: tokens removed from the word counts (the reference drops its
+# out-of-vocabulary marker) -------------------------------------------------------
+HIDDEN_TOKENS = ["<oov>"]
+
+
+@register("token_counts_filtered", f"""
+SELECT label AS class, token, count(*) AS count
+FROM (SELECT label, unnest({S.raw_tokens('text')}) AS token FROM ({S.REVIEWS}))
+WHERE token NOT IN ({", ".join(S.q(t) for t in HIDDEN_TOKENS)})
+GROUP BY label, token""")
+def q_token_counts_filtered(spark, sf_dir):
+    stop = spark.createDataFrame([(t,) for t in HIDDEN_TOKENS], "token string")
+    return summary.drop_tokens(summary.token_counts(reviews(spark, sf_dir), "score"), stop)
+
+
 # ------------------------------------------------- TF-IDF + Naive Bayes family
 from ..operators import ensemble, evaluate  # noqa: E402
 from ..operators import tfidf as tfidf_ops  # noqa: E402
@@ -437,3 +452,26 @@ def q_timings(spark, sf_dir):
         ctx.scored.write.format("noop").mode("overwrite").save()
         rows.append((name, float(ctx.extra["fit_s"]), time.time() - t0))
     return spark.createDataFrame(rows, "model string, training_s double, inference_s double")
+
+
+# ------------------------------------------------ summaries for each model choice
+def _by_method(spark, sf_dir, method):
+    from .models import sequence_context
+    if method == "gbt":
+        s = trees_context(spark, sf_dir).scored
+    else:
+        s = sequence_context(spark, sf_dir).scored
+    return s.select("doc_id", f"pred_{method}")
+
+
+for _m in ("gbt", "gru"):
+    def _dist(spark, sf_dir, _m=_m):
+        return summary.class_distribution(_by_method(spark, sf_dir, _m), f"pred_{_m}")
+
+    def _top(spark, sf_dir, _m=_m):
+        text = reviews(spark, sf_dir).select("doc_id", "text")
+        return summary.top_tokens(text.join(_by_method(spark, sf_dir, _m), "doc_id"),
+                                  f"pred_{_m}", n=10)
+
+    register(f"class_distribution_{_m}")(_dist)
+    register(f"top_tokens_{_m}")(_top)

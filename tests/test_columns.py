@@ -53,3 +53,21 @@ def test_preview_and_filters(spark):
     assert [r.doc_id for r in C.preview(df).collect()] == [0, 1, 2, 3, 4]
     assert C.nonblank(df).count() == 5
     assert C.class_filter(df, "pred", 1).count() == 5
+
+
+def test_empty_inputs_give_empty_tables(spark):
+    from reviewlens.operators import summary
+    empty = spark.createDataFrame([], "doc_id long, text string, pred int")
+    assert summary.class_distribution(empty, "pred").count() == 0
+    top = summary.top_tokens(empty, "pred")
+    assert top.count() == 0 and top.columns == ["class", "rank", "token", "count"]
+
+
+def test_one_class_only_and_ties(spark):
+    from reviewlens.operators import summary
+    df = spark.createDataFrame([(1, "b a c", 1), (2, "c a b", 1), (3, "z", 1)],
+                               "doc_id long, text string, pred int")
+    dist = summary.class_distribution(df, "pred").collect()
+    assert [(r["class"], r["count"], r.percent) for r in dist] == [(1, 3, 100.0)]
+    top = summary.top_tokens(df, "pred", n=2).orderBy("rank").collect()
+    assert [(r.token, r["count"]) for r in top] == [("a", 2), ("b", 2)]
