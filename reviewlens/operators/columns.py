@@ -71,13 +71,20 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def input_quality(df: DataFrame, text: str = "text", label: str = "score") -> DataFrame:
-    """One-pass report against the stated input contract."""
-    t, y = F.col(text), F.col(label)
-    return df.agg(
+def text_flags(df: DataFrame, text: str = "text", keep: list[str] | tuple = ()) -> DataFrame:
+    """Narrow per-row text checks, so a later join never carries the text."""
+    t = F.col(text)
+    return df.select(*keep, t.isNull().alias("text_null"),
+                     (t.isNotNull() & (F.length(F.trim(t)) == 0)).alias("text_blank"))
+
+
+def quality_report(flags: DataFrame, label: str = "score") -> DataFrame:
+    """One aggregate over ``text_flags`` rows with a label column."""
+    y = F.col(label)
+    return flags.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(t.isNull()).alias("null_text"),
-        F.count_if(t.isNotNull() & (F.length(F.trim(t)) == 0)).alias("blank_text"),
+        F.count_if("text_null").alias("null_text"),
+        F.count_if("text_blank").alias("blank_text"),
         F.count_if(y.isNull()).alias("null_label"),
         F.count_if(y.isNotNull() & ~y.isin(0, 1)).alias("bad_label"),
         F.count_if(y == 1).alias("n_positive"),
@@ -85,6 +92,11 @@ def input_quality(df: DataFrame, text: str = "text", label: str = "score") -> Da
     )
 
 
+def input_quality(df: DataFrame, text: str = "text", label: str = "score") -> DataFrame:
+    """One-pass report against the stated input contract."""
+    return quality_report(text_flags(df, text, keep=[label]), label)
+
+
 def class_filter(df: DataFrame, pred: str, cls: int) -> DataFrame:
     return df.where(F.col(pred) == cls)
 

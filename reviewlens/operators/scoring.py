@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_light, clean_ml
+from ..functions.text import clean_light, clean_ml, nfkc
 from . import gru as gru_ops
 from . import naive_bayes as nb_ops
 from . import sequence as seq_ops
@@ -31,9 +31,16 @@ class ModelBundle:
 
 
 def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
-            keep: list[str] | tuple = ()) -> DataFrame:
-    return df.select(key, *keep, clean_ml(text).alias("clean"),
-                     clean_light(text).alias("clean_light"))
+            keep: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
+    """Clean the text once, hash-partitioned by ``key``: every per-document
+    step after it (term counts, norms, document scores, sparse rows, id
+    sequences) is then shuffle-free, and the branches share the one exchange.
+    NFKC (an Arrow UDF) runs before the exchange so the partitioning stays
+    visible to the planner."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    norm = df.select(key, *keep, nfkc(text).alias("_norm")).repartition(n, key)
+    return norm.select(key, *keep, clean_ml("_norm", normalize=False).alias("clean"),
+                       clean_light("_norm", normalize=False).alias("clean_light"))
 
 
 def score_prepared(prepared: DataFrame, models: ModelBundle, key: str = "doc_id",

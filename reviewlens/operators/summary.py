@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import raw_tokens
+from .lineage import bounded_broadcast
 
 
 def class_distribution(df: DataFrame, pred: Column | str, name: str = "class") -> DataFrame:
@@ -45,10 +46,12 @@ def token_counts(df: DataFrame, pred: Column | str, text: str = "text",
 
 
 def drop_tokens(counts: DataFrame, stop: DataFrame | None) -> DataFrame:
-    """Remove listed tokens (``stop`` has a ``token`` column; bounded by its caller)."""
+    """Remove listed tokens (``stop`` has a ``token`` column). The list is
+    broadcast only when its size, counted here, is under the broadcast bound."""
     if stop is None:
         return counts
-    return counts.join(F.broadcast(stop.select("token").distinct()), "token", "left_anti")
+    words = stop.select("token").distinct()
+    return counts.join(bounded_broadcast(words, words.count()), "token", "left_anti")
 
 
 def top_n(counts: DataFrame, n: int = 10, name: str = "class") -> DataFrame:

@@ -47,7 +47,6 @@ def q_top_tokens(spark, sf_dir):
 from ..functions import text as T  # noqa: E402
 from ..operators import columns  # noqa: E402
 from ..sources.tables import table  # noqa: E402
-from .corpus import labelled_reviews  # noqa: E402
 
 
 @register("row_count", "SELECT count(*) AS n_rows FROM documents")
@@ -68,7 +67,7 @@ def q_preview(spark, sf_dir):
 
 
 @register("input_quality", f"""
-WITH r AS (SELECT {S.std_text('d.text')} AS text, l.quality AS score
+WITH r AS (SELECT d.text AS text, l.quality AS score
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT count(*) AS n_rows,
        count_if(text IS NULL) AS null_text,
@@ -79,7 +78,11 @@ SELECT count(*) AS n_rows,
        count_if(score = 0) AS n_negative
 FROM r""")
 def q_input_quality(spark, sf_dir):
-    return columns.input_quality(labelled_reviews(spark, sf_dir, "quality"))
+    """Text checks on the raw documents (before missing text becomes "nan"),
+    label checks from ``labels``; only narrow flag rows meet in the join."""
+    flags = columns.text_flags(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("score"))
+    return columns.quality_report(flags.join(labels, "doc_id", "left"))
 
 
 @register("nonblank", "SELECT conv_id, turn, role FROM conversations "
@@ -406,11 +409,18 @@ def q_class_distribution_vote(spark, sf_dir):
     return summary.class_distribution(_all_scores(spark, sf_dir), "pred_vote")
 
 
+def _with_text(spark, sf_dir, preds):
+    """Predictions next to the review text. The text side is the checkpointed
+    review table, already hash-partitioned by doc_id, so only the narrow
+    prediction side moves."""
+    text = nb_context(spark, sf_dir).docs.select("doc_id", "text")
+    return text.join(preds.hint("shuffle_hash"), "doc_id")
+
+
 @register("top_tokens_vote")
 def q_top_tokens_vote(spark, sf_dir):
     s = _all_scores(spark, sf_dir).select("doc_id", "pred_vote")
-    text = reviews(spark, sf_dir).select("doc_id", "text")
-    return summary.top_tokens(text.join(s, "doc_id"), "pred_vote", n=10)
+    return summary.top_tokens(_with_text(spark, sf_dir, s), "pred_vote", n=10)
 
 
 @register("evaluate_all")
@@ -469,8 +479,7 @@ for _m in ("gbt", "gru"):
         return summary.class_distribution(_by_method(spark, sf_dir, _m), f"pred_{_m}")
 
     def _top(spark, sf_dir, _m=_m):
-        text = reviews(spark, sf_dir).select("doc_id", "text")
-        return summary.top_tokens(text.join(_by_method(spark, sf_dir, _m), "doc_id"),
+        return summary.top_tokens(_with_text(spark, sf_dir, _by_method(spark, sf_dir, _m)),
                                   f"pred_{_m}", n=10)
 
     register(f"class_distribution_{_m}")(_dist)

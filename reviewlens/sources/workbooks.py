@@ -77,13 +77,18 @@ def parse_workbook(content: bytes) -> list[list[str | None]]:
     return rows
 
 
-def _explode_workbooks(batches):
+def _explode_workbooks(batches, chunk: int = 10_000):
+    """One task per group of files; rows leave in chunks of ``chunk``."""
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
+            out = []
             for i, cells in enumerate(parse_workbook(bytes(content))):
                 out.append((path, i, cells))
-        yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                if len(out) >= chunk:
+                    yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["path", "row", "cells"])
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
