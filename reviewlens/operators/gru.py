@@ -187,7 +187,9 @@ def _to_ids(series: pd.Series, maxlen: int) -> np.ndarray:
 def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
             ids: str = "ids", epochs: int = 6, embed: int = 32, hidden: int = 32,
             batch: int = 64, lr: float = 0.01, seed: int = 42, partitions: int | None = None,
-            log=None) -> GRUModel:
+            patience: int | None = 1, log=None) -> GRUModel:
+    """Data-parallel training; stops early when the mean training loss has not
+    improved for ``patience`` epochs and keeps the best epoch's weights."""
     spark = train.sparkSession
     sc = spark.sparkContext
     n_parts = partitions or max(1, sc.defaultParallelism)
@@ -197,6 +199,7 @@ def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
     data = checkpoint_partitioned(data.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id"))
     p = init_params(num_words, embed, hidden, seed)
     template = {k: v.copy() for k, v in p.items()}
+    best, best_loss, stale = p, float("inf"), 0
     for epoch in range(epochs):
         bw = sc.broadcast(_pack(p))
 
@@ -216,9 +219,18 @@ def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
         acc = (parts.rdd.map(lambda r: (np.frombuffer(r.d, dtype=np.float64), r.n, r.loss))
                .treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])))
         bw.destroy()
-        p = _unpack(_pack(p) + acc[0] / max(acc[1], 1), template)
+        # the loss was measured while training from the broadcast weights ``p``
+        loss = acc[2] / max(acc[1], 1)
         if log:
-            log(f"epoch {epoch}: mean loss {acc[2] / max(acc[1], 1):.4f}")
+            log(f"epoch {epoch}: mean loss {loss:.4f}")
+        if loss < best_loss:
+            best_loss, best, stale = loss, {k: v.copy() for k, v in p.items()}, 0
+        else:
+            stale += 1
+            if patience is not None and stale >= patience:
+                p = best
+                break
+        p = _unpack(_pack(p) + acc[0] / max(acc[1], 1), template)
     return GRUModel(p, maxlen)
 
 

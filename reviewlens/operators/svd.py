@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +36,17 @@ class SVDModel:
     n_terms: int
 
 
-def index_terms(vocab: DataFrame) -> DataFrame:
-    """Dense 0-based index of the vocabulary in term order (distributed
-    ``zipWithIndex``: no single-partition window)."""
-    spark = vocab.sparkSession
-    ranked = vocab.select("term").orderBy("term").rdd.zipWithIndex()
-    schema = T.StructType([T.StructField("term", T.StringType()),
-                           T.StructField("idx", T.IntegerType())])
-    return spark.createDataFrame(ranked.map(lambda r: (r[0][0], int(r[1]))), schema)
+def index_terms(vocab: DataFrame, n_terms: int) -> DataFrame:
+    """Dense 0-based index of the vocabulary in term order.
+
+    The basis the index addresses is held on the driver and capped at
+    ``MAX_SVD_TERMS``, so the ranking window's single partition is bounded by
+    the same cap; a larger vocabulary is rejected here, before any work."""
+    if n_terms > MAX_SVD_TERMS:
+        raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
+                         "fit the vocabulary with max_features")
+    rank = F.row_number().over(Window.orderBy("term")) - 1
+    return vocab.select("term", rank.cast("int").alias("idx"))
 
 
 def sparse_rows(x: DataFrame, index: DataFrame, n_terms: int, key: str = "doc_id",

@@ -118,7 +118,7 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     keep = ["score", "is_train"]
     x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
     v = ctx.vocab.n_terms
-    index = write_table(svd_ops.index_terms(ctx.vocab.table), "term-index")
+    index = write_table(svd_ops.index_terms(ctx.vocab.table, v), "term-index")
     rows = checkpoint_partitioned(svd_ops.sparse_rows(x_all, index, v, keep=keep))
     model = svd_ops.fit_svd(rows.where("is_train"), index, v, k=k, seed=seed)
     feats = checkpoint_partitioned(svd_ops.svd_project(rows, model, keep=keep))
