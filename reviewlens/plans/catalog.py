@@ -70,12 +70,12 @@ def q_preview(spark, sf_dir):
 WITH r AS (SELECT d.text AS text, l.quality AS score
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT count(*) AS n_rows,
-       count_if(text IS NULL) AS null_text,
-       count_if(text IS NOT NULL AND length(trim(text)) = 0) AS blank_text,
-       count_if(score IS NULL) AS null_label,
-       count_if(score IS NOT NULL AND score NOT IN (0, 1)) AS bad_label,
-       count_if(score = 1) AS n_positive,
-       count_if(score = 0) AS n_negative
+       CAST(count_if(text IS NULL) AS BIGINT) AS null_text,
+       CAST(count_if(text IS NOT NULL AND length(trim(text)) = 0) AS BIGINT) AS blank_text,
+       CAST(count_if(score IS NULL) AS BIGINT) AS null_label,
+       CAST(count_if(score IS NOT NULL AND score NOT IN (0, 1)) AS BIGINT) AS bad_label,
+       CAST(count_if(score = 1) AS BIGINT) AS n_positive,
+       CAST(count_if(score = 0) AS BIGINT) AS n_negative
 FROM r""")
 def q_input_quality(spark, sf_dir):
     """Text checks on the raw documents (before missing text becomes "nan"),
@@ -297,8 +297,10 @@ def q_apply_threshold(spark, sf_dir):
 
 
 @register("evaluate", with_nb("""
-, c AS (SELECT count_if(score = 1 AND pred_nb = 1) AS tp, count_if(score = 0 AND pred_nb = 1) AS fp,
-               count_if(score = 1 AND pred_nb = 0) AS fn, count_if(score = 0 AND pred_nb = 0) AS tn
+, c AS (SELECT CAST(count_if(score = 1 AND pred_nb = 1) AS BIGINT) AS tp,
+               CAST(count_if(score = 0 AND pred_nb = 1) AS BIGINT) AS fp,
+               CAST(count_if(score = 1 AND pred_nb = 0) AS BIGINT) AS fn,
+               CAST(count_if(score = 0 AND pred_nb = 0) AS BIGINT) AS tn
         FROM scored WHERE NOT is_train AND score IS NOT NULL)
 SELECT 'nb' AS model, tp, fp, fn, tn,
        round(CASE WHEN tp + fp + fn + tn > 0 THEN CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) ELSE 0.0 END, 4) AS accuracy,

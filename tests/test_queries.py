@@ -15,6 +15,10 @@ from oracle_check import digest  # noqa: E402
 from reviewlens.sources.tables import TABLES  # noqa: E402
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -41,7 +45,10 @@ def test_query_against_oracle(spark, duck, name):
     if sql is None:
         assert df.columns
         return
-    res = duck.execute(sql)
-    cols = [d[0] for d in res.description]
+    rel = duck.sql(sql)
+    cols = rel.columns
     assert sorted(cols) == sorted(df.columns)
-    assert digest(df.columns, rows)[0] == digest(cols, res.fetchall())[0]
+    duck_types = dict(zip(cols, (str(t) for t in rel.types)))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck_types[f.name], f.name
+    assert digest(df.columns, rows)[0] == digest(cols, rel.fetchall())[0]
