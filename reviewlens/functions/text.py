@@ -33,9 +33,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _changed_nfkc(v):
+    if v is None:
+        return None
+    n = unicodedata.normalize("NFKC", v)
+    return n if n != v else None
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return s.map(_changed_nfkc)
 
 
 def is_ascii(c) -> Column:
@@ -43,11 +50,19 @@ def is_ascii(c) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
+def nfkc_delta(c) -> Column:
+    """NFKC of ``c`` where it differs from ``c``, else null. ASCII text is
+    already NFKC, so only the other rows are shipped to Python (a null
+    argument costs nothing in the Arrow batch); storing the delta instead of a
+    second copy of the text keeps materialised tables at one copy."""
+    c = _col(c)
+    return _nfkc_batch(F.when(~is_ascii(c), c))
+
+
 def nfkc(c) -> Column:
-    """Unicode NFKC. ASCII text is already NFKC, so only the other rows are
-    shipped to Python (a null argument costs nothing in the Arrow batch)."""
+    """Unicode NFKC."""
     c = _col(c)
-    return F.coalesce(_nfkc_batch(F.when(~is_ascii(c), c)), c)
+    return F.coalesce(nfkc_delta(c), c)
 
 
 def text_lower(c) -> Column:

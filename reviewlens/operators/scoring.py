@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_light, clean_ml, nfkc
+from ..functions.text import clean_light, clean_ml, nfkc_delta
 from . import gru as gru_ops
 from . import naive_bayes as nb_ops
 from . import sequence as seq_ops
@@ -38,9 +38,11 @@ def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
     NFKC (an Arrow UDF) runs before the exchange so the partitioning stays
     visible to the planner."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    norm = df.select(key, *keep, nfkc(text).alias("_norm")).repartition(n, key)
-    return norm.select(key, *keep, clean_ml("_norm", normalize=False).alias("clean"),
-                       clean_light("_norm", normalize=False).alias("clean_light"))
+    moved = df.select(key, *keep, F.col(text).alias("_text"),
+                      nfkc_delta(text).alias("_nfkc")).repartition(n, key)
+    norm = F.coalesce(F.col("_nfkc"), F.col("_text"))
+    return moved.select(key, *keep, clean_ml(norm, normalize=False).alias("clean"),
+                        clean_light(norm, normalize=False).alias("clean_light"))
 
 
 def score_prepared(prepared: DataFrame, models: ModelBundle, key: str = "doc_id",

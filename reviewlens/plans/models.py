@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_light, clean_ml, nfkc
+from ..functions.text import clean_light, clean_ml, nfkc_delta
 from ..operators import naive_bayes as nb
 from ..operators import tfidf as tf
 from ..operators.lineage import checkpoint_partitioned, write_table
@@ -38,25 +38,28 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
 
 
 def prepared_docs(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cleaned reviews, hash-partitioned by ``doc_id`` and checkpointed.
+    """Reviews hash-partitioned by ``doc_id`` and checkpointed, with the two
+    cleaned texts as lazy columns.
 
     This is the one shuffle of the text. Every later per-document step (term
     counts, norms, per-document scores, sparse rows, id sequences, joins of the
     per-model results) needs clustering by ``doc_id`` and finds it here, so none
     of them shuffles again. ``checkpoint`` writes to the shared checkpoint
-    folder, keeps the partitioning and cuts the lineage.
+    folder, keeps the partitioning and cuts the lineage. Only the text and the
+    NFKC delta (null where NFKC changes nothing) are stored; the regex cleaning
+    is recomputed by each consumer rather than stored as two more copies.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # NFKC (an Arrow UDF, whose plan node hides the partitioning) runs before
     # the shuffle; only codegen'd regex work follows it.
-    normalized = with_split(df).select("doc_id", "score", "is_train", "text",
-                                       nfkc("text").alias("norm"))
-    out = normalized.repartition(n, "doc_id").select(
-        "doc_id", "score", "is_train", "text",
-        clean_ml("norm", normalize=False).alias("clean"),
-        clean_light("norm", normalize=False).alias("clean_light"))
-    return checkpoint_partitioned(out)
+    base = with_split(df).select("doc_id", "score", "is_train", "text",
+                                 nfkc_delta("text").alias("nfkc"))
+    stored = checkpoint_partitioned(base.repartition(n, "doc_id"))
+    norm = F.coalesce(F.col("nfkc"), F.col("text"))
+    return stored.select("doc_id", "score", "is_train", "text",
+                         clean_ml(norm, normalize=False).alias("clean"),
+                         clean_light(norm, normalize=False).alias("clean_light"))
 
 
 # Vocabulary size of the shared TF-IDF (the vectoriser's ``max_features``): the
