@@ -486,3 +486,33 @@ for _m in ("gbt", "gru"):
 
     register(f"class_distribution_{_m}")(_dist)
     register(f"top_tokens_{_m}")(_top)
+
+
+# ------------------------------------------- scoring another table, CSV export
+# conversation turns get one key per (conversation, turn); turns per
+# conversation stay below 2**20
+TURN_BITS = 20
+
+
+@register("score_conversations")
+def q_score_conversations(spark, sf_dir):
+    """The fitted models applied to a second text table, as a user scores a new
+    upload: every conversation turn gets the six model columns and the vote."""
+    from ..operators.scoring import score_reviews
+    from .models import model_bundle
+    conv = table(spark, sf_dir, "conversations")
+    turns = conv.select(
+        (F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("nan")).alias("text"))
+    return score_reviews(turns, model_bundle(spark, sf_dir)).select(
+        F.shiftright("doc_id", TURN_BITS).alias("conv_id"),
+        (F.col("doc_id") - F.shiftleft(F.shiftright("doc_id", TURN_BITS), TURN_BITS)).alias("turn"),
+        "pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob_gru", "pred_vote")
+
+
+@register("export_nb", with_nb("""
+SELECT doc_id, pred_nb, printf('%.4f', prob_nb) AS prob_nb FROM scored"""))
+def q_export_nb(spark, sf_dir):
+    """The scored table as the CSV export writes it (floats as ``%.4f``)."""
+    from ..sources.sinks import format_floats
+    return format_floats(nb_context(spark, sf_dir).scored.select("doc_id", "pred_nb", "prob_nb"))
