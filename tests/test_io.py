@@ -9,36 +9,59 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_CSV, SF_SMALL
+from conftest import SF_SMALL
 from reviewlens.operators import summary
 from reviewlens.operators.columns import standardize
 from reviewlens.sources import experiments, reviews, sinks, workbooks
 
-needs_sample = pytest.mark.skipif(not os.path.exists(SAMPLE_CSV), reason="sample CSV absent")
+SAMPLE = (
+    'content,label\n'
+    '"pengiriman cepat, barang bagus banget",1\n'
+    'Setelah update malah ga bisa login 😭 kecewa,0\n'
+    '"katanya ""original"" padahal palsu",0\n'
+    'harga oke dan barang sesuai ,1\n'
+    '"baris\nkedua dalam satu sel",1\n'
+    'ga sesuai foto dan ga bisa retur,0\n'
+)
 
 
-@needs_sample
-def test_sample_csv_reads_like_pandas(spark):
-    df = reviews.read_reviews(spark, SAMPLE_CSV)
+def _sample(tmp_dir):
+    p = os.path.join(tmp_dir, "sample.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(SAMPLE)
+    return p
+
+
+def test_csv_reads_like_pandas(spark, tmp_dir):
+    p = _sample(tmp_dir)
+    df = reviews.read_reviews(spark, p)
     assert df.columns == ["content", "label"]
-    got = [r.content for r in df.collect()]
-    want = pd.read_csv(SAMPLE_CSV)["content"].tolist()
-    assert got == want and len(got) == 100
-
-
-@needs_sample
-def test_sample_top_tokens_golden(spark):
-    df = standardize(reviews.read_reviews(spark, SAMPLE_CSV))
-    top = summary.top_tokens(df, F.col("score").cast("int"), n=10).collect()
-    by = {c: [(r.token, r["count"]) for r in sorted(top, key=lambda r: r["rank"]) if r["class"] == c]
-          for c in (0, 1)}
-    assert by[1] == [("dan", 19), ("banget", 16), ("barang", 16), ("cepat", 10), ("pengiriman", 9),
-                     ("tokopedia", 9), ("harga", 8), ("sesuai", 8), ("bagus", 7), ("saya", 7)]
-    assert by[0] == [("udah", 16), ("padahal", 15), ("ga", 14), ("tapi", 14), ("banget", 12),
-                     ("saya", 12), ("kecewa", 9), ("bisa", 8), ("masih", 8), ("barang", 7)]
+    want = pd.read_csv(p)
+    assert [r.content for r in df.collect()] == want["content"].tolist()
+    assert [int(r.label) for r in df.collect()] == want["label"].tolist()
+
+
+def brute_top(texts, labels, cls, n):
+    """Counter filled in sorted-vocabulary order, then most_common (stable on ties)."""
+    import re
+    from collections import Counter
+    toks = [re.findall(r"(?u)\b\w+\b", t.lower()) for t, y in zip(texts, labels) if y == cls]
+    total = Counter(w for ts in toks for w in ts)
+    vocab = sorted({w for t in texts for w in re.findall(r"(?u)\b\w+\b", t.lower())})
+    ordered = Counter({w: total[w] for w in vocab if total[w] > 0})
+    return ordered.most_common(n)
+
+
+def test_top_tokens_and_distribution_match_brute_force(spark, tmp_dir):
+    df = standardize(reviews.read_reviews(spark, _sample(tmp_dir)))
+    pdf = pd.read_csv(_sample(tmp_dir))
+    top = summary.top_tokens(df, F.col("score").cast("int"), n=4).collect()
+    for c in (0, 1):
+        got = [(r.token, r["count"]) for r in sorted(top, key=lambda r: r["rank"]) if r["class"] == c]
+        assert got == brute_top(pdf["content"].tolist(), pdf["label"].tolist(), c, 4)
     dist = {r["class"]: (r["count"], r.percent)
             for r in summary.class_distribution(df, F.col("score").cast("int")).collect()}
-    assert dist == {0: (52, 52.0), 1: (48, 48.0)}
+    assert dist == {0: (3, 50.0), 1: (3, 50.0)}
 
 
 def test_na_markers_and_dispatch(spark, tmp_dir):
