@@ -62,6 +62,17 @@ def standardize(df: DataFrame, missing: str = "nan") -> DataFrame:
     return df.withColumns(out)
 
 
+def with_doc_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row key for tables that have none (uploaded files). The generated ids
+    are made stable by one reliable checkpoint, so every later use, retries
+    included, sees the same key."""
+    from .lineage import checkpoint_dir
+    if key in df.columns:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.withColumn(key, F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
 def preview(df: DataFrame, key: str = "doc_id", n: int = 5) -> DataFrame:
     """First ``n`` rows by key (Spark has no row order of its own)."""
     return df.orderBy(key).limit(n)

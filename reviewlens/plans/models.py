@@ -1,9 +1,10 @@
-"""Fitted-model contexts shared by the registered queries.
+"""Fitting the three models on a review table, and the fitted contexts the
+registered queries share.
 
-The training term table is written once to the checkpoint folder and feeds both
-the vocabulary fit and the Naive Bayes fit; scoring re-reads the documents in a
-single map-side pass. Fitted contexts are kept per (session, data folder) so a
-run of many queries fits each model once.
+``fit_models(df)`` fits everything on any review table with ``doc_id``,
+``text`` and a 0/1 ``score``. The ``*_context(spark, sf_dir)`` functions do the
+same on the driver's documents and keep the result per (session, data folder),
+so a run of many queries fits each model once.
 """
 
 from __future__ import annotations
@@ -70,10 +71,15 @@ MAX_FEATURES = 50_000
 
 def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContext:
     k = _key(spark, sf_dir, f"nb{alpha}")
-    if k in _CACHE:
-        return _CACHE[k]
+    if k not in _CACHE:
+        _CACHE[k] = build_nb(prepared_docs(reviews(spark, sf_dir)), alpha)
+    return _CACHE[k]
+
+
+def build_nb(docs: DataFrame, alpha: float = 1.0) -> NBContext:
+    """TF-IDF + Naive Bayes on ``prepared_docs`` rows (training rows fit,
+    every row is scored)."""
     t0 = time.time()
-    docs = prepared_docs(reviews(spark, sf_dir))
     keep = ["score", "is_train"]
     tf_all = checkpoint_partitioned(tf.term_frequencies(docs, "clean", keep=keep))
     train_tf = tf_all.where("is_train")
@@ -81,9 +87,7 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=MAX_FEATURES)
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
     scored = nb.score_nb(tf_all, model, keep=keep)
-    ctx = NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})
-    _CACHE[k] = ctx
-    return ctx
+    return NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})
 
 
 def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +115,16 @@ class TreesContext:
 
 
 def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42) -> TreesContext:
+    key = _key(spark, sf_dir, f"trees{k}-{seed}")
+    if key not in _CACHE:
+        _CACHE[key] = build_trees(nb_context(spark, sf_dir), k, seed)
+    return _CACHE[key]
+
+
+def build_trees(ctx: NBContext, k: int = 20, seed: int = 42) -> TreesContext:
+    """SVD on the TF-IDF rows of the training documents, then boosted trees."""
     from ..operators import svd as svd_ops
     from ..operators import trees
-    key = _key(spark, sf_dir, f"trees{k}-{seed}")
-    if key in _CACHE:
-        return _CACHE[key]
-    ctx = nb_context(spark, sf_dir)
     t0 = time.time()
     keep = ["score", "is_train"]
     x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
@@ -127,9 +135,7 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     feats = checkpoint_partitioned(svd_ops.svd_project(rows, model, keep=keep))
     gbt = trees.fit_gbt(feats.where("is_train"), seed=seed)
     scored = trees.score_gbt(feats, gbt, keep=keep)
-    out = TreesContext(index, rows, model, feats, gbt, scored, {"fit_s": time.time() - t0})
-    _CACHE[key] = out
-    return out
+    return TreesContext(index, rows, model, feats, gbt, scored, {"fit_s": time.time() - t0})
 
 
 @dataclass
@@ -143,13 +149,18 @@ class SequenceContext:
 
 def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, maxlen: int = 150,
                      epochs: int = 6, seed: int = 42) -> SequenceContext:
+    key = _key(spark, sf_dir, f"seq{num_words}-{maxlen}-{epochs}-{seed}")
+    if key not in _CACHE:
+        _CACHE[key] = build_sequence(nb_context(spark, sf_dir).docs, num_words, maxlen, epochs, seed)
+    return _CACHE[key]
+
+
+def build_sequence(docs: DataFrame, num_words: int = 20000, maxlen: int = 150, epochs: int = 6,
+                   seed: int = 42) -> SequenceContext:
+    """Word index, id sequences, GRU, and the F1-best threshold on validation rows."""
     from ..operators import evaluate as ev
     from ..operators import gru
     from ..operators import sequence as seq
-    key = _key(spark, sf_dir, f"seq{num_words}-{maxlen}-{epochs}-{seed}")
-    if key in _CACHE:
-        return _CACHE[key]
-    docs = nb_context(spark, sf_dir).docs
     t0 = time.time()
     keep = ["score", "is_train"]
     index = seq.fit_word_index(docs.where("is_train"), num_words=num_words)
@@ -161,9 +172,7 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, m
     scored = probs.select("doc_id", *keep,
                           (F.col("prob_gru") >= F.lit(model.threshold)).cast("int").alias("pred_gru"),
                           "prob_gru")
-    out = SequenceContext(index, seqs, model, scored, {"fit_s": time.time() - t0})
-    _CACHE[key] = out
-    return out
+    return SequenceContext(index, seqs, model, scored, {"fit_s": time.time() - t0})
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,10 +197,23 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def model_bundle(spark: SparkSession, sf_dir: str):
-    """Every fitted artifact, for scoring new review tables or streams."""
+def _bundle(nbc: NBContext, trc: TreesContext, sqc: SequenceContext):
     from ..operators.scoring import ModelBundle
-    nbc = nb_context(spark, sf_dir)
-    trc = trees_context(spark, sf_dir)
-    sqc = sequence_context(spark, sf_dir)
     return ModelBundle(nbc.vocab, nbc.model, trc.index, trc.svd, trc.gbt, sqc.index, sqc.model)
+
+
+def model_bundle(spark: SparkSession, sf_dir: str):
+    """Every fitted artifact, for scoring new review tables or streams."""
+    return _bundle(nb_context(spark, sf_dir), trees_context(spark, sf_dir),
+                   sequence_context(spark, sf_dir))
+
+
+def fit_models(df: DataFrame, alpha: float = 1.0, k: int = 20, num_words: int = 20000,
+               maxlen: int = 150, epochs: int = 6, seed: int = 42):
+    """Fit all three models on a review table (``doc_id``, ``text``, 0/1
+    ``score``); rows with ``pmod(doc_id, 5) = 0`` validate, the rest train.
+    Returns a ``ModelBundle`` for ``score_reviews`` / ``score_stream``."""
+    docs = prepared_docs(df.select("doc_id", "text", F.col("score").cast("int").alias("score")))
+    nbc = build_nb(docs, alpha)
+    return _bundle(nbc, build_trees(nbc, k, seed),
+                   build_sequence(docs, num_words, maxlen, epochs, seed))

@@ -188,3 +188,24 @@ def test_single_review_scores(spark, bundle):
     one = spark.createDataFrame([(1, "The service was good and fast")], "doc_id long, text string")
     r = score_reviews(one, bundle).first()
     assert r.pred_nb in (0, 1) and 0.0 <= r.prob_gru <= 1.0 and r.score_ok_gbt
+
+
+def test_fit_models_on_an_uploaded_file(spark, tmp_dir):
+    """The user flow: read a file, standardise, key it, fit all three models,
+    score it and export it."""
+    from reviewlens.operators.columns import with_doc_id
+    from reviewlens.operators.scoring import score_reviews
+    from reviewlens.plans.models import fit_models
+    pos = ["barang bagus pengiriman cepat", "mantap sesuai pesanan", "puas banget seller ramah"]
+    neg = ["barang rusak kecewa", "lama banget tidak sesuai", "kecewa parah refund lama"]
+    p = os.path.join(tmp_dir, "upload.csv")
+    pd.DataFrame({"Ulasan": [t + f" {i}" for i in range(20) for t in pos + neg],
+                  "Nilai": [1, 1, 1, 0, 0, 0] * 20}).to_csv(p, index=False)
+    df = with_doc_id(standardize(reviews.read_reviews(spark, p)))
+    models = fit_models(df, k=4, num_words=50, maxlen=8, epochs=3)
+    scored = score_reviews(df.select("doc_id", "text"), models)
+    out = scored.join(df.select("doc_id", F.col("score").cast("int").alias("y")), "doc_id").toPandas()
+    assert len(out) == 120
+    assert (out["pred_nb"] == out["y"]).mean() > 0.9
+    sinks.write_results(scored, os.path.join(tmp_dir, "export"))
+    assert spark.read.csv(os.path.join(tmp_dir, "export"), header=True).count() == 120
