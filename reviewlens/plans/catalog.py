@@ -9,8 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import columns, ensemble, evaluate, summary
+from ..operators import tfidf as tfidf_ops
+from ..operators.gru import PARAM_NAMES
+from ..operators.scoring import score_reviews
+from ..session import scratch_path
+from ..sources.sinks import format_floats
+from ..sources.tables import table
+from ..streaming.score_stream import review_stream, score_stream
 from . import sql_text as S
-from .corpus import reviews
+from .corpus import reviews, with_split
+from .models import (all_scores, model_bundle, nb_context, round6, scored_reviews,
+                     sequence_context, trees_context)
+from .sql_models import with_nb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,7 +38,6 @@ def register(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- word counts
-from ..operators import summary  # noqa: E402
 
 _TOP_TOKENS_BY_LABEL_SQL = f"""
 WITH r AS ({S.REVIEWS}),
@@ -44,9 +55,6 @@ def q_top_tokens(spark, sf_dir):
 
 
 # ------------------------------------------------------- schema and input checks
-from ..functions import text as T  # noqa: E402
-from ..operators import columns  # noqa: E402
-from ..sources.tables import table  # noqa: E402
 
 
 @register("row_count", "SELECT count(*) AS n_rows FROM documents")
@@ -185,17 +193,12 @@ def q_token_counts_filtered(spark, sf_dir):
 
 
 # ------------------------------------------------- TF-IDF + Naive Bayes family
-from ..operators import ensemble, evaluate  # noqa: E402
-from ..operators import tfidf as tfidf_ops  # noqa: E402
-from .models import nb_context, round6, scored_reviews  # noqa: E402
-from .sql_models import with_nb  # noqa: E402
 
 
 @register("split", "SELECT is_train, score, count(*) AS n_rows FROM "
                    f"(SELECT {S.is_train()} AS is_train, CAST(lang = 'en' AS INTEGER) AS score "
                    "FROM documents) GROUP BY is_train, score")
 def q_split(spark, sf_dir):
-    from .corpus import with_split
     return (with_split(reviews(spark, sf_dir)).groupBy("is_train", "score")
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
@@ -314,7 +317,6 @@ def q_evaluate(spark, sf_dir):
 
 
 # ------------------------------------------------- SVD + boosted trees family
-from .models import trees_context  # noqa: E402
 
 
 @register("fit_svd")
@@ -343,7 +345,6 @@ def q_score_gbt(spark, sf_dir):
 
 
 # ----------------------------------------------------- sequence model family
-from .models import sequence_context  # noqa: E402
 
 NUM_WORDS, MAXLEN = 20000, 150
 
@@ -376,7 +377,6 @@ def q_encode_sequence(spark, sf_dir):
 
 @register("fit_gru")
 def q_fit_gru(spark, sf_dir):
-    from ..operators.gru import PARAM_NAMES
     m = sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).model
     rows = [(k, list(m.params[k].shape), float((m.params[k] ** 2).sum() ** 0.5))
             for k in PARAM_NAMES]
@@ -392,7 +392,6 @@ def q_score_gru(spark, sf_dir):
 
 # --------------------------------------------------- all three models together
 def _all_scores(spark, sf_dir):
-    from .models import all_scores
     return all_scores(spark, sf_dir)
 
 
@@ -437,9 +436,6 @@ def q_evaluate_all(spark, sf_dir):
 def q_score_stream(spark, sf_dir):
     """The documents table replayed as a file stream and scored per micro-batch."""
     import os
-    from ..session import scratch_path
-    from ..streaming.score_stream import review_stream, score_stream
-    from .models import model_bundle
     models = model_bundle(spark, sf_dir)
     src = os.path.join(sf_dir, "documents.parquet")
     schema = spark.read.parquet(src).schema
@@ -455,7 +451,6 @@ def q_timings(spark, sf_dir):
     """Training seconds (recorded by the fits) and inference seconds (a full
     scoring pass into the no-op sink) per model."""
     import time
-    from .models import sequence_context
     fits = {"nb": nb_context(spark, sf_dir), "gbt": trees_context(spark, sf_dir),
             "gru": sequence_context(spark, sf_dir)}
     rows = []
@@ -468,7 +463,6 @@ def q_timings(spark, sf_dir):
 
 # ------------------------------------------------ summaries for each model choice
 def _by_method(spark, sf_dir, method):
-    from .models import sequence_context
     if method == "gbt":
         s = trees_context(spark, sf_dir).scored
     else:
@@ -498,8 +492,6 @@ TURN_BITS = 20
 def q_score_conversations(spark, sf_dir):
     """The fitted models applied to a second text table, as a user scores a new
     upload: every conversation turn gets the six model columns and the vote."""
-    from ..operators.scoring import score_reviews
-    from .models import model_bundle
     conv = table(spark, sf_dir, "conversations")
     turns = conv.select(
         (F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).alias("doc_id"),
@@ -514,5 +506,4 @@ def q_score_conversations(spark, sf_dir):
 SELECT doc_id, pred_nb, printf('%.4f', prob_nb) AS prob_nb FROM scored"""))
 def q_export_nb(spark, sf_dir):
     """The scored table as the CSV export writes it (floats as ``%.4f``)."""
-    from ..sources.sinks import format_floats
     return format_floats(nb_context(spark, sf_dir).scored.select("doc_id", "pred_nb", "prob_nb"))
