@@ -50,13 +50,40 @@ def is_ascii(c) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
+def _stable_class(upto: int = 0x250) -> str:
+    """Java character-class body: ASCII plus every Latin-1 / Latin Extended
+    code point below ``upto`` that NFKC maps to itself and that has canonical
+    combining class 0. A text made only of these is already NFKC (every
+    character passes the normalization quick check and none can combine with
+    a neighbour), so it never needs the Python round trip."""
+    cps = [cp for cp in range(0x80, upto)
+           if unicodedata.normalize("NFKC", chr(cp)) == chr(cp) and not unicodedata.combining(chr(cp))]
+    parts, start, prev = [r"\x{0}-\x{7f}"], None, None
+    for cp in cps + [None]:
+        if start is not None and (cp is None or cp != prev + 1):
+            parts.append(f"\\x{{{start:x}}}" + (f"-\\x{{{prev:x}}}" if prev > start else ""))
+            start = None
+        if cp is not None and start is None:
+            start = cp
+        prev = cp
+    return "".join(parts)
+
+
+NFKC_STABLE_CLASS = _stable_class()
+
+
+def needs_nfkc(c) -> Column:
+    """True when ``c`` holds a character outside the NFKC-stable set."""
+    return _col(c).rlike(f"[^{NFKC_STABLE_CLASS}]")
+
+
 def nfkc_delta(c) -> Column:
-    """NFKC of ``c`` where it differs from ``c``, else null. ASCII text is
-    already NFKC, so only the other rows are shipped to Python (a null
+    """NFKC of ``c`` where it differs from ``c``, else null. Only rows with a
+    character outside the NFKC-stable set are shipped to Python (a null
     argument costs nothing in the Arrow batch); storing the delta instead of a
     second copy of the text keeps materialised tables at one copy."""
     c = _col(c)
-    return _nfkc_batch(F.when(~is_ascii(c), c))
+    return _nfkc_batch(F.when(needs_nfkc(c), c))
 
 
 def nfkc(c) -> Column:

@@ -144,7 +144,9 @@ def fit_svd(rows: DataFrame, index: DataFrame, n_terms: int, k: int = 20,
     rows = checkpoint_partitioned(rows)
     l = min(k + oversample, n_terms)
     m = np.random.default_rng(seed).standard_normal((n_terms, l))
-    for _ in range(power_iters + 1):
+    # ``power_iters`` passes of X^T X (re-orthonormalised each time), then one
+    # pass for the Rayleigh-Ritz step: power_iters + 1 passes over the data
+    for _ in range(power_iters):
         m, _ = np.linalg.qr(gram_times(rows, m))
     z = gram_times(rows, m)
     evals, u = np.linalg.eigh(m.T @ z)
