@@ -97,29 +97,3 @@ def test_words_and_terms(spark, s):
     (w, t), = _apply(spark, [s], T.words, T.tfidf_terms)
     assert w == [x for x in s.split(" ") if x]
     assert t == [x for x in s.split(" ") if len(x) >= 2]
-
-
-def _stable_chars():
-    out = []
-    for cp in range(0, 0x250):
-        ch = chr(cp)
-        if cp < 0x80 or (unicodedata.normalize("NFKC", ch) == ch and not unicodedata.combining(ch)):
-            out.append(ch)
-    return out
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(_stable_chars()), max_size=40))
-def test_stable_set_strings_are_nfkc(s):
-    assert unicodedata.normalize("NFKC", s) == s
-
-
-def test_needs_nfkc_flags_only_unstable_rows(spark):
-    values = ["plain", "caf\u00e9 stra\u00dfe a\u00f1o", "\uff21\uff22", "\ufb01n", "cafe\u0301",
-              "x\u00a0y", "\u00bd", None]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
-    got = [r[0] for r in df.orderBy("i").select(T.needs_nfkc("s")).collect()]
-    assert got == [False, False, True, True, True, True, True, None]
-    for v, flag in zip(values, got):
-        if v is not None and not flag:
-            assert unicodedata.normalize("NFKC", v) == v
