@@ -502,14 +502,9 @@ TURN_BITS = 20
 def q_score_conversations(spark, sf_dir):
     """The fitted models applied to a second text table, as a user scores a new
     upload: every conversation turn gets the six model columns and the vote."""
-    conv = table(spark, sf_dir, "conversations")
-    turns = conv.select(
-        (F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("nan")).alias("text"))
-    return score_reviews(turns, model_bundle(spark, sf_dir)).select(
-        F.shiftright("doc_id", TURN_BITS).alias("conv_id"),
-        (F.col("doc_id") - F.shiftleft(F.shiftright("doc_id", TURN_BITS), TURN_BITS)).alias("turn"),
-        "pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob_gru", "pred_vote")
+    return score_reviews(_turns(spark, sf_dir), model_bundle(spark, sf_dir)).select(
+        *_split_key(), "pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob_gru",
+        "pred_vote")
 
 
 @register("export_nb", with_nb("""
@@ -517,3 +512,43 @@ SELECT doc_id, pred_nb, printf('%.4f', prob_nb) AS prob_nb FROM scored"""))
 def q_export_nb(spark, sf_dir):
     """The scored table as the CSV export writes it (floats as ``%.4f``)."""
     return format_floats(nb_context(spark, sf_dir).scored.select("doc_id", "pred_nb", "prob_nb"))
+
+
+def _turns(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(
+        (F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("nan")).alias("text"))
+
+
+def _split_key():
+    return [F.shiftright("doc_id", TURN_BITS).alias("conv_id"),
+            (F.col("doc_id") - F.shiftleft(F.shiftright("doc_id", TURN_BITS), TURN_BITS)).alias("turn")]
+
+
+@register("score_conversations_nb", with_nb(f"""
+, ct AS (SELECT conv_id, turn, {S.clean_ml("coalesce(text, 'nan')")} AS clean FROM conversations),
+ctoks AS (SELECT conv_id, turn, unnest(string_split(clean, ' ')) AS term FROM ct),
+ctf AS (SELECT conv_id, turn, term, count(*) AS tf FROM ctoks WHERE length(term) >= 2
+        GROUP BY conv_id, turn, term),
+cs AS (SELECT ct.conv_id, ct.turn,
+              sum((ctf.tf * m.idf) * (ctf.tf * m.idf)) AS s2,
+              sum((ctf.tf * m.idf) * m.lp0) AS a0, sum((ctf.tf * m.idf) * m.lp1) AS a1
+       FROM ct LEFT JOIN ctf ON ct.conv_id = ctf.conv_id AND ct.turn = ctf.turn
+       LEFT JOIN model m ON ctf.term = m.term
+       GROUP BY ct.conv_id, ct.turn),
+cj AS (SELECT conv_id, turn,
+              p0 + coalesce(a0, 0.0) * (CASE WHEN coalesce(s2, 0.0) > 0 THEN 1.0 / sqrt(s2) ELSE 0.0 END) AS j0,
+              p1 + coalesce(a1, 0.0) * (CASE WHEN coalesce(s2, 0.0) > 0 THEN 1.0 / sqrt(s2) ELSE 0.0 END) AS j1
+       FROM cs, prior)
+SELECT conv_id, turn, CAST(j1 > j0 AS INTEGER) AS pred_nb, round(1.0 / (1.0 + exp(j0 - j1)), 6) AS prob_nb
+FROM cj""".replace("\n, ct AS", ", ct AS", 1)))
+def q_score_conversations_nb(spark, sf_dir):
+    """The Naive Bayes fitted on the documents, applied to every conversation
+    turn (the reference's "score a new file" path, oracle-checked)."""
+    from ..operators import naive_bayes as nb_ops
+    from ..operators.scoring import prepare
+    ctx = nb_context(spark, sf_dir)
+    tf = tfidf_ops.term_frequencies(prepare(_turns(spark, sf_dir)), "clean")
+    scored = nb_ops.score_nb(tf, ctx.model)
+    return scored.select(*_split_key(), "pred_nb", round6("prob_nb"))
