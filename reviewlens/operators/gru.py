@@ -195,8 +195,15 @@ def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
     n_parts = partitions or max(1, sc.defaultParallelism)
     data = train.where(F.col(label).isNotNull()).select(
         F.col(ids).alias("ids"), F.col(label).cast("double").alias("y"), "doc_id")
-    # fixed partitions, checkpointed once: every epoch sees the same rows per task
-    data = checkpoint_partitioned(data.repartition(n_parts, "doc_id").sortWithinPartitions("doc_id"))
+    # fixed partitions, checkpointed once: every epoch (and every retried task)
+    # sees the same rows in the same order. Narrowing to one task per core
+    # merges partitions without a shuffle; only a table with fewer partitions
+    # than cores is spread out by key.
+    if data.rdd.getNumPartitions() >= n_parts:
+        data = data.coalesce(n_parts)
+    else:
+        data = data.repartition(n_parts, "doc_id")
+    data = checkpoint_partitioned(data.sortWithinPartitions("doc_id"))
     p = init_params(num_words, embed, hidden, seed)
     template = {k: v.copy() for k, v in p.items()}
     best, best_loss, stale = p, float("inf"), 0
