@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from .lineage import bounded_broadcast, write_table
+from .ranking import global_rank
 
 PAD_ID = 0
 OOV_ID = 1
@@ -27,14 +28,12 @@ class WordIndex:
 
 
 def fit_word_index(train: DataFrame, text: str = "clean_light", num_words: int = 20000) -> WordIndex:
-    """Rank words by frequency. The top-k is cut before ranking
-    (``TakeOrderedAndProject``), so the ranking window holds at most
-    ``num_words`` rows whatever the corpus size."""
+    """Rank words by frequency (exact distributed rank, ties to the smaller
+    word) and keep the ``num_words - 2`` first: ids 2, 3, ..."""
     counts = (train.select(F.explode(words(text)).alias("word"))
               .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.desc("count"), F.asc("word")).limit(num_words - 2)
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc("word")))
-    table = write_table(top.select("word", "count", (rank + 1).cast("int").alias("id")),
+    top = global_rank(counts, [F.desc("count"), F.asc("word")], k=num_words - 2)
+    table = write_table(top.select("word", "count", (F.col("rank") + 2).cast("int").alias("id")),
                         "word-index")
     return WordIndex(table, num_words, table.count())
 

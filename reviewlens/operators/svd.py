@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lineage import bounded_broadcast, checkpoint_partitioned
+from .ranking import global_rank
 
 # Largest vocabulary whose V x l basis the driver holds (8 bytes per entry).
 MAX_SVD_TERMS = 300_000
@@ -37,16 +38,14 @@ class SVDModel:
 
 
 def index_terms(vocab: DataFrame, n_terms: int) -> DataFrame:
-    """Dense 0-based index of the vocabulary in term order.
-
-    The basis the index addresses is held on the driver and capped at
-    ``MAX_SVD_TERMS``, so the ranking window's single partition is bounded by
-    the same cap; a larger vocabulary is rejected here, before any work."""
+    """Dense 0-based index of the vocabulary in term order (exact distributed
+    rank). The basis the index addresses is held on the driver and capped at
+    ``MAX_SVD_TERMS``; a larger vocabulary is rejected here, before any work."""
     if n_terms > MAX_SVD_TERMS:
         raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
                          "fit the vocabulary with max_features")
-    rank = F.row_number().over(Window.orderBy("term")) - 1
-    return vocab.select("term", rank.cast("int").alias("idx"))
+    ranked = global_rank(vocab.select("term"), [F.asc("term")], name="idx")
+    return ranked.select("term", F.col("idx").cast("int").alias("idx"))
 
 
 def sparse_rows(x: DataFrame, index: DataFrame, n_terms: int, key: str = "doc_id",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tfidf_terms
 from .lineage import bounded_broadcast, write_table
+from .ranking import global_rank
 
 
 @dataclass
@@ -44,8 +45,9 @@ def fit_tfidf(train_tf: DataFrame, n_docs: int, min_df: int = 1,
     if min_df > 1:
         stats = stats.where(F.col("df") >= min_df)
     if max_features is not None:
-        # top terms by corpus frequency, ties to the smaller term
-        stats = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        # top terms by corpus frequency, ties to the smaller term (exact
+        # distributed rank: no task gathers the whole vocabulary)
+        stats = global_rank(stats, [F.desc("cf"), F.asc("term")], k=max_features).drop("rank")
     n = float(n_docs)
     table = stats.select(
         "term", "df",

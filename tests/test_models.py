@@ -221,3 +221,12 @@ def test_vote_threshold_and_guard(spark):
     g = spark.createDataFrame([(1, 0.9), (None, None)], "pred_nb int, prob_nb double")
     out = guard_scores(g, "nb").collect()
     assert [(r.pred_nb, r.prob_nb, r.score_ok_nb) for r in out] == [(1, 0.9, True), (0, 0.0, False)]
+
+
+def test_global_rank_is_exact_across_partitions(spark):
+    from reviewlens.operators.ranking import global_rank
+    rows = [(f"w{i:03d}", (i * 37) % 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "word string, count long").repartition(7)
+    got = global_rank(df, [F.desc("count"), F.asc("word")], k=50).orderBy("rank").collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:50]
+    assert [(r.word, r["count"], r["rank"]) for r in got] == [(w, c, i) for i, (w, c) in enumerate(want)]
