@@ -15,6 +15,7 @@ from . import svd as svd_ops
 from . import tfidf as tfidf_ops
 from . import trees as tree_ops
 from .ensemble import guard_scores, vote
+from .lineage import checkpoint_partitioned
 
 MODEL_COLUMNS = ["pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob_gru"]
 
@@ -32,17 +33,19 @@ class ModelBundle:
 
 def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
             keep: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
-    """Clean the text once, hash-partitioned by ``key``: every per-document
-    step after it (term counts, norms, document scores, sparse rows, id
-    sequences) is then shuffle-free, and the branches share the one exchange.
+    """The reviews hash-partitioned by ``key`` and checkpointed once, with the
+    cleaned texts as lazy columns. The three model branches read this one
+    stored copy: the text is scanned, normalised and shuffled once (not once
+    per branch), and every per-document step after it is shuffle-free.
     NFKC (an Arrow UDF) runs before the exchange so the partitioning stays
-    visible to the planner."""
+    visible to the planner; only its delta is stored next to the text."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     moved = df.select(key, *keep, F.col(text).alias("_text"),
                       nfkc_delta(text).alias("_nfkc")).repartition(n, key)
+    stored = checkpoint_partitioned(moved)
     norm = F.coalesce(F.col("_nfkc"), F.col("_text"))
-    return moved.select(key, *keep, clean_ml(norm, normalize=False).alias("clean"),
-                        clean_light(norm, normalize=False).alias("clean_light"))
+    return stored.select(key, *keep, clean_ml(norm, normalize=False).alias("clean"),
+                         clean_light(norm, normalize=False).alias("clean_light"))
 
 
 def score_prepared(prepared: DataFrame, models: ModelBundle, key: str = "doc_id",

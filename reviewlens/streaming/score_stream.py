@@ -36,13 +36,10 @@ def score_stream(stream: DataFrame, models: ModelBundle, out_path: str, checkpoi
                  processing_time: str | None = None) -> StreamingQuery:
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         std = batch.select(key, F.coalesce(F.col(text).cast("string"), F.lit("nan")).alias("text"))
-        prepared = std.transform(lambda d: prepare(d, "text", key)).persist()
-        try:
-            scored = score_prepared(prepared, models, key).withColumn("batch_id", F.lit(batch_id))
-            (scored.write.mode("overwrite")
-             .parquet(f"{out_path}/batch_id={batch_id}"))
-        finally:
-            prepared.unpersist()
+        # one checkpointed, doc_id-partitioned copy of the batch feeds all three models
+        prepared = prepare(std, "text", key)
+        scored = score_prepared(prepared, models, key).withColumn("batch_id", F.lit(batch_id))
+        scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -34,3 +34,11 @@ def test_scan_reads_only_needed_columns(spark):
 def test_model_tables_are_broadcast_not_shuffled(spark):
     plan = _plan(E.queries()["score_nb"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
+
+
+def test_new_table_text_is_shuffled_once_for_all_models(spark):
+    """Scoring a new table: the three model branches read one stored,
+    doc_id-partitioned copy of the text; none re-scans, re-normalises or
+    re-shuffles it."""
+    plan = _plan(E.queries()["score_conversations"](spark, SF_SMALL))
+    assert "REPARTITION_BY_NUM" not in plan and "ArrowEvalPython" not in plan, plan
