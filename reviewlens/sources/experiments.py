@@ -7,8 +7,6 @@ model order below. Without a readable document the published numbers are used.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +34,10 @@ def published_metrics(spark: SparkSession) -> DataFrame:
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path):
+    try:  # Spark resolves the path (local, HDFS, object store)
+        doc = spark.read.text(path, wholetext=True)
+    except Exception:  # no such document
         return published_metrics(spark)
-    doc = spark.read.text(path, wholetext=True)
     entries = doc.select(F.posexplode(F.from_json("value", ENTRY_TYPE)).alias("i", "name", "m"))
     order = F.create_map(*[x for i, n in enumerate(MODEL_ORDER) for x in (F.lit(n.lower()), F.lit(i))])
     key = F.lower(F.trim(F.col("name")))

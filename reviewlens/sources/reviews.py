@@ -7,8 +7,6 @@ null after reading, since Spark's CSV reader knows a single ``nullValue``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ class UnreadableInput(ValueError):
 def read_csv_reviews(spark: SparkSession, path: str, schema=None, glob: str | None = "*.csv") -> DataFrame:
     reader = (spark.read.option("header", True).option("escape", '"').option("quote", '"')
               .option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8"))
-    if glob and os.path.isdir(path):
+    if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(schema)
@@ -46,22 +44,25 @@ def mark_missing(df: DataFrame, markers: list[str] = NA_MARKERS) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the extension (case-insensitive): ``.csv`` or ``.xlsx``; a
-    folder is read as CSV files, or as workbooks when it holds only ``.xlsx``."""
+    """Dispatch on the extension (case-insensitive): ``.csv`` or ``.xlsx``. Any
+    other path is a folder (local, HDFS, object store: Spark lists it): its
+    ``.csv`` files, else its ``.xlsx`` workbooks."""
+    from .workbooks import read_workbooks
     low = path.lower()
     try:
         if low.endswith(".csv"):
             return read_csv_reviews(spark, path, glob=None)
         if low.endswith(".xlsx"):
-            from .workbooks import read_workbooks
             return read_workbooks(spark, path)
-        if os.path.isdir(path):
-            names = [n.lower() for n in os.listdir(path)]
-            if any(n.endswith(".csv") for n in names):
-                return read_csv_reviews(spark, path)
-            if any(n.endswith(".xlsx") for n in names):
-                from .workbooks import read_workbooks
-                return read_workbooks(spark, path)
     except Exception as e:  # surface one typed error, as the reference stops with a message
         raise UnreadableInput(f"cannot read {path}: {e}") from e
-    raise UnreadableInput(f"cannot read {path}: expected .csv or .xlsx")
+    errors = []
+    for reader in (lambda: read_csv_reviews(spark, path, glob="*.[cC][sS][vV]"),
+                   lambda: read_workbooks(spark, path)):
+        try:
+            df = reader()
+            if df.columns and df.columns != ["path"]:
+                return df
+        except Exception as e:  # no file of that kind in the folder
+            errors.append(str(e).splitlines()[0])
+    raise UnreadableInput(f"cannot read {path}: no .csv or .xlsx review files ({'; '.join(errors)})")

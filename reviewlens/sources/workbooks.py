@@ -92,7 +92,7 @@ def _explode_workbooks(batches, chunk: int = 10_000):
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
              if not path.lower().endswith(".xlsx") else
              spark.read.format("binaryFile").load(path))
     return files.select("path", "content").mapInPandas(
