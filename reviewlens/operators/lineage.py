@@ -50,3 +50,16 @@ def checkpoint_partitioned(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def text_partitions(df: DataFrame, partitions: int | None = None) -> int:
+    """Partition count for the one shuffle of the review text: an explicit
+    value, else the larger of ``spark.sql.shuffle.partitions`` and the scan's
+    own split count (Spark sizes splits from the input bytes and
+    ``spark.sql.files.maxPartitionBytes``), so no reducer holds more than an
+    input split's worth of text on average, whatever the data size. AQE cannot
+    resize this shuffle later, as later stages rely on its partitioning."""
+    if partitions:
+        return partitions
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, df.rdd.getNumPartitions())

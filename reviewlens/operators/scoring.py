@@ -15,7 +15,7 @@ from . import svd as svd_ops
 from . import tfidf as tfidf_ops
 from . import trees as tree_ops
 from .ensemble import guard_scores, vote
-from .lineage import checkpoint_partitioned
+from .lineage import checkpoint_partitioned, text_partitions
 
 MODEL_COLUMNS = ["pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob_gru"]
 
@@ -39,7 +39,7 @@ def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
     per branch), and every per-document step after it is shuffle-free.
     NFKC (an Arrow UDF) runs before the exchange so the partitioning stays
     visible to the planner; only its delta is stored next to the text."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = text_partitions(df, partitions)
     moved = df.select(key, *keep, F.col(text).alias("_text"),
                       nfkc_delta(text).alias("_nfkc")).repartition(n, key)
     stored = checkpoint_partitioned(moved)

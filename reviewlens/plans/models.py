@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_light, clean_ml, nfkc_delta
 from ..operators import naive_bayes as nb
 from ..operators import tfidf as tf
-from ..operators.lineage import checkpoint_partitioned, write_table
+from ..operators.lineage import checkpoint_partitioned, text_partitions, write_table
 from .corpus import reviews, with_split
 
 _CACHE: dict = {}
@@ -50,8 +50,7 @@ def prepared_docs(df: DataFrame, partitions: int | None = None) -> DataFrame:
     NFKC delta (null where NFKC changes nothing) are stored; the regex cleaning
     is recomputed by each consumer rather than stored as two more copies.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = text_partitions(df, partitions)
     # NFKC (an Arrow UDF, whose plan node hides the partitioning) runs before
     # the shuffle; only codegen'd regex work follows it.
     base = with_split(df).select("doc_id", "score", "is_train", "text",
