@@ -407,7 +407,10 @@ def q_vote(spark, sf_dir):
 
 @register("class_distribution_vote")
 def q_class_distribution_vote(spark, sf_dir):
-    return summary.class_distribution(_all_scores(spark, sf_dir), "pred_vote")
+    """Distribution for the "all models" choice: the 2-of-3 vote, picked the
+    way the summaries pick a prediction column (``select_prediction``)."""
+    scores = _all_scores(spark, sf_dir).select("doc_id", "pred_nb", "pred_gbt", "pred_gru")
+    return summary.class_distribution(scores, columns.select_prediction(scores, "all"))
 
 
 def _with_text(spark, sf_dir, preds):
