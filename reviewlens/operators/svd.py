@@ -61,6 +61,25 @@ def sparse_rows(x: DataFrame, index: DataFrame, n_terms: int, key: str = "doc_id
             .select(key, *keep, F.col("p.idx").alias("idx"), F.col("p.x").alias("val")))
 
 
+# Non-zeros handled at once inside a task: bounds the dense nnz x l temporaries
+# (about 240 MB at l = 30) whatever the batch's document lengths.
+MAX_CHUNK_NNZ = 1_000_000
+
+
+def _chunks(pdf: pd.DataFrame, max_nnz: int = MAX_CHUNK_NNZ):
+    """Consecutive row slices of an Arrow batch with at most ``max_nnz``
+    non-zeros each (a single longer document forms its own slice)."""
+    lens = np.fromiter((len(a) for a in pdf["idx"]), dtype=np.int64, count=len(pdf))
+    start, acc = 0, 0
+    for i, n in enumerate(lens):
+        if acc and acc + n > max_nnz:
+            yield pdf.iloc[start:i]
+            start, acc = i, 0
+        acc += n
+    if start < len(pdf):
+        yield pdf.iloc[start:]
+
+
 def _flatten(pdf: pd.DataFrame):
     lens = np.fromiter((len(a) for a in pdf["idx"]), dtype=np.int64, count=len(pdf))
     ptr = np.concatenate([[0], np.cumsum(lens)])
@@ -105,12 +124,13 @@ def gram_times(rows: DataFrame, m: np.ndarray, block: int = 4096) -> np.ndarray:
         mv = bm.value
         z = np.zeros_like(mv)
         seen = False
-        for pdf in batches:
-            idx, val, ptr = _flatten(pdf)
-            if not len(idx):
-                continue
-            seen = True
-            z += rows_t_times(idx, val, ptr, rows_times(idx, val, ptr, mv), v)
+        for batch in batches:
+            for pdf in _chunks(batch):
+                idx, val, ptr = _flatten(pdf)
+                if not len(idx):
+                    continue
+                seen = True
+                z += rows_t_times(idx, val, ptr, rows_times(idx, val, ptr, mv), v)
         if not seen:
             return
         starts = range(0, v, block)
@@ -169,11 +189,12 @@ def svd_project(rows: DataFrame, model: SVDModel, key: str = "doc_id",
 
     def project(batches):
         b = basis.value
-        for pdf in batches:
-            idx, val, ptr = _flatten(pdf)
-            y = rows_times(idx, val, ptr, b)
-            out = pdf[[key, *keep]].copy()
-            out["svd"] = list(y)
-            yield out
+        for batch in batches:
+            for pdf in _chunks(batch):
+                idx, val, ptr = _flatten(pdf)
+                y = rows_times(idx, val, ptr, b)
+                out = pdf[[key, *keep]].copy()
+                out["svd"] = list(y)
+                yield out
 
     return rows.mapInPandas(project, schema)

@@ -230,3 +230,22 @@ def test_global_rank_is_exact_across_partitions(spark):
     got = global_rank(df, [F.desc("count"), F.asc("word")], k=50).orderBy("rank").collect()
     want = sorted(rows, key=lambda r: (-r[1], r[0]))[:50]
     assert [(r.word, r["count"], r["rank"]) for r in got] == [(w, c, i) for i, (w, c) in enumerate(want)]
+
+
+def test_svd_chunking_does_not_change_results(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 12)) * (rng.random((40, 12)) < 0.4)
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(a) for a in r[r != 0]])
+            for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, idx array<int>, val array<double>")
+    m = rng.standard_normal((12, 3))
+    whole = SVD.gram_times(df, m)
+    chunks = list(SVD._chunks(df.toPandas(), max_nnz=7))
+    assert sum(len(c) for c in chunks) == 40
+    assert all(sum(len(a) for a in c["idx"]) <= 7 or len(c) == 1 for c in chunks)
+    np.testing.assert_allclose(whole, x.T @ (x @ m), atol=1e-10)
+    by_chunk = np.zeros_like(m)
+    for c in chunks:
+        idx, val, ptr = SVD._flatten(c)
+        by_chunk += SVD.rows_t_times(idx, val, ptr, SVD.rows_times(idx, val, ptr, m), 12)
+    np.testing.assert_allclose(by_chunk, whole, atol=1e-10)
