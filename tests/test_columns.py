@@ -71,3 +71,12 @@ def test_one_class_only_and_ties(spark):
     assert [(r["class"], r["count"], r.percent) for r in dist] == [(1, 3, 100.0)]
     top = summary.top_tokens(df, "pred", n=2).orderBy("rank").collect()
     assert [(r.token, r["count"]) for r in top] == [("a", 2), ("b", 2)]
+
+
+def test_with_doc_id_is_stable_across_actions(spark):
+    df = spark.createDataFrame([(f"review {i}",) for i in range(50)], "text string").repartition(4)
+    keyed = C.with_doc_id(df)
+    first = {r.text: r.doc_id for r in keyed.collect()}
+    second = {r.text: r.doc_id for r in keyed.orderBy("text").collect()}
+    assert first == second and len(set(first.values())) == 50
+    assert C.with_doc_id(keyed) is keyed      # an existing key is kept
