@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -48,35 +50,44 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it; only when it is unset (local tests) a scratch folder is
-    created and registered, so later stages can write lineage-cutting tables.
+    Where it is unset, a session whose executors are this machine (``local``) gets a scratch folder;
+    on a cluster that would be a folder other machines cannot read, so it is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    path = path or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir()
-    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:
-            pass
+        spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique sub-folder of the checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    """A sub-folder of the checkpoint folder that no other session or call gets."""
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+_shipped: set[str] = set()
 
 
-_counter = _count()
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application, so that they import it wherever
+    they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="reviewlens-zip-"), "reviewlens.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("reviewlens", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
