@@ -45,6 +45,8 @@ ID_BITS, ID_MASK, NONE = 32, (1 << 32) - 1, 1 << 90
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() cuts at although it has not the property.
+#: Marks that often end a piece.
+_STOPS = frozenset(".,;:!?")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
@@ -109,7 +111,10 @@ class Model:
         cut = next((s for s in steps if s["type"] == "Split"), None)
         if cut is None or not cut.get("invert") or cut["behavior"] != "Removed":
             raise ValueError("only vocabularies that cut words out of white space are read")
-        self.pieces = regex.compile(cut["pattern"]["Regex"].replace(r"\s", SPACE))
+        pattern = cut["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
+        #: Runs of letters and runs of punctuation are words whatever stands beside them.
+        self.letters_are_words = r"|[\p{L}]+|" in pattern and pattern.endswith(r"|[^\s\p{L}\p{N}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def _decode_table(self, decoder: dict | None, names: dict[int, str], symbols: list[str]) -> list[bytes]:
@@ -198,52 +203,66 @@ class WordEncoder:
         return merge([*(self.model.inner[b] for b in held[:-1]), self.model.last[held[-1]]], self.model.ranks)
 
 
+class Words(dict):
+    """Word -> packed ids; remembers the short ones."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        m, data = self.model, word.encode()
+        if len(word) <= SHORT:
+            symbols = [m.inner[b] for b in data]
+            symbols[-1] = m.last[data[-1]]
+            ids = merge(symbols, m.ranks)
+        else:
+            encoder, ids = WordEncoder(m), []
+            for at in range(0, len(data), WINDOW):
+                ids += encoder.push(data[at:at + WINDOW])
+            ids += encoder.finish()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class Encoder(dict):
     """Text -> packed ids (little-endian unsigned 32 bit). As a dict: ids of the short pieces met so far;
     ``words``: those of their words."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-        self.words: dict[str, list[int]] = {}
+        self.model, self.words = model, Words(model)
+        self.marks = {s[0] for s in model.special}
 
     def __missing__(self, piece: str) -> bytes:
-        found = [*self._ids(piece)]
-        ids = struct.pack(f"<{len(found)}I", *found)
+        m = self.model
+        if m.specials and not self.marks.isdisjoint(piece):
+            ids = b"".join([struct.pack("<I", m.special[part]) if part in m.special else self._plain(part) for part in m.specials.split(piece)])
+        else:
+            ids = self._plain(piece)
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = ids
         return ids
 
-    def _ids(self, piece: str) -> Iterator[int]:
+    def _plain(self, text: str) -> bytes:
         m = self.model
-        for part in m.specials.split(piece) if m.specials else [piece]:
-            if part in m.special:
-                yield m.special[part]
-                continue
-            if m.nfc and not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            if m.lower:  # each character by itself: no rule for a final sigma
-                part = part.lower() if part.isascii() else part.replace("Σ", "σ").lower()
-            for found in m.pieces.finditer(part):
-                yield from self._word(found.group())
-
-    def _word(self, word: str) -> list[int]:
-        if (ids := self.words.get(word)) is not None:
-            return ids
-        encoder, ids = WordEncoder(self.model), []
-        if len(word) > SHORT:
-            for at in range(0, len(word), WINDOW):
-                ids += encoder.push(word[at:at + WINDOW].encode())
+        if text.isascii():
+            text = text.lower() if m.lower else text
         else:
-            encoder.held = word.encode()
-        ids += encoder.finish()
-        if len(word) <= SHORT:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+            text = unicodedata.normalize("NFC", text) if m.nfc else text
+            # each character by itself: no rule for a final sigma
+            text = text.replace("Σ", "σ").lower() if m.lower else text
+        if m.letters_are_words and text.isalpha():
+            return self.words[text]
+        if m.letters_are_words and text[-1:] in _STOPS and text[:-1].isalpha():
+            return self.words[text[:-1]] + self.words[text[-1]]
+        return b"".join([self.words[found.group()] for found in m.pieces.finditer(text)])
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """Packed ids of a text, window by window; windows end at white space."""

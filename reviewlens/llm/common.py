@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from reviewlens.session import scratch_path
 
+#: Text that a column function takes in at a time.
+SLICE_BYTES = 1 << 21
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,13 +46,16 @@ def col(name: str):
 def per_text(fn: Callable[[], Callable[[list], pa.Array]], returns: str):
     """A column function text -> value from ``fn``, a factory called once per task.
 
-    What the factory returns gets each Arrow batch's texts (None for null) and gives back an Arrow array.
+    What the factory returns gets an Arrow array of texts and gives back an Arrow array. Batches are taken in slices
+    of about SLICE_BYTES, so that a task holds the results of one slice only.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = fn()
         for batch in batches:
-            yield apply(batch)
+            rows = max(1, SLICE_BYTES * len(batch) // max(batch.nbytes, 1))
+            for at in range(0, len(batch), rows):
+                yield apply(batch.slice(at, rows))
 
     return F.arrow_udf(run, returns)
 
