@@ -35,6 +35,8 @@ BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<4sBxxxIQ")
 SHORT, REMEMBERED = 48, 400_000
+#: Marks that often end a piece.
+_STOPS = frozenset(".,;:!?")
 
 SEGMENTS = "part int, segment int, inside bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, payload binary"
 
@@ -99,9 +101,12 @@ class TextIds(dict):
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_piece = self._byte_level(path)
-        # Python's own notion of white space is wider than the library's: such spaces are no cuts
+        # a space is no cut before another space or at the end, nor before what only Python takes for white space
         self.cut = regex.compile(r" (?=\S)")
-        self.odd = regex.compile(r" (?:\s|$)|[\x1c-\x1f]")
+        self.odd = [" " + c for c in map(chr, range(0x3001)) if c.isspace()] + [chr(c) for c in range(0x1C, 0x20)]
+        #: Ids of the pieces that a space comes before, by the piece; those of an earlier time; those of other pieces.
+        self.old: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
 
     def _byte_level(self, path: str) -> bool:
         import json
@@ -115,24 +120,58 @@ class TextIds(dict):
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __missing__(self, piece: str) -> bytes:
-        return self._whole([piece])[0]
-
-    def _pieces(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+        """Pieces too long to be remembered, and words that a mark ends: a mark starts a piece of its own."""
+        if piece[-1:] in _STOPS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self._first(piece[-1])
+            self[piece] = ids
+            return ids
+        return self._whole([" " + piece])[0]
+
+    def _first(self, piece: str) -> bytes:
+        if (ids := self.first.get(piece)) is None:
+            ids = self._whole([piece])[0]
+            if len(piece) <= SHORT and len(self.first) < REMEMBERED // 8:
+                self.first[piece] = ids
+        return ids
+
+    def _parts(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.specials):
+            return None
+        if text[-1:] == " " or any(s in text for s in self.odd):
+            return self.cut.split(text)
+        return text.split(" ")
+
+    def _meet(self, split: list[list[str] | None]) -> None:
+        """Have the library encode all short pieces not met before."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        found: set[str] = set()
+        for parts in split:
+            if parts:
+                found.update(parts[1:])
+        todo: set[str] = set()
+        for piece in found.difference(self):
+            if (ids := self.old.get(piece)) is not None:
+                self[piece] = ids
+            elif piece[-1:] in _STOPS and piece[:-1].isalpha():
+                if piece[:-1] not in self and len(piece) <= SHORT:
+                    todo.add(piece[:-1])
+            elif len(piece) <= SHORT:
+                todo.add(piece)
+        ordered = [*todo]
+        for at in range(0, len(ordered), 4096):
+            some = ordered[at:at + 4096]
+            self.update(zip(some, self._whole([" " + p for p in some])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; pieces not met before go to the library together."""
+        """Ids of each text."""
         if not self.by_piece:
             return self._whole(texts)
-        split = [None if any(s in t for s in self.specials) else self._pieces(t) for t in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = {p for parts in split if parts for p in parts if len(p) <= SHORT and p not in self}
-        ordered = [*new]
-        for at in range(0, len(ordered), 4096):
-            self.update(zip(ordered[at:at + 4096], self._whole(ordered[at:at + 4096])))
-        return [self._whole([t])[0] if parts is None else b"".join(map(self.__getitem__, parts)) for t, parts in zip(texts, split)]
+        split = [self._parts(t) for t in texts]
+        self._meet(split)
+        return [self._whole([t])[0] if parts is None else self._first(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
+                for t, parts in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
