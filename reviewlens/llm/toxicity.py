@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import col, fresh, per_text, stored
 
-BITS = 20
+BITS = 18
 SHARDS, ROUNDS = 8, 4
 MOST_LABELLED = 40_000
 #: FTRL parameters: learning rate, its damping, and the two penalties; how many times a toxic row counts.
@@ -124,13 +124,13 @@ class ToxicityModel:
     intercept: float
 
 
-def _shard(z: bytes, n: bytes):
+def _shard(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, State] = {}
         for batch in batches:
             for shard, label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if shard not in shards:
-                    shards[shard] = State(np.frombuffer(z).copy(), np.frombuffer(n).copy())
+                    shards[shard] = State(*(x.copy() for x in sent.value))
                 shards[shard].learn(np.frombuffer(found, "<i4"), label)
         for state in shards.values():
             at = np.flatnonzero(state.n)
@@ -155,11 +155,13 @@ def fit(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", most
     state = State.empty()
     for _ in range(ROUNDS):
         rows_ = coded.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h").select("shard", "y", "f")
-        learned = rows_.mapInArrow(_shard(state.z.tobytes(), state.n.tobytes()), "at bigint, z double, n double")
+        sent = df.sparkSession.sparkContext.broadcast((state.z, state.n))
+        learned = rows_.mapInArrow(_shard(sent), "at bigint, z double, n double")
         mean = learned.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
         state = State.empty()
         at = mean["at"].to_numpy()
         state.z[at], state.n[at] = mean["z"].to_numpy(), mean["n"].to_numpy()
+        sent.destroy()
     w = state.weights(np.arange(len(state.z)))
     kept = np.flatnonzero(w[:-1])
     return ToxicityModel(kept, w[kept], float(w[-1]))
