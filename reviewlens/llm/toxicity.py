@@ -19,6 +19,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, per_text, stored
+from reviewlens.session import scratch_path
+
+from .common import col, per_text
 
 BITS = 18
 SHARDS, ROUNDS = 8, 4
@@ -139,23 +142,22 @@ def _shard(sent):
     return run
 
 
-def fit(df: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> ToxicityModel | None:
-    """Model of the rows of ``df`` whose label is 0 or 1; of more than ``most``, those of the least key hash."""
-    named = df.where(col(label).isin(0, 1) & col(key).isNotNull()).select(
-        F.xxhash64(col(key), F.lit("learn")).alias("h"), col(label).cast("int").alias("y"), col(text).cast("string").alias("t"))
-    rows = named.count()
-    if not rows:
-        return None
-    if rows > most:
-        # a hash bound that the wanted share of rows lies under: no sort of the corpus
-        named = named.where(F.pmod(F.col("h"), F.lit(1 << 32)) < int((1 << 32) * most / rows))
+def fit(rows: DataFrame) -> ToxicityModel | None:
+    """Model of ``rows`` (h: hash of the key, y: 0 or 1, t: text), a bounded number of them."""
+    spark = rows.sparkSession
     found = per_text(lambda: lambda batch: pa.array([features(t).astype("<i4").tobytes() for t in batch.to_pylist()], pa.binary()), "binary")
-    coded = named.select("h", "y", found("t").alias("f")).repartition(SHARDS, F.pmod("h", F.lit(SHARDS)))
-    coded = stored(coded.sortWithinPartitions("h").select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "y", "f", "h"), "toxicity-rows")
+    coded = rows.select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "h", "y", found("t").alias("f"))
+    path = scratch_path(spark, "toxicity-rows")
+    coded.repartition(SHARDS, "shard").write.partitionBy("shard").parquet(path)
+    kept = spark.read.schema("h bigint, y int, f binary, shard int").parquet(path)
+    if not kept.head(1):
+        return None
+    # a task for each shard: its files are read again in each round, not shuffled
+    shards = [kept.where(F.col("shard") == s).coalesce(1).sortWithinPartitions("h").select("shard", "y", "f") for s in range(SHARDS)]
+    rows_ = reduce(DataFrame.unionAll, shards)
     state = State.empty()
     for _ in range(ROUNDS):
-        rows_ = coded.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h").select("shard", "y", "f")
-        sent = df.sparkSession.sparkContext.broadcast((state.z, state.n))
+        sent = spark.sparkContext.broadcast((state.z, state.n))
         learned = rows_.mapInArrow(_shard(sent), "at bigint, z double, n double")
         mean = learned.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
         state = State.empty()
@@ -190,20 +192,17 @@ def score(df: DataFrame, model: ToxicityModel | None, text: str = "text") -> Col
     return per_text(task, "double")(col(text).cast("string"))
 
 
-def labelled(df: DataFrame, labels: DataFrame, column: str, key: str = "doc_id") -> tuple[DataFrame, str]:
-    """``df`` with its rows' label (null if there is none), and the label's column name. Of several labels of one key
-    the greatest counts."""
-    mine, theirs = fresh(df, "_label", "_of")
-    one = labels.where(col(key).isNotNull() & col(column).isNotNull()).groupBy(col(key).alias(theirs)).agg(F.max(col(column)).alias(mine))
-    return df.join(one, col(key) == F.col(theirs), "left").drop(theirs), mine
-
-
-def learn(df: DataFrame, labels: DataFrame, held_out: Column, column: str = "toxic", key: str = "doc_id", text: str = "text") -> ToxicityModel | None:
-    """Model of the labelled rows of ``df`` where ``held_out`` is false."""
-    named = df.select(col(key).alias("doc_id"), col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("out"))
-    wanted = labels.select(col(key).alias("doc_id"), col(column).alias("label"))
-    joined, label = labelled(named.where(~F.col("out")).select("doc_id", "text"), wanted, "label", "doc_id")
-    return fit(joined, label, "doc_id", "text")
+def learn(df: DataFrame, labels: DataFrame, held_out: Column, column: str = "toxic", key: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> ToxicityModel | None:
+    """Model of the rows of ``df`` with a label of 0 or 1 (of several labels of one key the greatest counts) where
+    ``held_out`` is false. Of more than ``most`` labels, those of the least key hash are taken: so few rows are
+    broadcast, and the texts stay where they are."""
+    wanted = labels.select(col(key).cast("bigint").alias("of"), col(column).cast("int").alias("y")).where("of is not null and y in (0, 1)").groupBy("of").agg(F.max("y").alias("y"))
+    wanted = wanted.withColumn("h", F.xxhash64("of", F.lit("learn")))
+    n = wanted.count()
+    if n > most:
+        wanted = wanted.where(F.pmod("h", F.lit(1 << 32)) < (1 << 32) * most // n)
+    docs = df.where(~F.coalesce(held_out, F.lit(False))).select(col(key).cast("bigint").alias("doc_id"), col(text).cast("string").alias("t"))
+    return fit(docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("of")).select("h", "y", "t"))
 
 
 def classify(df: DataFrame, labels: DataFrame, held_out: Column, column: str = "toxic", key: str = "doc_id", text: str = "text") -> DataFrame:
