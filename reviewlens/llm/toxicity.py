@@ -19,7 +19,6 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.session import scratch_path
-
-from .common import col, per_text
+from .common import col, per_text, stored
 
 BITS = 18
 SHARDS, ROUNDS = 8, 4
-MOST_LABELLED = 40_000
+MOST_LABELLED = 24_000
 #: FTRL parameters: learning rate, its damping, and the two penalties; how many times a toxic row counts.
 ALPHA, BETA, L1, L2, POSITIVE = 4.0, 1.0, 2.0, 1.0, 2.0
 REMEMBERED = 300_000
@@ -146,15 +143,10 @@ def fit(rows: DataFrame) -> ToxicityModel | None:
     """Model of ``rows`` (h: hash of the key, y: 0 or 1, t: text), a bounded number of them."""
     spark = rows.sparkSession
     found = per_text(lambda: lambda batch: pa.array([features(t).astype("<i4").tobytes() for t in batch.to_pylist()], pa.binary()), "binary")
-    coded = rows.select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "h", "y", found("t").alias("f"))
-    path = scratch_path(spark, "toxicity-rows")
-    coded.repartition(SHARDS, "shard").write.partitionBy("shard").parquet(path)
-    kept = spark.read.schema("h bigint, y int, f binary, shard int").parquet(path)
-    if not kept.head(1):
+    coded = stored(rows.select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "h", "y", found("t").alias("f")), "toxicity-rows")
+    if not coded.head(1):
         return None
-    # a task for each shard: its files are read again in each round, not shuffled
-    shards = [kept.where(F.col("shard") == s).coalesce(1).sortWithinPartitions("h").select("shard", "y", "f") for s in range(SHARDS)]
-    rows_ = reduce(DataFrame.unionAll, shards)
+    rows_ = coded.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h").select("shard", "y", "f")
     state = State.empty()
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast((state.z, state.n))
