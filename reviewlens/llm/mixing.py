@@ -97,12 +97,16 @@ def fit_rates(table: DataFrame, targets: np.ndarray, least: float = 0.0, most: f
     # the error is weighted by the inverse of this matrix: its gradient then has the Lipschitz constant 1
     weight = np.linalg.inv(h + np.eye(d) * (1e-6 * np.trace(h) / d + 1e-9))
     steps: list[np.ndarray] = []
+    last = np.full(d, np.inf)
     while True:
         rate = rate_of(steps, least, most)
         totals = np.array([x or 0.0 for x in table.agg(*(F.sum(rate * n * p[i]).alias(f"t{i}") for i in range(d))).first()])
         error = totals - targets
-        if len(steps) >= STEPS or np.abs(error).sum() <= ENOUGH * max(targets.sum(), 1.0):
+        enough = ENOUGH * max(targets.sum(), 1.0)
+        # met, or at the limits of the rates: the totals no longer move
+        if len(steps) >= STEPS or np.abs(error).sum() <= enough or np.abs(totals - last).sum() <= enough:
             return steps, totals
+        last = totals
         steps.append(weight @ error)
 
 
