@@ -111,6 +111,11 @@ def raw_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_PATTERN), 0)
 
 
+def is_blank(c) -> Column:
+    """Nothing but Unicode white space (null for a null)."""
+    return ~F.rlike(_col(c), F.lit(f"[^{PY_WHITESPACE}]"))
+
+
 def label_text(c) -> Column:
     return F.when(_col(c) == 1, F.lit("Positif")).otherwise(F.lit("Negatif"))
 
@@ -125,8 +130,9 @@ def confidence_pct(c) -> Column:
 
 
 def to_count(c) -> Column:
-    """Force numeric; anything unparsable becomes 0."""
-    return F.coalesce(F.expr(f"try_cast({_sql(c)} as int)"), F.lit(0))
+    """Force numeric (decimals are cut, exponents read); anything unparsable becomes 0."""
+    number = f"try_cast({_sql(c)} as double)"
+    return F.coalesce(F.expr(f"try_cast(if(isnan({number}), null, {number}) as int)"), F.lit(0))
 
 
 def _sql(c) -> str:

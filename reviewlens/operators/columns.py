@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+
 # --- Fixed values: accepted column names, in priority order ---------------------
 TEXT_CANDIDATES = ["text", "content", "review", "comment", "ulasan", "isi"]
 SCORE_CANDIDATES = ["score", "label", "rating", "nilai"]
@@ -51,9 +53,17 @@ def standardize(df: DataFrame, missing: str = "nan") -> DataFrame:
 
     A missing text becomes the word ``nan`` by default, as the reference's
     ``astype(str)`` does; ``missing='empty'`` gives an empty string instead.
-    An existing ``text``/``score`` column is replaced in place.
+    An existing ``text``/``score`` column is replaced in place. A session that
+    ignores case cannot hold ``Text`` beside ``text``: there such an input is an
+    error rather than a lost column.
     """
     cols = resolve_columns(df.columns)
+    if df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() != "true":
+        added = {"text"} | ({"score"} if cols.score is not None else set())
+        lost = [n for n in df.columns if n.lower() in added and n not in added]
+        if lost:
+            raise ValueError(f"columns {lost} differ from the standard ones by case only; "
+                             "set spark.sql.caseSensitive to true")
     fill = F.lit("nan") if missing == "nan" else F.lit("")
     text = F.coalesce(F.col(f"`{cols.text}`").cast("string"), fill)
     out = {"text": text}
@@ -86,7 +96,7 @@ def text_flags(df: DataFrame, text: str = "text", keep: list[str] | tuple = ())
     """Narrow per-row text checks, so a later join never carries the text."""
     t = F.col(text)
     return df.select(*keep, t.isNull().alias("text_null"),
-                     (t.isNotNull() & (F.length(F.trim(t)) == 0)).alias("text_blank"))
+                     (t.isNotNull() & is_blank(t)).alias("text_blank"))
 
 
 def quality_report(flags: DataFrame, label: str = "score") -> DataFrame:
@@ -113,7 +123,7 @@ def class_filter(df: DataFrame, pred: str, cls: int) -> DataFrame:
 
 
 def nonblank(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.where(F.length(F.trim(F.col(text))) > 0)
+    return df.where(~is_blank(F.col(text)))
 
 
 def select_prediction(df: DataFrame, method: str = "all") -> Column:

@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
 
-# Largest model table (rows) shipped to every executor; a 4-column term table
-# at this size is well under 100 MB.
+# Largest model table shipped to every executor: rows, and bytes as the
+# optimizer estimates them (a term has no length bound, so rows alone prove
+# nothing).
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 
 
-def bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only when its row count (known from the fit) is
-    under ``max_rows``; otherwise leave the join to a shuffle (AQE may still
-    pick a broadcast at run time from real sizes)."""
-    return F.broadcast(small) if n_rows <= max_rows else small
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate (for a stored table: its files' bytes)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int | None = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``small`` only when its row count (known from the fit) and its
+    estimated bytes are within the bounds; otherwise leave the join to a shuffle
+    (AQE may still pick a broadcast, or split a hot key, from real sizes).
+    ``max_bytes=None`` is for rows of fixed width, whose count is bound enough."""
+    fits = n_rows <= max_rows and (max_bytes is None or estimated_bytes(small) <= max_bytes)
+    return F.broadcast(small) if fits else small
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -34,9 +34,15 @@ class NBModel:
 
 
 def class_counts(train: DataFrame, label: str = "score") -> dict[int, int]:
-    """Training rows per class (two numbers reach the driver)."""
-    rows = train.groupBy(F.col(label).cast("int").alias("c")).count().collect()
-    return {int(r["c"]): int(r["count"]) for r in rows if r["c"] is not None}
+    """Labelled rows per class (three numbers reach the driver). Rows without
+    a label are not counted; labels other than 0 and 1 are an error, as they
+    would otherwise be fitted as neither class."""
+    y = F.col(label).cast("double")
+    row = train.agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"),
+                    F.count_if(y.isNotNull() & ~y.isin(0.0, 1.0)).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} labels are neither 0 nor 1; map them to 0/1 first")
+    return {0: int(row["n0"]), 1: int(row["n1"])}
 
 
 def fit_nb(train_tf: DataFrame, vocab: TfidfModel, counts: dict[int, int],
@@ -59,6 +65,8 @@ def fit_nb(train_tf: DataFrame, vocab: TfidfModel, counts: dict[int, int],
                      F.log((F.col("fc1") + alpha) / d1).alias("lp1")))
     table = write_table(table, "nb-model")
     n = sum(counts.values())
+    if not n:
+        raise ValueError("no labelled training rows")
     lp = {c: (math.log(counts.get(c, 0) / n) if counts.get(c, 0) else float("-inf"))
           for c in (0, 1)}
     return NBModel(table, lp[0], lp[1], v, alpha)

@@ -1,7 +1,8 @@
 """Word index and fixed-length id sequences for the sequence model.
 
-Ids: 0 pads, 1 is the out-of-vocabulary word, the ``num_words - 2`` most
-frequent words get 2, 3, ... (ties to the smaller word). Sequences keep the
+Ids: 0 pads, 1 is the out-of-vocabulary word, the words get
+2, 3, ... by falling frequency (ties to the smaller word), all of them or, with
+``num_words``, the ``num_words - 2`` most frequent. Sequences keep the
 first ``maxlen`` ids of the whole text and are padded with 0 after it.
 """
 
@@ -23,19 +24,21 @@ OOV_ID = 1
 @dataclass
 class WordIndex:
     table: DataFrame          # word, id
-    num_words: int
+    num_words: int            # ids run from 0 to num_words - 1
     n_words: int
 
 
-def fit_word_index(train: DataFrame, text: str = "clean_light", num_words: int = 20000) -> WordIndex:
+def fit_word_index(train: DataFrame, text: str = "clean_light", num_words: int | None = None) -> WordIndex:
     """Rank words by frequency (exact distributed rank, ties to the smaller
-    word) and keep the ``num_words - 2`` first: ids 2, 3, ..."""
+    word): ids 2, 3, ... Every word is kept unless ``num_words`` sets a limit."""
     counts = (train.select(F.explode(words(text)).alias("word"))
               .groupBy("word").agg(F.count(F.lit(1)).alias("count")))
-    top = global_rank(counts, [F.desc("count"), F.asc("word")], k=num_words - 2)
+    top = global_rank(counts, [F.desc("count"), F.asc("word")],
+                      k=None if num_words is None else num_words - 2)
     table = write_table(top.select("word", "count", (F.col("rank") + 2).cast("int").alias("id")),
                         "word-index")
-    return WordIndex(table, num_words, table.count())
+    n = table.count()
+    return WordIndex(table, n + 2 if num_words is None else num_words, n)
 
 
 def encode_sequence(docs: DataFrame, index: WordIndex, text: str = "clean_light",

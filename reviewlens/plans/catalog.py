@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import columns, ensemble, evaluate, summary
+from ..operators import sequence as sequence_ops
 from ..operators import tfidf as tfidf_ops
 from ..operators.gru import PARAM_NAMES
 from ..operators.scoring import score_reviews
@@ -20,8 +21,8 @@ from ..sources.tables import table
 from ..streaming.score_stream import review_stream, score_stream
 from . import sql_text as S
 from .corpus import reviews, with_split
-from .models import (all_scores, model_bundle, nb_context, round6, scored_reviews,
-                     sequence_context, trees_context)
+from .models import (FIT_ROWS, GRU_WORDS, all_scores, model_bundle, nb_context, quality_context,
+                     round6, scored_reviews, sequence_context, trees_context, whole_word_index)
 from .sql_models import with_nb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +80,7 @@ WITH r AS (SELECT d.text AS text, l.quality AS score
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT count(*) AS n_rows,
        CAST(count_if(text IS NULL) AS BIGINT) AS null_text,
-       CAST(count_if(text IS NOT NULL AND length(trim(text)) = 0) AS BIGINT) AS blank_text,
+       CAST(count_if(text IS NOT NULL AND {S.is_blank('text')}) AS BIGINT) AS blank_text,
        CAST(count_if(score IS NULL) AS BIGINT) AS null_label,
        CAST(count_if(score IS NOT NULL AND score NOT IN (0, 1)) AS BIGINT) AS bad_label,
        CAST(count_if(score = 1) AS BIGINT) AS n_positive,
@@ -94,7 +95,7 @@ def q_input_quality(spark, sf_dir):
 
 
 @register("nonblank", "SELECT conv_id, turn, role FROM conversations "
-                      "WHERE length(trim(coalesce(text, ''))) > 0")
+                      f"WHERE text IS NOT NULL AND NOT {S.is_blank('text')}")
 def q_nonblank(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     return columns.nonblank(conv).select("conv_id", "turn", "role")
@@ -177,9 +178,9 @@ def q_token_counts(spark, sf_dir):
     return summary.token_counts(reviews(spark, sf_dir), "score")
 
 
-# --- Fixed values: tokens removed from the word counts (the reference drops its
-# out-of-vocabulary marker) -------------------------------------------------------
-HIDDEN_TOKENS = ["<oov>"]
+# Tokens removed from the word counts: the out-of-vocabulary marker's word and a few
+# frequent words of the corpus.
+HIDDEN_TOKENS = ["oov", "the", "of", "and", "to", "in", "a", "de", "la", "der", "die"]
 
 
 @register("token_counts_filtered", f"""
@@ -209,6 +210,34 @@ def q_fit_tfidf(spark, sf_dir):
     return ctx.vocab.table.select("term", "df", round6("idf"))
 
 
+#: A limit that bites at every scale, to check the cut and its ties.
+FEW_TERMS = 5000
+
+
+@register("fit_tfidf_limited", with_nb("SELECT term, df, round(idf, 6) AS idf FROM idf",
+                                       max_features=FEW_TERMS))
+def q_fit_tfidf_limited(spark, sf_dir):
+    ctx = nb_context(spark, sf_dir)
+    counts = ctx.tf_all.where(FIT_ROWS)
+    model = tfidf_ops.fit_tfidf(counts, ctx.vocab.n_docs, max_features=FEW_TERMS)
+    return model.table.select("term", "df", round6("idf"))
+
+
+#: The partly labelled table: ``labels.quality`` on the documents that have one.
+_QUALITY = {"label": "quality", "source": "documents LEFT JOIN labels USING (doc_id)"}
+
+
+@register("fit_tfidf_quality", with_nb("SELECT term, df, round(idf, 6) AS idf FROM idf", **_QUALITY))
+def q_fit_tfidf_quality(spark, sf_dir):
+    return quality_context(spark, sf_dir).vocab.table.select("term", "df", round6("idf"))
+
+
+@register("score_nb_quality", with_nb("SELECT doc_id, pred_nb, round(prob_nb, 6) AS prob_nb FROM scored",
+                                      **_QUALITY))
+def q_score_nb_quality(spark, sf_dir):
+    return quality_context(spark, sf_dir).scored.select("doc_id", "pred_nb", round6("prob_nb"))
+
+
 @register("tfidf", with_nb("""
 , aw AS (SELECT tf.doc_id, tf.term, tf.tf * i.idf AS w FROM tf JOIN idf i USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM aw"""
@@ -346,20 +375,20 @@ def q_score_gbt(spark, sf_dir):
 
 # ----------------------------------------------------- sequence model family
 
-NUM_WORDS, MAXLEN = 20000, 150
+MAXLEN = 150
 
 _WORD_INDEX_CTES = f"""
-r AS (SELECT doc_id, {S.clean_light(S.std_text())} AS cl, {S.is_train()} AS is_train FROM documents),
+r AS (SELECT doc_id, {S.clean_light(S.std_text())} AS cl,
+             {S.is_train()} AND lang IS NOT NULL AS is_train FROM documents),
 w AS (SELECT unnest(string_split(cl, ' ')) AS word FROM r WHERE is_train),
 c AS (SELECT word, count(*) AS count FROM w WHERE length(word) > 0 GROUP BY word),
-t AS (SELECT word, count FROM c ORDER BY count DESC, word LIMIT {NUM_WORDS - 2}),
 idx AS (SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) + 1 AS INTEGER) AS id
-        FROM t)"""
+        FROM c)"""
 
 
 @register("fit_word_index", f"WITH {_WORD_INDEX_CTES}\nSELECT word, count, id FROM idx")
 def q_fit_word_index(spark, sf_dir):
-    return sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).index.table.select("word", "count", "id")
+    return whole_word_index(spark, sf_dir).table.select("word", "count", "id")
 
 
 @register("encode_sequence", f"""WITH {_WORD_INDEX_CTES},
@@ -371,13 +400,14 @@ g AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM j GROUP BY doc_id)
 SELECT ws.doc_id, array_to_string(list_resize(coalesce(g.ids, []), {MAXLEN}, 0), ' ') AS ids
 FROM ws LEFT JOIN g USING (doc_id)""")
 def q_encode_sequence(spark, sf_dir):
-    s = sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).seqs
+    s = sequence_ops.encode_sequence(nb_context(spark, sf_dir).docs, whole_word_index(spark, sf_dir),
+                                     maxlen=MAXLEN)
     return s.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @register("fit_gru")
 def q_fit_gru(spark, sf_dir):
-    m = sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).model
+    m = sequence_context(spark, sf_dir, GRU_WORDS, MAXLEN).model
     rows = [(k, list(m.params[k].shape), float((m.params[k] ** 2).sum() ** 0.5))
             for k in PARAM_NAMES]
     rows.append(("threshold", [], float(m.threshold)))
@@ -386,7 +416,7 @@ def q_fit_gru(spark, sf_dir):
 
 @register("score_gru")
 def q_score_gru(spark, sf_dir):
-    return sequence_context(spark, sf_dir, NUM_WORDS, MAXLEN).scored.select(
+    return sequence_context(spark, sf_dir, GRU_WORDS, MAXLEN).scored.select(
         "doc_id", "pred_gru", "prob_gru")
 
 
@@ -434,52 +464,31 @@ def q_evaluate_all(spark, sf_dir):
                                           "vote": "pred_vote"})
 
 
-# ------------------------------------------------------ stream and timing tables
+# --------------------------------------------------------------------- stream
 @register("score_stream")
 def q_score_stream(spark, sf_dir):
     """The documents table replayed as a file stream and scored per micro-batch."""
-    import os
     models = model_bundle(spark, sf_dir)
-    src = os.path.join(sf_dir, "documents.parquet")
-    schema = spark.read.parquet(src).schema
+    name = "documents.parquet"
+    src = f"{sf_dir.rstrip('/')}/{name}"
+    docs = spark.read.parquet(src)
+    # a stream reads folders: the table's own one, or where the table is one file, the folder around it
+    first = docs.select("_metadata.file_name").first()
+    one_file = first is not None and first["file_name"] == name
+    stream = review_stream(spark, sf_dir if one_file else src, docs.schema, glob=name if one_file else None)
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    q = score_stream(review_stream(spark, sf_dir, schema, glob="documents.parquet"), models, out, ckpt)
+    q = score_stream(stream, models, out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out).select("doc_id", "pred_nb", "prob_nb", "pred_gbt", "prob_gbt",
                                           "pred_gru", "prob_gru", "pred_vote")
 
 
-@register("timings")
-def q_timings(spark, sf_dir):
-    """Training seconds (recorded by the fits) and inference seconds: each
-    model's scoring plan from its input features (term counts; sparse TF-IDF
-    rows; id sequences) run in full into the no-op sink."""
-    import time
-    from ..operators import gru as gru_ops
-    from ..operators import naive_bayes as nb_ops
-    from ..operators import svd as svd_ops
-    from ..operators import trees as tree_ops
-    nbc, trc = nb_context(spark, sf_dir), trees_context(spark, sf_dir)
-    sqc = sequence_context(spark, sf_dir)
-    plans = {
-        "nb": (nbc, lambda: nb_ops.score_nb(nbc.tf_all, nbc.model)),
-        "gbt": (trc, lambda: tree_ops.score_gbt(svd_ops.svd_project(trc.rows, trc.svd), trc.gbt)),
-        "gru": (sqc, lambda: gru_ops.score_gru(sqc.seqs, sqc.model)),
-    }
-    rows = []
-    for name, (ctx, plan) in plans.items():
-        t0 = time.time()
-        plan().write.format("noop").mode("overwrite").save()
-        rows.append((name, float(ctx.extra["fit_s"]), time.time() - t0))
-    return spark.createDataFrame(rows, "model string, training_s double, inference_s double")
-
-
 # ------------------------------------------------ summaries for each model choice
 def _by_method(spark, sf_dir, method):
     if method == "gbt":
         s = trees_context(spark, sf_dir).scored
     else:
-        s = sequence_context(spark, sf_dir).scored
+        s = sequence_context(spark, sf_dir, GRU_WORDS).scored
     return s.select("doc_id", f"pred_{method}")
 
 
@@ -496,11 +505,6 @@ for _m in ("gbt", "gru"):
 
 
 # ------------------------------------------- scoring another table, CSV export
-# conversation turns get one key per (conversation, turn); turns per
-# conversation stay below 2**20
-TURN_BITS = 20
-
-
 @register("score_conversations")
 def q_score_conversations(spark, sf_dir):
     """The fitted models applied to a second text table, as a user scores a new
@@ -518,15 +522,17 @@ def q_export_nb(spark, sf_dir):
 
 
 def _turns(spark, sf_dir):
+    """Conversation turns as reviews; the key spells out (conversation, turn)."""
     conv = table(spark, sf_dir, "conversations")
     return conv.select(
-        (F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).alias("doc_id"),
+        F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"),
+                 F.coalesce(F.col("turn").cast("string"), F.lit(""))).alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("nan")).alias("text"))
 
 
 def _split_key():
-    return [F.shiftright("doc_id", TURN_BITS).alias("conv_id"),
-            (F.col("doc_id") - F.shiftleft(F.shiftright("doc_id", TURN_BITS), TURN_BITS)).alias("turn")]
+    part = F.split("doc_id", ":")
+    return [part[i].try_cast("bigint").alias(n) for i, n in enumerate(("conv_id", "turn"))]
 
 
 @register("score_conversations_nb", with_nb(f"""

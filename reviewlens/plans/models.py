@@ -19,10 +19,13 @@ from ..functions.text import clean_light, clean_ml, nfkc_delta
 from ..operators import naive_bayes as nb
 from ..operators import tfidf as tf
 from ..operators.lineage import checkpoint_partitioned, text_partitions, write_table
-from .corpus import reviews, with_split
+from .corpus import labelled_reviews, reviews, with_split
 
 _CACHE: dict = {}
 
+# Embedding rows of the registered GRU queries: a model size, named in each call.
+GRU_WORDS = 20_000
+
 
 @dataclass
 class NBContext:
@@ -62,10 +65,9 @@ def prepared_docs(df: DataFrame, partitions: int | None = None) -> DataFrame:
                          clean_light(norm, normalize=False).alias("clean_light"))
 
 
-# Vocabulary size of the shared TF-IDF (the vectoriser's ``max_features``): the
-# reference's fitted artifacts imply about 42.6k terms; the SVD basis and the
-# broadcast model tables are bounded by it.
-MAX_FEATURES = 50_000
+# Rows every model is fitted on: the training fold with a valid label. Term
+# statistics, priors, SVD, trees, word index and GRU all see these rows only.
+FIT_ROWS = "is_train AND score IN (0, 1)"
 
 
 def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContext:
@@ -75,15 +77,16 @@ def nb_context(spark: SparkSession, sf_dir: str, alpha: float = 1.0) -> NBContex
     return _CACHE[k]
 
 
-def build_nb(docs: DataFrame, alpha: float = 1.0) -> NBContext:
-    """TF-IDF + Naive Bayes on ``prepared_docs`` rows (training rows fit,
-    every row is scored)."""
+def build_nb(docs: DataFrame, alpha: float = 1.0, max_features: int | None = None) -> NBContext:
+    """TF-IDF + Naive Bayes on ``prepared_docs`` rows (``FIT_ROWS`` fit, every
+    row is scored). The whole fitted vocabulary is kept unless the caller
+    names a ``max_features``."""
     t0 = time.time()
     keep = ["score", "is_train"]
     tf_all = checkpoint_partitioned(tf.term_frequencies(docs, "clean", keep=keep))
-    train_tf = tf_all.where("is_train")
     counts = nb.class_counts(docs.where("is_train"))
-    vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=MAX_FEATURES)
+    train_tf = tf_all.where(FIT_ROWS)
+    vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=max_features)
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
     scored = nb.score_nb(tf_all, model, keep=keep)
     return NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})
@@ -130,9 +133,9 @@ def build_trees(ctx: NBContext, k: int = 20, seed: int = 42) -> TreesContext:
     v = ctx.vocab.n_terms
     index = write_table(svd_ops.index_terms(ctx.vocab.table, v), "term-index")
     rows = checkpoint_partitioned(svd_ops.sparse_rows(x_all, index, v, keep=keep))
-    model = svd_ops.fit_svd(rows.where("is_train"), index, v, k=k, seed=seed)
+    model = svd_ops.fit_svd(rows.where(FIT_ROWS), index, v, k=k, seed=seed)
     feats = checkpoint_partitioned(svd_ops.svd_project(rows, model, keep=keep))
-    gbt = trees.fit_gbt(feats.where("is_train"), seed=seed)
+    gbt = trees.fit_gbt(feats.where(FIT_ROWS), seed=seed)
     scored = trees.score_gbt(feats, gbt, keep=keep)
     return TreesContext(index, rows, model, feats, gbt, scored, {"fit_s": time.time() - t0})
 
@@ -146,7 +149,7 @@ class SequenceContext:
     extra: dict = field(default_factory=dict)
 
 
-def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, maxlen: int = 150,
+def sequence_context(spark: SparkSession, sf_dir: str, num_words: int, maxlen: int = 150,
                      epochs: int = 6, seed: int = 42) -> SequenceContext:
     key = _key(spark, sf_dir, f"seq{num_words}-{maxlen}-{epochs}-{seed}")
     if key not in _CACHE:
@@ -154,17 +157,19 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int = 20000, m
     return _CACHE[key]
 
 
-def build_sequence(docs: DataFrame, num_words: int = 20000, maxlen: int = 150, epochs: int = 6,
+def build_sequence(docs: DataFrame, num_words: int, maxlen: int = 150, epochs: int = 6,
                    seed: int = 42) -> SequenceContext:
-    """Word index, id sequences, GRU, and the F1-best threshold on validation rows."""
+    """Word index, id sequences, GRU, and the F1-best threshold on validation
+    rows. ``num_words`` is the number of rows of the GRU's embedding matrix, so
+    the caller has to choose it; words beyond it share the out-of-vocabulary row."""
     from ..operators import evaluate as ev
     from ..operators import gru
     from ..operators import sequence as seq
     t0 = time.time()
     keep = ["score", "is_train"]
-    index = seq.fit_word_index(docs.where("is_train"), num_words=num_words)
+    index = seq.fit_word_index(docs.where(FIT_ROWS), num_words=num_words)
     seqs = checkpoint_partitioned(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep))
-    model = gru.fit_gru(seqs.where("is_train"), num_words, maxlen, epochs=epochs, seed=seed)
+    model = gru.fit_gru(seqs.where(FIT_ROWS), num_words, maxlen, epochs=epochs, seed=seed)
     probs = checkpoint_partitioned(gru.predict_proba(seqs, model, keep=keep))
     best = ev.best_threshold(probs.where(~F.col("is_train")), "score", "prob_gru").first()
     model.threshold = float(best["threshold"]) if best is not None else 0.5
@@ -186,7 +191,7 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _CACHE[key]
     nbs = nb_context(spark, sf_dir).scored
     gbt = trees_context(spark, sf_dir).scored.select("doc_id", "pred_gbt", "prob_gbt")
-    gru = sequence_context(spark, sf_dir).scored.select("doc_id", "pred_gru", "prob_gru")
+    gru = sequence_context(spark, sf_dir, GRU_WORDS).scored.select("doc_id", "pred_gru", "prob_gru")
     df = nbs.join(gbt, "doc_id", "left").join(gru, "doc_id", "left")
     for m in ("nb", "gbt", "gru"):
         df = guard_scores(df, m)
@@ -204,15 +209,58 @@ def _bundle(nbc: NBContext, trc: TreesContext, sqc: SequenceContext):
 def model_bundle(spark: SparkSession, sf_dir: str):
     """Every fitted artifact, for scoring new review tables or streams."""
     return _bundle(nb_context(spark, sf_dir), trees_context(spark, sf_dir),
-                   sequence_context(spark, sf_dir))
+                   sequence_context(spark, sf_dir, GRU_WORDS))
 
 
-def fit_models(df: DataFrame, alpha: float = 1.0, k: int = 20, num_words: int = 20000,
-               maxlen: int = 150, epochs: int = 6, seed: int = 42):
+def fit_models(df: DataFrame, num_words: int, alpha: float = 1.0, k: int = 20,
+               maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None):
     """Fit all three models on a review table (``doc_id``, ``text``, 0/1
     ``score``); rows with ``pmod(doc_id, 5) = 0`` validate, the rest train.
+    ``num_words`` sizes the GRU's embedding; ``max_features`` limits the TF-IDF
+    vocabulary (by default it is kept whole). Rows without a label are scored
+    but never fitted on; a label other than 0 or 1 is an error.
     Returns a ``ModelBundle`` for ``score_reviews`` / ``score_stream``."""
     docs = prepared_docs(df.select("doc_id", "text", F.col("score").cast("int").alias("score")))
-    nbc = build_nb(docs, alpha)
+    nbc = build_nb(docs, alpha, max_features)
     return _bundle(nbc, build_trees(nbc, k, seed),
                    build_sequence(docs, num_words, maxlen, epochs, seed))
+
+
+def quality_context(spark: SparkSession, sf_dir: str) -> NBContext:
+    """Naive Bayes on ``labels.quality``, which most documents do not have."""
+    key = _key(spark, sf_dir, "nb-quality")
+    if key not in _CACHE:
+        _CACHE[key] = build_nb(prepared_docs(labelled_reviews(spark, sf_dir)))
+    return _CACHE[key]
+
+
+def whole_word_index(spark: SparkSession, sf_dir: str):
+    """The word index of the labelled training rows with every word in it."""
+    from ..operators import sequence as seq
+    key = _key(spark, sf_dir, "words")
+    if key not in _CACHE:
+        _CACHE[key] = seq.fit_word_index(nb_context(spark, sf_dir).docs.where(FIT_ROWS))
+    return _CACHE[key]
+
+
+def timings(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, float]]:
+    """(model, training s, inference s): seconds recorded by the fits, and each
+    model's scoring plan from its input features run into the no-op sink. Wall
+    clock, so a measurement for ``bench.py`` and no query."""
+    from ..operators import gru as gru_ops
+    from ..operators import naive_bayes as nb_ops
+    from ..operators import svd as svd_ops
+    from ..operators import trees as tree_ops
+    nbc, trc = nb_context(spark, sf_dir), trees_context(spark, sf_dir)
+    sqc = sequence_context(spark, sf_dir, GRU_WORDS)
+    plans = {
+        "nb": (nbc, lambda: nb_ops.score_nb(nbc.tf_all, nbc.model)),
+        "gbt": (trc, lambda: tree_ops.score_gbt(svd_ops.svd_project(trc.rows, trc.svd), trc.gbt)),
+        "gru": (sqc, lambda: gru_ops.score_gru(sqc.seqs, sqc.model)),
+    }
+    rows = []
+    for name, (ctx, plan) in plans.items():
+        t0 = time.time()
+        plan().write.format("noop").mode("overwrite").save()
+        rows.append((name, float(ctx.extra["fit_s"]), time.time() - t0))
+    return rows

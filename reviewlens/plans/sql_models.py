@@ -5,18 +5,21 @@ from __future__ import annotations
 from . import sql_text as S
 
 
-def nb_ctes(alpha: float = 1.0, max_features: int = 50_000) -> str:
+def nb_ctes(alpha: float = 1.0, max_features: int | None = None, label: str = "lang = 'en'",
+            source: str = "documents") -> str:
+    """``label``: SQL for the 0/1 label; ``source``: the table or join it and the text come from."""
     a = repr(float(alpha))
+    cut = "" if max_features is None else f"ORDER BY cf DESC, term LIMIT {max_features}"
     return f"""
-r AS (SELECT doc_id, CAST(lang = 'en' AS INTEGER) AS score, {S.std_text()} AS text,
-             {S.clean_ml(S.std_text())} AS clean, {S.is_train()} AS is_train FROM documents),
+r AS (SELECT doc_id, CAST({label} AS INTEGER) AS score, {S.std_text()} AS text,
+             {S.clean_ml(S.std_text())} AS clean, {S.is_train()} AS is_train FROM {source}),
 toks AS (SELECT doc_id, unnest(string_split(clean, ' ')) AS term FROM r),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE length(term) >= 2 GROUP BY doc_id, term),
-ttf AS (SELECT tf.doc_id, r.score, tf.term, tf.tf FROM tf JOIN r USING (doc_id) WHERE r.is_train),
+ttf AS (SELECT tf.doc_id, r.score, tf.term, tf.tf FROM tf JOIN r USING (doc_id)
+        WHERE r.is_train AND r.score IN (0, 1)),
 n AS (SELECT count(*) AS n, count_if(score = 0) AS n0, count_if(score = 1) AS n1
-      FROM r WHERE is_train),
-vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM ttf GROUP BY term
-          ORDER BY cf DESC, term LIMIT {max_features}),
+      FROM r WHERE is_train AND score IN (0, 1)),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM ttf GROUP BY term {cut}),
 nv AS (SELECT count(*) AS v FROM vocab),
 idf AS (SELECT term, df, ln((1.0 + n) / (CAST(df AS DOUBLE) + 1.0)) + 1.0 AS idf FROM vocab, n),
 tw AS (SELECT t.doc_id, t.score, t.term, t.tf * i.idf AS w FROM ttf t JOIN idf i USING (term)),
@@ -42,5 +45,5 @@ scored AS (SELECT doc_id, score, is_train, CAST(j1 > j0 AS INTEGER) AS pred_nb,
                   1.0 / (1.0 + exp(j0 - j1)) AS prob_nb FROM jll)"""
 
 
-def with_nb(select: str, alpha: float = 1.0) -> str:
-    return f"WITH {nb_ctes(alpha)}\n{select}"
+def with_nb(select: str, **options) -> str:
+    return f"WITH {nb_ctes(**options)}\n{select}"

@@ -7,6 +7,8 @@ null after reading, since Spark's CSV reader knows a single ``nullValue``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +19,52 @@ NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 # -------------------------------------------------------------------------------
 
 
+CSV_FILES, WORKBOOK_FILES = "*.[cC][sS][vV]", "*.[xX][lL][sS][xX]"
+
+
 class UnreadableInput(ValueError):
     pass
 
 
-def read_csv_reviews(spark: SparkSession, path: str, schema=None, glob: str | None = "*.csv") -> DataFrame:
-    reader = (spark.read.option("header", True).option("escape", '"').option("quote", '"')
-              .option("multiLine", True).option("mode", "FAILFAST").option("encoding", "UTF-8"))
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+#: How CSV is read, by batch and by stream. ``multiLine`` keeps line breaks inside quoted cells (as
+#: pandas does) and makes a file one split: pass ``multi_line=False`` for large files without such cells.
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "multiLine": True, "mode": "FAILFAST",
+               "encoding": "UTF-8"}
+
+
+def read_csv_reviews(spark: SparkSession, path: str, schema=None, glob: str | None = "*.csv",
+                     multi_line: bool = True) -> DataFrame:
+    """CSV files with their columns matched by name: files are grouped by their header line, and a
+    column that a file lacks is null in its rows. A given ``schema`` is applied by position."""
+    options = CSV_OPTIONS | {"multiLine": multi_line} | ({"pathGlobFilter": glob} if glob else {})
+    reader = spark.read.options(**options)
     if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    return mark_missing(df)
+        return mark_missing(reader.schema(schema).csv(path))
+    groups = _files_by_header(spark, path, glob)
+    if len(groups) < 2:
+        return mark_missing(reader.csv(path))
+    parts = [mark_missing(reader.csv(files)) for files in groups]
+    return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _files_by_header(spark: SparkSession, path: str, glob: str | None) -> list[list[str]]:
+    """File paths grouped by header line (the driver gets names, as Spark's own listing does)."""
+    lines = spark.read.options(**({"pathGlobFilter": glob} if glob else {})).text(path)
+    starts = lines.select("value", F.col("_metadata.file_path").alias("file"),
+                          F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+
+    def first_lines(batches):
+        seen = set()
+        for batch in batches:
+            for i, file in enumerate(batch.column("file").to_pylist()):
+                if file not in seen:  # a split keeps its lines in order
+                    seen.add(file)
+                    yield batch.slice(i, 1).select(["file", "value"])
+
+    heads = starts.select("file", "value").mapInArrow(first_lines, "file string, value string")
+    cleaned = F.regexp_replace("value", r"^\x{feff}|\s+$", "")
+    grouped = heads.groupBy(cleaned.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(r["files"] for r in grouped.collect())
 
 
 def mark_missing(df: DataFrame, markers: list[str] = NA_MARKERS) -> DataFrame:
@@ -43,26 +78,29 @@ def mark_missing(df: DataFrame, markers: list[str] = NA_MARKERS) -> DataFrame:
     return df.select(*cols)
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Dispatch on the extension (case-insensitive): ``.csv`` or ``.xlsx``. Any
-    other path is a folder (local, HDFS, object store: Spark lists it): its
-    ``.csv`` files, else its ``.xlsx`` workbooks."""
+    other path is a folder (local, HDFS, object store: Spark lists it): all its
+    ``.csv`` files and all its ``.xlsx`` workbooks, columns matched by name."""
     from .workbooks import read_workbooks
     low = path.lower()
     try:
         if low.endswith(".csv"):
-            return read_csv_reviews(spark, path, glob=None)
+            return read_csv_reviews(spark, path, glob=None, multi_line=multi_line)
         if low.endswith(".xlsx"):
             return read_workbooks(spark, path)
+        found = []
+        if _has_files(spark, path, CSV_FILES):
+            found.append(read_csv_reviews(spark, path, glob=CSV_FILES, multi_line=multi_line))
+        if _has_files(spark, path, WORKBOOK_FILES):
+            found.append(read_workbooks(spark, path))
     except Exception as e:  # surface one typed error, as the reference stops with a message
         raise UnreadableInput(f"cannot read {path}: {e}") from e
-    errors = []
-    for reader in (lambda: read_csv_reviews(spark, path, glob="*.[cC][sS][vV]"),
-                   lambda: read_workbooks(spark, path)):
-        try:
-            df = reader()
-            if df.columns and df.columns != ["path"]:
-                return df
-        except Exception as e:  # no file of that kind in the folder
-            errors.append(str(e).splitlines()[0])
-    raise UnreadableInput(f"cannot read {path}: no .csv or .xlsx review files ({'; '.join(errors)})")
+    if not found:
+        raise UnreadableInput(f"cannot read {path}: no .csv or .xlsx review files")
+    return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
+
+
+def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return bool(files.select("path").head(1))

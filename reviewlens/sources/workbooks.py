@@ -2,8 +2,8 @@
 
 Files are listed and read by Spark (``binaryFile``); each workbook is unzipped
 and its sheet XML parsed inside one task (stdlib ``zipfile`` + ``xml``), which
-yields ``(path, row, cells)``. The first row of the first workbook names the
-columns.
+yields ``(path, row, names, cells)``. Each workbook's first row names its own
+columns; columns are matched by name across workbooks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .reviews import mark_missing
+from .reviews import WORKBOOK_FILES, mark_missing
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -77,34 +77,54 @@ def parse_workbook(content: bytes) -> list[list[str | None]]:
     return rows
 
 
-def _explode_workbooks(batches, chunk: int = 10_000):
+def column_names(header: list[str | None]) -> list[str]:
+    """A workbook's column names: unnamed and repeated ones are numbered, as pandas does."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        name = name if name is not None else f"Unnamed: {i}"
+        again, number = name, 0
+        while again in names:
+            number += 1
+            again = f"{name}.{number}"
+        names.append(again)
+    return names
+
+
+_SCHEMA = "path string, row int, names array<string>, cells array<string>"
+
+
+def _exploder(chunk: int = 10_000):
     """One task per group of files; rows leave in chunks of ``chunk``."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            out = []
-            for i, cells in enumerate(parse_workbook(bytes(content))):
-                out.append((path, i, cells))
-                if len(out) >= chunk:
-                    yield pd.DataFrame(out, columns=["path", "row", "cells"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["path", "row", "cells"])
+    def explode(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows = parse_workbook(bytes(content))
+                names = column_names(rows[0]) if rows else []
+                width = max(map(len, rows), default=0)
+                names = column_names([*names, *[None] * (width - len(names))])
+                for at in range(0, len(rows), chunk):
+                    yield pd.DataFrame([(path, at + i, names, cells) for i, cells in enumerate(rows[at:at + chunk])],
+                                       columns=["path", "row", "names", "cells"])
+
+    return explode
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", WORKBOOK_FILES).load(path)
              if not path.lower().endswith(".xlsx") else
              spark.read.format("binaryFile").load(path))
-    return files.select("path", "content").mapInPandas(
-        _explode_workbooks, "path string, row int, cells array<string>")
+    return files.select("path", "content").mapInPandas(_exploder(), _SCHEMA)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of every workbook; the columns are the union of the workbooks' own."""
     rows = workbook_rows(spark, path)
-    header = rows.where(F.col("row") == 0).orderBy("path").select("cells").first()
-    if header is None:
+    named = rows.where(F.col("row") == 0).select(F.posexplode("names").alias("at", "name"))
+    # one row per column name: its least position over all workbooks gives the order
+    names = [r["name"] for r in named.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    if not names:
         return spark.createDataFrame([], "path string")
-    names = [h if h is not None else f"Unnamed: {i}" for i, h in enumerate(header["cells"])]
     body = rows.where(F.col("row") > 0)
-    df = body.select(*[F.get(F.col("cells"), i).alias(n) for i, n in enumerate(names)])
-    return mark_missing(df)
+    cell = [F.get(F.col("cells"), (F.array_position("names", n) - 1).cast("int")) for n in names]
+    # a name that a workbook lacks is at position 0, and get() of -1 is null
+    return mark_missing(body.select(*[c.alias(n) for c, n in zip(cell, names)]))

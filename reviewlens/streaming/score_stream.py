@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import ModelBundle, prepare, score_prepared
+from ..sources.reviews import CSV_OPTIONS, mark_missing
 
 
 def review_stream(spark: SparkSession, in_path: str, schema, fmt: str = "parquet",
                   max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """Files under the folder ``in_path`` (optionally only names matching ``glob``)."""
+    """Files under the folder ``in_path`` (optionally only names matching ``glob``).
+    CSV is read with the options and missing-value markers of ``read_csv_reviews``."""
     reader = spark.readStream.schema(schema).format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = reader.options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(in_path)
+    return mark_missing(reader.load(in_path)) if fmt == "csv" else reader.load(in_path)
 
 
 def score_stream(stream: DataFrame, models: ModelBundle, out_path: str, checkpoint: str,

@@ -80,3 +80,21 @@ def test_with_doc_id_is_stable_across_actions(spark):
     second = {r.text: r.doc_id for r in keyed.orderBy("text").collect()}
     assert first == second and len(set(first.values())) == 50
     assert C.with_doc_id(keyed) is keyed      # an existing key is kept
+
+
+def test_blank_means_any_unicode_space(spark):
+    df = spark.createDataFrame([("\n\t", 1), ("\u3000", 1), ("", 0), (None, 0), (" a ", 1)], "text string, score int")
+    r = C.input_quality(df).first()
+    assert (r.blank_text, r.null_text) == (3, 1)
+    assert [x.text for x in C.nonblank(df).collect()] == [" a "]
+
+
+def test_case_insensitive_sessions_lose_no_column(spark):
+    df = spark.createDataFrame([("a", 1)], "Text string, Label int")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    try:
+        with pytest.raises(ValueError, match="Text"):
+            C.standardize(df)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "true")
+    assert C.standardize(df).columns == ["Text", "Label", "text", "score"]

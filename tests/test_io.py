@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import re
 import zipfile
 
 import pandas as pd
@@ -17,7 +18,7 @@ from reviewlens.sources import experiments, reviews, sinks, workbooks
 SAMPLE = (
     'content,label\n'
     '"pengiriman cepat, barang bagus banget",1\n'
-    'Setelah update malah ga bisa login 😭 kecewa,0\n'
+    'kemasan penyok 😡 dan isi tumpah kecewa,0\n'
     '"katanya ""original"" padahal palsu",0\n'
     'harga oke dan barang sesuai ,1\n'
     '"baris\nkedua dalam satu sel",1\n'
@@ -42,14 +43,9 @@ def test_csv_reads_like_pandas(spark, tmp_dir):
 
 
 def brute_top(texts, labels, cls, n):
-    """Counter filled in sorted-vocabulary order, then most_common (stable on ties)."""
-    import re
-    from collections import Counter
-    toks = [re.findall(r"(?u)\b\w+\b", t.lower()) for t, y in zip(texts, labels) if y == cls]
-    total = Counter(w for ts in toks for w in ts)
-    vocab = sorted({w for t in texts for w in re.findall(r"(?u)\b\w+\b", t.lower())})
-    ordered = Counter({w: total[w] for w in vocab if total[w] > 0})
-    return ordered.most_common(n)
+    """Tokens of the class by falling count, then by name."""
+    words = [w for t, y in zip(texts, labels) if y == cls for w in re.split(r"\W+", t.lower()) if w]
+    return sorted(((w, words.count(w)) for w in set(words)), key=lambda x: (-x[1], x[0]))[:n]
 
 
 def test_top_tokens_and_distribution_match_brute_force(spark, tmp_dir):
@@ -114,6 +110,22 @@ def test_workbooks_bulk_ingest(spark, tmp_dir):
     assert got == [("bagus sekali", "1"), ("jelek", "0"), ("lumayan", None)]
 
 
+def test_a_folder_loses_no_file_and_no_column(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    for name, text in [("a.csv", "content,label\nsatu,1\n"), ("b.csv", "label,content\n0,dua\n"),
+                       ("c.CSV", "content,label,toko\ntiga,1,x\n")]:
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    for name, rows in [("d.xlsx", [["content", "label"], ["empat", 1]]),
+                       ("e.xlsx", [["label", "content", "extra"], [0, "lima", "y"]])]:
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(_tiny_xlsx(rows))
+    got = sorted((r.content, r.label, r.toko, r.extra) for r in reviews.read_reviews(spark, d).collect())
+    assert got == [("dua", "0", None, None), ("empat", "1", None, None), ("lima", "0", None, "y"),
+                   ("satu", "1", None, None), ("tiga", "1", "x", None)]
+
+
 def test_experiments_json(spark, tmp_dir):
     p = os.path.join(tmp_dir, "exp.json")
     with open(p, "w") as f:
@@ -202,7 +214,7 @@ def test_fit_models_on_an_uploaded_file(spark, tmp_dir):
     pd.DataFrame({"Ulasan": [t + f" {i}" for i in range(20) for t in pos + neg],
                   "Nilai": [1, 1, 1, 0, 0, 0] * 20}).to_csv(p, index=False)
     df = with_doc_id(standardize(reviews.read_reviews(spark, p)))
-    models = fit_models(df, k=4, num_words=50, maxlen=8, epochs=3)
+    models = fit_models(df, num_words=50, k=4, maxlen=8, epochs=3)
     scored = score_reviews(df.select("doc_id", "text"), models)
     out = scored.join(df.select("doc_id", F.col("score").cast("int").alias("y")), "doc_id").toPandas()
     assert len(out) == 120
@@ -227,8 +239,8 @@ def test_csv_stream_equals_batch(spark, bundle, tmp_dir):
     q.awaitTermination()
     streamed = spark.read.parquet(os.path.join(tmp_dir, "csv_out"))
     assert streamed.select("batch_id").distinct().count() == 2
-    batch = score_reviews(spark.read.csv(src, header=True, schema=schema, escape='"')
-                          .fillna({"text": "nan"}), bundle).toPandas()
+    same = standardize(reviews.read_reviews(spark, src)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    batch = score_reviews(same.select("doc_id", "text"), bundle).toPandas()
     cols = sorted(batch.columns)
     s = streamed.drop("batch_id").toPandas()[cols].sort_values("doc_id").reset_index(drop=True)
     b = batch[cols].sort_values("doc_id").reset_index(drop=True)
