@@ -186,24 +186,21 @@ def _to_ids(series: pd.Series, maxlen: int) -> np.ndarray:
 
 def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
             ids: str = "ids", epochs: int = 6, embed: int = 32, hidden: int = 32,
-            batch: int = 64, lr: float = 0.01, seed: int = 42, partitions: int | None = None,
+            batch: int = 64, lr: float = 0.01, seed: int = 42, partitions: int = 8,
             patience: int | None = 1, log=None) -> GRUModel:
     """Data-parallel training; stops early when the mean training loss has not
-    improved for ``patience`` epochs and keeps the best epoch's weights."""
+    improved for ``patience`` epochs and keeps the best epoch's weights.
+
+    ``partitions``, the number of shards whose models are averaged, is part of
+    the model: rows go to shards by key, so the fit does not depend on how many
+    cores or input partitions there are. Raise it with the data."""
     spark = train.sparkSession
     sc = spark.sparkContext
-    n_parts = partitions or max(1, sc.defaultParallelism)
     data = train.where(F.col(label).isNotNull()).select(
         F.col(ids).alias("ids"), F.col(label).cast("double").alias("y"), "doc_id")
-    # fixed partitions, checkpointed once: every epoch (and every retried task)
-    # sees the same rows in the same order. Narrowing to one task per core
-    # merges partitions without a shuffle; only a table with fewer partitions
-    # than cores is spread out by key.
-    if data.rdd.getNumPartitions() >= n_parts:
-        data = data.coalesce(n_parts)
-    else:
-        data = data.repartition(n_parts, "doc_id")
-    data = checkpoint_partitioned(data.sortWithinPartitions("doc_id"))
+    # checkpointed once: every epoch (and every retried task) sees the same
+    # rows in the same order
+    data = checkpoint_partitioned(data.repartition(partitions, "doc_id").sortWithinPartitions("doc_id"))
     p = init_params(num_words, embed, hidden, seed)
     template = {k: v.copy() for k, v in p.items()}
     best, best_loss, stale = p, float("inf"), 0

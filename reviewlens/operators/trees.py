@@ -12,11 +12,6 @@ def fit_gbt(train: DataFrame, features: str = "svd", label: str = "score", seed:
             max_iter: int = 20, max_depth: int = 5, step_size: float = 0.1) -> GBTClassificationModel:
     data = train.where(F.col(label).isNotNull()).select(
         array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
-    # every boosting round is a job over all partitions: one task per core is
-    # enough for k-dimensional rows, more only adds scheduling rounds
-    par = train.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() > par:
-        data = data.coalesce(par)
     gbt = GBTClassifier(seed=seed, maxIter=max_iter, maxDepth=max_depth, stepSize=step_size)
     return gbt.fit(data)
 

@@ -158,7 +158,7 @@ def sequence_context(spark: SparkSession, sf_dir: str, num_words: int, maxlen: i
 
 
 def build_sequence(docs: DataFrame, num_words: int, maxlen: int = 150, epochs: int = 6,
-                   seed: int = 42) -> SequenceContext:
+                   seed: int = 42, shards: int = 8) -> SequenceContext:
     """Word index, id sequences, GRU, and the F1-best threshold on validation
     rows. ``num_words`` is the number of rows of the GRU's embedding matrix, so
     the caller has to choose it; words beyond it share the out-of-vocabulary row."""
@@ -169,7 +169,8 @@ def build_sequence(docs: DataFrame, num_words: int, maxlen: int = 150, epochs: i
     keep = ["score", "is_train"]
     index = seq.fit_word_index(docs.where(FIT_ROWS), num_words=num_words)
     seqs = checkpoint_partitioned(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep))
-    model = gru.fit_gru(seqs.where(FIT_ROWS), num_words, maxlen, epochs=epochs, seed=seed)
+    model = gru.fit_gru(seqs.where(FIT_ROWS), num_words, maxlen, epochs=epochs, seed=seed,
+                        partitions=shards)
     probs = checkpoint_partitioned(gru.predict_proba(seqs, model, keep=keep))
     best = ev.best_threshold(probs.where(~F.col("is_train")), "score", "prob_gru").first()
     model.threshold = float(best["threshold"]) if best is not None else 0.5
@@ -213,17 +214,19 @@ def model_bundle(spark: SparkSession, sf_dir: str):
 
 
 def fit_models(df: DataFrame, num_words: int, alpha: float = 1.0, k: int = 20,
-               maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None):
+               maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None,
+               shards: int = 8):
     """Fit all three models on a review table (``doc_id``, ``text``, 0/1
     ``score``); rows with ``pmod(doc_id, 5) = 0`` validate, the rest train.
     ``num_words`` sizes the GRU's embedding; ``max_features`` limits the TF-IDF
-    vocabulary (by default it is kept whole). Rows without a label are scored
+    vocabulary (by default it is kept whole); ``shards`` is the number of models
+    the GRU fit averages. Rows without a label are scored
     but never fitted on; a label other than 0 or 1 is an error.
     Returns a ``ModelBundle`` for ``score_reviews`` / ``score_stream``."""
     docs = prepared_docs(df.select("doc_id", "text", F.col("score").cast("int").alias("score")))
     nbc = build_nb(docs, alpha, max_features)
     return _bundle(nbc, build_trees(nbc, k, seed),
-                   build_sequence(docs, num_words, maxlen, epochs, seed))
+                   build_sequence(docs, num_words, maxlen, epochs, seed, shards))
 
 
 def quality_context(spark: SparkSession, sf_dir: str) -> NBContext:

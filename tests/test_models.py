@@ -249,3 +249,20 @@ def test_svd_chunking_does_not_change_results(spark):
         idx, val, ptr = SVD._flatten(c)
         by_chunk += SVD.rows_t_times(idx, val, ptr, SVD.rows_times(idx, val, ptr, m), 12)
     np.testing.assert_allclose(by_chunk, whole, atol=1e-10)
+
+
+def test_gru_fit_does_not_depend_on_input_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(1, 6, 4)], i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, score int")
+    fits = [G.fit_gru(d, num_words=6, maxlen=4, epochs=2, embed=3, hidden=3, partitions=3).params
+            for d in (df.coalesce(1), df.repartition(11))]
+    for name in fits[0]:
+        np.testing.assert_allclose(fits[0][name], fits[1][name], atol=1e-9)
+
+
+def test_labels_other_than_0_and_1_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1), (2, 5), (3, None)], "doc_id long, score int")
+    with pytest.raises(ValueError, match="neither 0 nor 1"):
+        NB.class_counts(df)
+    assert NB.class_counts(df.where("doc_id <> 2")) == {0: 0, 1: 1}
