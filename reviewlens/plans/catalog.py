@@ -21,7 +21,7 @@ from ..sources.tables import table
 from ..streaming.score_stream import review_stream, score_stream
 from . import sql_text as S
 from .corpus import reviews, with_split
-from .models import (FIT_ROWS, GRU_WORDS, all_scores, model_bundle, nb_context, quality_context,
+from .models import (FIT_ROWS, GRU_WORDS, all_scores, model_bundle, nb_context, once, quality_context,
                      round6, scored_reviews, sequence_context, trees_context, whole_word_index)
 from .sql_models import with_nb
 
@@ -377,7 +377,7 @@ def q_score_gbt(spark, sf_dir):
 
 MAXLEN = 150
 
-_WORD_INDEX_CTES = f"""
+WORD_INDEX_CTES = f"""
 r AS (SELECT doc_id, {S.clean_light(S.std_text())} AS cl,
              {S.is_train()} AND lang IS NOT NULL AS is_train FROM documents),
 w AS (SELECT unnest(string_split(cl, ' ')) AS word FROM r WHERE is_train),
@@ -386,12 +386,12 @@ idx AS (SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) +
         FROM c)"""
 
 
-@register("fit_word_index", f"WITH {_WORD_INDEX_CTES}\nSELECT word, count, id FROM idx")
+@register("fit_word_index", f"WITH {WORD_INDEX_CTES}\nSELECT word, count, id FROM idx")
 def q_fit_word_index(spark, sf_dir):
     return whole_word_index(spark, sf_dir).table.select("word", "count", "id")
 
 
-@register("encode_sequence", f"""WITH {_WORD_INDEX_CTES},
+@register("encode_sequence", f"""WITH {WORD_INDEX_CTES},
 ws AS (SELECT doc_id, string_split(cl, ' ') AS ws FROM r),
 p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM ws),
 j AS (SELECT p.doc_id, p.pos, coalesce(idx.id, 1) AS id FROM p LEFT JOIN idx USING (word)
@@ -443,7 +443,7 @@ def q_class_distribution_vote(spark, sf_dir):
     return summary.class_distribution(scores, columns.select_prediction(scores, "all"))
 
 
-def _with_text(spark, sf_dir, preds):
+def with_text(spark, sf_dir, preds):
     """Predictions next to the review text. The text side is the checkpointed
     review table, already hash-partitioned by doc_id, so only the narrow
     prediction side moves."""
@@ -454,7 +454,7 @@ def _with_text(spark, sf_dir, preds):
 @register("top_tokens_vote")
 def q_top_tokens_vote(spark, sf_dir):
     s = _all_scores(spark, sf_dir).select("doc_id", "pred_vote")
-    return summary.top_tokens(_with_text(spark, sf_dir, s), "pred_vote", n=10)
+    return summary.top_tokens(with_text(spark, sf_dir, s), "pred_vote", n=10)
 
 
 @register("evaluate_all")
@@ -465,22 +465,29 @@ def q_evaluate_all(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- stream
+def stream_output(spark, sf_dir):
+    """The documents table replayed as a file stream and scored per micro-batch, once per session."""
+    models = model_bundle(spark, sf_dir)
+
+    def run():
+        name = "documents.parquet"
+        src = f"{sf_dir.rstrip('/')}/{name}"
+        docs = spark.read.parquet(src)
+        # a stream reads folders: the table's own one, or where the table is one file, the folder around it
+        first = docs.select("_metadata.file_name").first()
+        one_file = first is not None and first["file_name"] == name
+        stream = review_stream(spark, sf_dir if one_file else src, docs.schema, glob=name if one_file else None)
+        out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+        score_stream(stream, models, out, ckpt).awaitTermination()
+        return spark.read.parquet(out)
+
+    return once(spark, sf_dir, "stream", run)
+
+
 @register("score_stream")
 def q_score_stream(spark, sf_dir):
-    """The documents table replayed as a file stream and scored per micro-batch."""
-    models = model_bundle(spark, sf_dir)
-    name = "documents.parquet"
-    src = f"{sf_dir.rstrip('/')}/{name}"
-    docs = spark.read.parquet(src)
-    # a stream reads folders: the table's own one, or where the table is one file, the folder around it
-    first = docs.select("_metadata.file_name").first()
-    one_file = first is not None and first["file_name"] == name
-    stream = review_stream(spark, sf_dir if one_file else src, docs.schema, glob=name if one_file else None)
-    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    q = score_stream(stream, models, out, ckpt)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "pred_nb", "prob_nb", "pred_gbt", "prob_gbt",
-                                          "pred_gru", "prob_gru", "pred_vote")
+    return stream_output(spark, sf_dir).select("doc_id", "pred_nb", "prob_nb", "pred_gbt", "prob_gbt",
+                                               "pred_gru", "prob_gru", "pred_vote")
 
 
 # ------------------------------------------------ summaries for each model choice
@@ -497,7 +504,7 @@ for _m in ("gbt", "gru"):
         return summary.class_distribution(_by_method(spark, sf_dir, _m), f"pred_{_m}")
 
     def _top(spark, sf_dir, _m=_m):
-        return summary.top_tokens(_with_text(spark, sf_dir, _by_method(spark, sf_dir, _m)),
+        return summary.top_tokens(with_text(spark, sf_dir, _by_method(spark, sf_dir, _m)),
                                   f"pred_{_m}", n=10)
 
     register(f"class_distribution_{_m}")(_dist)

@@ -41,6 +41,14 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
     return (spark.sparkContext.applicationId, sf_dir, name)
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, build):
+    """What ``build()`` gives, kept for the session and data folder."""
+    key = _key(spark, sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def prepared_docs(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Reviews hash-partitioned by ``doc_id`` and checkpointed, with the two
     cleaned texts as lazy columns.
@@ -89,7 +97,30 @@ def build_nb(docs: DataFrame, alpha: float = 1.0, max_features: int | None = Non
     vocab = tf.fit_tfidf(train_tf, sum(counts.values()), max_features=max_features)
     model = nb.fit_nb(train_tf, vocab, counts, alpha=alpha)
     scored = nb.score_nb(tf_all, model, keep=keep)
-    return NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0})
+    return NBContext(docs, tf_all, vocab, model, scored, {"fit_s": time.time() - t0, "counts": counts})
+
+
+# Names and smoothing of the Naive Bayes models that vote in the oracle-checked ensemble queries.
+SMOOTHINGS = {"sharp": 0.1, "plain": 1.0, "smooth": 10.0}
+
+
+def smoothing_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, is_train, pred and prob of each of the ``SMOOTHINGS``, and their 2-of-3 vote.
+    All models come from the same term counts, which stay partitioned by ``doc_id``."""
+    from ..operators.ensemble import vote
+
+    def run():
+        ctx = nb_context(spark, sf_dir)
+        df = None
+        for name, alpha in SMOOTHINGS.items():
+            model = nb.fit_nb(ctx.tf_all.where(FIT_ROWS), ctx.vocab, ctx.extra["counts"], alpha=alpha)
+            scored = nb.score_nb(ctx.tf_all, model, keep=["score", "is_train"])
+            scored = scored.withColumnsRenamed({"pred_nb": f"pred_{name}", "prob_nb": f"prob_{name}"})
+            df = scored if df is None else df.join(scored.drop("score", "is_train").hint("shuffle_hash"), "doc_id")
+        df = df.withColumn("pred_vote", vote(*(F.col(f"pred_{n}") for n in SMOOTHINGS)))
+        return checkpoint_partitioned(df)
+
+    return once(spark, sf_dir, "smoothing-votes", run)
 
 
 def scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +154,25 @@ def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42)
     return _CACHE[key]
 
 
+def sparse_tfidf(ctx: NBContext) -> tuple[DataFrame, DataFrame, int]:
+    """(term index, sparse TF-IDF rows of every document, number of terms)."""
+    from ..operators import svd as svd_ops
+    if "sparse" not in ctx.extra:
+        keep = ["score", "is_train"]
+        x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
+        v = ctx.vocab.n_terms
+        index = write_table(svd_ops.index_terms(ctx.vocab.table, v), "term-index")
+        ctx.extra["sparse"] = index, checkpoint_partitioned(svd_ops.sparse_rows(x_all, index, v, keep=keep)), v
+    return ctx.extra["sparse"]
+
+
 def build_trees(ctx: NBContext, k: int = 20, seed: int = 42) -> TreesContext:
     """SVD on the TF-IDF rows of the training documents, then boosted trees."""
     from ..operators import svd as svd_ops
     from ..operators import trees
     t0 = time.time()
     keep = ["score", "is_train"]
-    x_all = tf.tfidf(ctx.tf_all, ctx.vocab, keep=keep, how="left")
-    v = ctx.vocab.n_terms
-    index = write_table(svd_ops.index_terms(ctx.vocab.table, v), "term-index")
-    rows = checkpoint_partitioned(svd_ops.sparse_rows(x_all, index, v, keep=keep))
+    index, rows, v = sparse_tfidf(ctx)
     model = svd_ops.fit_svd(rows.where(FIT_ROWS), index, v, k=k, seed=seed)
     feats = checkpoint_partitioned(svd_ops.svd_project(rows, model, keep=keep))
     gbt = trees.fit_gbt(feats.where(FIT_ROWS), seed=seed)

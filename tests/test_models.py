@@ -266,3 +266,14 @@ def test_labels_other_than_0_and_1_are_an_error(spark):
     with pytest.raises(ValueError, match="neither 0 nor 1"):
         NB.class_counts(df)
     assert NB.class_counts(df.where("doc_id <> 2")) == {0: 0, 1: 1}
+
+
+def test_scores_beside_inputs(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (2, "b", "y")], "doc_id long, text string, `Shop.Name` string")
+    scores = spark.createDataFrame([(1, 1, 0.9), (2, 0, 0.1)], "doc_id long, pred_nb int, prob_nb double")
+    got = scoring.beside_inputs(df, scores)
+    assert got.columns == ["doc_id", "text", "Shop.Name", "pred_nb", "prob_nb"]
+    assert sorted((r.doc_id, r["Shop.Name"], r.pred_nb) for r in got.collect()) == [(1, "x", 1), (2, "y", 0), (2, "y", 0)]
+    assert scoring.beside_inputs(df.limit(0), scores).count() == 0
+    with pytest.raises(ValueError, match="PRED_NB"):
+        scoring.beside_inputs(df.withColumnRenamed("text", "pred_nb"), scores.withColumnRenamed("pred_nb", "PRED_NB"))
