@@ -181,7 +181,7 @@ def local_epoch(p: dict, frames, maxlen: int, rng, batch: int, lr: float):
 def _to_ids(series: pd.Series, maxlen: int) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, maxlen), dtype=np.int64)
-    return np.stack([np.asarray(a, dtype=np.int64) for a in series])
+    return np.concatenate(series.to_numpy()).reshape(len(series), maxlen).astype(np.int64, copy=False)
 
 
 def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",

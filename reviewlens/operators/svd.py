@@ -3,8 +3,8 @@
 Fit: randomized range finder with power iterations (Halko, Martinsson & Tropp,
 2011). Every pass computes ``Z = X^T (X M)`` for a V x l matrix ``M``: each
 task multiplies its documents' sparse rows with the broadcast ``M`` and adds
-their contribution to a partial ``Z``; the partials are summed with
-``treeReduce``. Only V x l and l x l matrices reach the driver, so the driver's
+their contribution to a partial ``Z``; the partials are cut into blocks of terms
+and summed by block in a shuffle. Only V x l and l x l matrices reach the driver, so the driver's
 share is bounded by the vocabulary size (checked), never by the number of
 documents.
 
@@ -61,12 +61,16 @@ def sparse_rows(x: DataFrame, index: DataFrame, n_terms: int, key: str = "doc_id
             .select(key, *keep, F.col("p.idx").alias("idx"), F.col("p.x").alias("val")))
 
 
-# Non-zeros handled at once inside a task: bounds the dense nnz x l temporaries
-# (about 240 MB at l = 30) whatever the batch's document lengths.
-MAX_CHUNK_NNZ = 1_000_000
+# Bytes of a dense nnz x l temporary inside a task, whatever the documents' lengths and l.
+MAX_CHUNK_BYTES = 256 << 20
 
 
-def _chunks(pdf: pd.DataFrame, max_nnz: int = MAX_CHUNK_NNZ):
+def _most_nnz(width: int) -> int:
+    """Non-zeros handled at once with matrices of ``width`` columns."""
+    return max(MAX_CHUNK_BYTES // (8 * width), 1)
+
+
+def _chunks(pdf: pd.DataFrame, max_nnz: int):
     """Consecutive row slices of an Arrow batch with at most ``max_nnz``
     non-zeros each (a single longer document forms its own slice)."""
     lens = np.fromiter((len(a) for a in pdf["idx"]), dtype=np.int64, count=len(pdf))
@@ -84,8 +88,8 @@ def _flatten(pdf: pd.DataFrame):
     lens = np.fromiter((len(a) for a in pdf["idx"]), dtype=np.int64, count=len(pdf))
     ptr = np.concatenate([[0], np.cumsum(lens)])
     if ptr[-1]:
-        idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["idx"]])
-        val = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["val"]])
+        idx = np.concatenate(pdf["idx"].to_numpy()).astype(np.int64, copy=False)
+        val = np.concatenate(pdf["val"].to_numpy()).astype(np.float64, copy=False)
     else:
         idx, val = np.zeros(0, np.int64), np.zeros(0, np.float64)
     return idx, val, ptr
@@ -109,7 +113,7 @@ def rows_t_times(idx, val, ptr, y: np.ndarray, n_terms: int) -> np.ndarray:
                      for j in range(y.shape[1])], axis=1)
 
 
-def gram_times(rows: DataFrame, m: np.ndarray, block: int = 4096) -> np.ndarray:
+def gram_times(rows: DataFrame, m: np.ndarray, block: int = 512) -> np.ndarray:
     """``X^T X m`` over all documents of ``rows`` (distributed).
 
     Each task emits its partial result in blocks of ``block`` terms; blocks
@@ -125,7 +129,7 @@ def gram_times(rows: DataFrame, m: np.ndarray, block: int = 4096) -> np.ndarray:
         z = np.zeros_like(mv)
         seen = False
         for batch in batches:
-            for pdf in _chunks(batch):
+            for pdf in _chunks(batch, _most_nnz(l)):
                 idx, val, ptr = _flatten(pdf)
                 if not len(idx):
                     continue
@@ -133,8 +137,9 @@ def gram_times(rows: DataFrame, m: np.ndarray, block: int = 4096) -> np.ndarray:
                 z += rows_t_times(idx, val, ptr, rows_times(idx, val, ptr, mv), v)
         if not seen:
             return
-        starts = range(0, v, block)
-        yield pd.DataFrame({"b": list(starts),
+        # blocks none of the task's documents reach stay at zero
+        starts = [s for s in range(0, v, block) if z[s:s + block].any()]
+        yield pd.DataFrame({"b": starts,
                             "z": [z[s:s + block].tobytes() for s in starts]})
 
     parts = rows.select("idx", "val").mapInPandas(partial, "b int, z binary")
@@ -190,7 +195,7 @@ def svd_project(rows: DataFrame, model: SVDModel, key: str = "doc_id",
     def project(batches):
         b = basis.value
         for batch in batches:
-            for pdf in _chunks(batch):
+            for pdf in _chunks(batch, _most_nnz(b.shape[1])):
                 idx, val, ptr = _flatten(pdf)
                 y = rows_times(idx, val, ptr, b)
                 out = pdf[[key, *keep]].copy()

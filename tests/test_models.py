@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators import evaluate as EV
 from reviewlens.operators import gru as G
 from reviewlens.operators import naive_bayes as NB
+from reviewlens.operators import scoring
 from reviewlens.operators import sequence as SEQ
 from reviewlens.operators import svd as SVD
 from reviewlens.operators import tfidf as TF
