@@ -109,13 +109,13 @@ hits AS (
   SELECT doc_id, r, kind, name, value,
     regexp_extract_all(text, pattern) AS found,
     regexp_extract_all(text, pattern, CASE WHEN kind = 0 THEN 2 ELSE 0 END) AS tested,
-    list_transform(string_split_regex(text, pattern), x -> length(x)) AS gaps
+    list_transform(string_split_regex(text, pattern), lambda x: length(x)) AS gaps
   FROM docs, rules WHERE regexp_matches(text, pattern)),
 each AS (
   SELECT doc_id, r, kind, name, value, unnest(found) AS hit, unnest(tested) AS part, unnest(range(1, len(found) + 1)) AS i, gaps, found FROM hits),
 placed AS (
   SELECT doc_id, r, kind, name, hit,
-    list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(found[1:i - 1], x -> length(x))), 0) AS first
+    list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS first
   FROM each WHERE regexp_matches(part, value)),
 base AS (SELECT doc_id, r, kind, name, first::BIGINT AS first, (first + length(hit))::BIGINT AS last FROM placed WHERE kind < 9),
 runs AS (
@@ -124,16 +124,16 @@ runs AS (
     AND NOT regexp_full_match(hit, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')
     AND NOT regexp_full_match(hit, '/?([a-z]+[0-9]{0,4}|[0-9]{1,4}|[A-Z][a-z]+)([_/-]+([a-z]+[0-9]{0,4}|[0-9]{1,4}|[A-Z][a-z]+))+[_/-]*')
     AND NOT regexp_matches(hit, '(?i)example|sample|dummy|placeholder|changeme|0123456789abcdef|abcdefghijklmnop|1234567890')),
-shifts AS (SELECT doc_id, r, first, hit, narrow, unnest(range(0, length(hit) - 19)) AS at FROM runs),
+shifts AS (SELECT doc_id, r, first, hit, narrow, unnest(range(0, length(hit) - 19)) AS pos FROM runs),
 high AS (
-  SELECT doc_id, r, first, narrow, at FROM shifts
-  WHERE list_aggregate(string_split(substring(hit, (at + 1)::BIGINT, 20), ''), 'entropy') >= CASE WHEN narrow THEN 3.051 ELSE 3.851 END),
+  SELECT doc_id, r, first, narrow, pos FROM shifts
+  WHERE list_aggregate(string_split(substring(hit, (pos + 1)::BIGINT, 20), ''), 'entropy') >= CASE WHEN narrow THEN 3.051 ELSE 3.851 END),
 breaks AS (
-  SELECT *, CASE WHEN at <= lag(at) OVER (PARTITION BY r, first ORDER BY at) + 20 THEN 0 ELSE 1 END AS new FROM high),
-islands AS (SELECT *, sum(new) OVER (PARTITION BY r, first ORDER BY at) AS island FROM breaks),
+  SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY r, first ORDER BY pos) + 20 THEN 0 ELSE 1 END AS new FROM high),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY r, first ORDER BY pos) AS island FROM breaks),
 added AS (
   SELECT doc_id, r, CASE WHEN narrow THEN 3 ELSE 4 END AS kind, CASE WHEN narrow THEN 'entropy_hex' ELSE 'entropy_key' END AS name,
-    (first + min(at))::BIGINT AS first, (first + max(at) + 20)::BIGINT AS last
+    (first + min(pos))::BIGINT AS first, (first + max(pos) + 20)::BIGINT AS last
   FROM islands GROUP BY doc_id, r, first, narrow, island),
 everything AS (SELECT * FROM base UNION ALL SELECT * FROM added),
 written AS (
@@ -161,9 +161,9 @@ SELECT source, lang, version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM co
 
 _TOP_K = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-    AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR isnan(x) OR isinf(x)))),
+    AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
