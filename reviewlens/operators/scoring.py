@@ -22,13 +22,14 @@ MODEL_COLUMNS = ["pred_nb", "prob_nb", "pred_gbt", "prob_gbt", "pred_gru", "prob
 
 @dataclass
 class ModelBundle:
+    """All three models, or Naive Bayes alone."""
     vocab: tfidf_ops.TfidfModel
     nb: nb_ops.NBModel
-    term_index: DataFrame
-    svd: svd_ops.SVDModel
-    gbt: object
-    words: seq_ops.WordIndex
-    gru: gru_ops.GRUModel
+    term_index: DataFrame | None = None
+    svd: svd_ops.SVDModel | None = None
+    gbt: object | None = None
+    words: seq_ops.WordIndex | None = None
+    gru: gru_ops.GRUModel | None = None
 
 
 def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
@@ -50,13 +51,16 @@ def prepare(df: DataFrame, text: str = "text", key: str = "doc_id",
 
 def score_prepared(prepared: DataFrame, models: ModelBundle, key: str = "doc_id",
                    keep: list[str] | tuple = ()) -> DataFrame:
-    """Six model columns, failure flags and the 2-of-3 vote per document.
+    """Six model columns, failure flags and the 2-of-3 vote per document; of a bundle of Naive Bayes alone its
+    columns and flag.
 
     Each model produces one narrow row per document; they are joined on the key
     (left joins from the NB side, which has every document)."""
     keep = list(keep)
     tf = tfidf_ops.term_frequencies(prepared, "clean", key, keep)
     nb = nb_ops.score_nb(tf, models.nb, key, keep)
+    if models.gbt is None:
+        return guard_scores(nb, "nb")
     x = tfidf_ops.tfidf(tf.select(key, "term", "tf"), models.vocab, key, how="left")
     rows = svd_ops.sparse_rows(x, models.term_index, models.svd.n_terms, key)
     gbt = tree_ops.score_gbt(svd_ops.svd_project(rows, models.svd, key), models.gbt, key=key)

@@ -1,49 +1,97 @@
 """Truncated SVD of the TF-IDF matrix (no centring) and the projection onto it.
 
 Fit: randomized range finder with power iterations (Halko, Martinsson & Tropp,
-2011). Every pass computes ``Z = X^T (X M)`` for a V x l matrix ``M``: each
-task multiplies its documents' sparse rows with the broadcast ``M`` and adds
-their contribution to a partial ``Z``; the partials are cut into blocks of terms
-and summed by block in a shuffle. Only V x l and l x l matrices reach the driver, so the driver's
-share is bounded by the vocabulary size (checked), never by the number of
-documents.
-
-Projection: each document's sparse row times the broadcast V x k basis, per
-Arrow batch.
+2011). The matrix is stored once as tiles (document block x term block). The
+V x l iterate is a table of dense blocks, too: ``X M`` and ``X^T Y`` each send a
+block to the tiles it meets, multiply there, and sum the products by block in a
+shuffle. A task holds one block of each side (about ``BLOCK_BYTES``; more of the
+documents' side where partitions are uneven) and the entries of one tile. The iterate is orthonormalised through its l x l
+Gram matrix; only l x l matrices, l-sized rows and a count per partition reach
+the driver.
+
+Projection: each document's sparse row times the V x k basis; a basis of at most
+``BROADCAST_BYTES`` is broadcast, a larger one multiplied by blocks as in the fit.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lineage import bounded_broadcast, checkpoint_partitioned
 from .ranking import global_rank
 
-# Largest vocabulary whose V x l basis the driver holds (8 bytes per entry).
-MAX_SVD_TERMS = 300_000
+# Bytes of the dense block that a task holds of each side of a product.
+BLOCK_BYTES = 32 << 20
+# Bytes of the pieces in which a block travels and is summed.
+PIECE_BYTES = 1 << 20
+# Tiles (document block x term block) at least: small inputs have more than one task, too.
+LEAST_TILES = 16
+# Largest basis that is broadcast for a projection.
+BROADCAST_BYTES = 64 << 20
+
+DENSE = "block int, piece int, z binary"
+_DENSE = pa.schema([("block", pa.int32()), ("piece", pa.int32()), ("z", pa.binary())])
+TILES = "r int, c int, p int, most int, i binary, j binary, x binary"
+_TILE = pa.schema([("r", pa.int32()), ("c", pa.int32()), ("p", pa.int32()), ("most", pa.int32()),
+                   ("i", pa.binary()), ("j", pa.binary()), ("x", pa.binary())])
+
+
+@dataclass(frozen=True)
+class Side:
+    """``n`` rows dealt to blocks in turn: row q is row ``q // blocks`` of block ``q % blocks``."""
+    n: int
+    width: int
+    blocks: int
+
+    @classmethod
+    def of(cls, n: int, width: int, least: int = 1) -> Side:
+        return cls(n, width, max(least, math.ceil(8 * width * n / BLOCK_BYTES)))
+
+    @property
+    def step(self) -> int:
+        """Rows of a piece."""
+        return max(PIECE_BYTES // (8 * max(self.width, 1)), 1)
+
+    def size(self, block: int) -> int:
+        return max(self.n - block + self.blocks - 1, 0) // self.blocks
+
+    def cut(self, block: int, z: np.ndarray) -> pa.RecordBatch:
+        """The pieces of a block that are not all zero."""
+        at = [p for p in range(0, len(z), self.step) if z[p:p + self.step].any()]
+        return pa.RecordBatch.from_arrays([
+            pa.array([block] * len(at), pa.int32()), pa.array([p // self.step for p in at], pa.int32()),
+            pa.array([z[p:p + self.step].tobytes() for p in at], pa.binary())], schema=_DENSE)
 
 
 @dataclass
 class SVDModel:
     index: DataFrame          # term, idx
-    components: np.ndarray    # k x V
+    basis: DataFrame          # block, piece, z: the V x k basis in blocks, see Side
     singular_values: np.ndarray
     n_terms: int
+    blocks: int
+
+    @property
+    def side(self) -> Side:
+        return Side(self.n_terms, len(self.singular_values), self.blocks)
+
+    @property
+    def components(self) -> np.ndarray:
+        """k x V on the driver: for small bases and for tests."""
+        return collected(self.basis, self.side).T
 
 
 def index_terms(vocab: DataFrame, n_terms: int) -> DataFrame:
-    """Dense 0-based index of the vocabulary in term order (exact distributed
-    rank). The basis the index addresses is held on the driver and capped at
-    ``MAX_SVD_TERMS``; a larger vocabulary is rejected here, before any work."""
-    if n_terms > MAX_SVD_TERMS:
-        raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
-                         "fit the vocabulary with max_features")
+    """Dense 0-based index of the vocabulary in term order (exact distributed rank)."""
     ranked = global_rank(vocab.select("term"), [F.asc("term")], name="idx")
     return ranked.select("term", F.col("idx").cast("int").alias("idx"))
 
@@ -113,82 +161,289 @@ def rows_t_times(idx, val, ptr, y: np.ndarray, n_terms: int) -> np.ndarray:
                      for j in range(y.shape[1])], axis=1)
 
 
-def gram_times(rows: DataFrame, m: np.ndarray, block: int = 512) -> np.ndarray:
-    """``X^T X m`` over all documents of ``rows`` (distributed).
+def generated(spark: SparkSession, side: Side, rows) -> DataFrame:
+    """Dense table whose entries a function gives, (block, its global rows) -> rows x width."""
 
-    Each task emits its partial result in blocks of ``block`` terms; blocks
-    are summed by key across tasks (a shuffle, spread over executors), and
-    only the V x l total reaches the driver.
-    """
-    sc = rows.sparkSession.sparkContext
-    bm = sc.broadcast(m)
-    v, l = m.shape
+    def task(batches):
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                yield side.cut(b, np.ascontiguousarray(rows(b, b + side.blocks * np.arange(side.size(b))), dtype=np.float64))
 
-    def partial(batches):
-        mv = bm.value
-        z = np.zeros_like(mv)
-        seen = False
+    return spark.range(0, side.blocks, 1, side.blocks).mapInArrow(task, DENSE)
+
+
+def collected(dense: DataFrame, side: Side) -> np.ndarray:
+    """A dense table on the driver (small ones only)."""
+    out = np.zeros((side.n, side.width))
+    for r in dense.collect():
+        z = np.frombuffer(r.z).reshape(-1, side.width)
+        out[r.block + side.blocks * (r.piece * side.step + np.arange(len(z)))] = z
+    return out
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(``rows`` with a dense 0-based number ``_n``, their count); a count per partition reaches the driver."""
+    tagged = checkpoint_partitioned(rows.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r["_pid"]: r["n"] for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return tagged.select(*rows.columns, F.lit(0).cast("long").alias("_n")), 0
+    starts, total = {}, 0
+    for pid in sorted(counts):
+        starts[pid], total = total, total + counts[pid]
+    first = tagged.sparkSession.createDataFrame(sorted(starts.items()), "_p int, _first long")
+    found = tagged.join(F.broadcast(first), F.col("_pid") == F.col("_p"))  # one row for each partition
+    return found.select(*rows.columns, (F.col("_first") + F.col("_pos")).alias("_n")), total
+
+
+def tiles_of(rows: DataFrame, blocks: int, terms: Side) -> DataFrame:
+    """Tiles (r, c, p, most, i, j, x) of sparse rows: entries x of document block r and term block c, at row j of the term
+    block and place i of partition p, ``most`` being the largest such i. Documents are dealt to the blocks in turn; with
+    a column ``_n`` (a dense number) by this, and p is 0."""
+    named = "_n" in rows.columns
+
+    def task(batches):
+        pid = 0 if named else TaskContext.get().partitionId()
+        done = 0
         for batch in batches:
-            for pdf in _chunks(batch, _most_nnz(l)):
+            for pdf in _chunks(batch.to_pandas(), 1 << 20):
                 idx, val, ptr = _flatten(pdf)
+                doc = np.repeat(pdf["_n"].to_numpy() if named else done + np.arange(len(pdf)), np.diff(ptr))
+                done += len(pdf)
                 if not len(idx):
                     continue
-                seen = True
-                z += rows_t_times(idx, val, ptr, rows_times(idx, val, ptr, mv), v)
-        if not seen:
-            return
-        # blocks none of the task's documents reach stay at zero
-        starts = [s for s in range(0, v, block) if z[s:s + block].any()]
-        yield pd.DataFrame({"b": starts,
-                            "z": [z[s:s + block].tobytes() for s in starts]})
-
-    parts = rows.select("idx", "val").mapInPandas(partial, "b int, z binary")
-    summed = (parts.rdd.map(lambda r: (r.b, np.frombuffer(r.z, dtype=np.float64)))
-              .reduceByKey(np.add).collect())
-    bm.destroy()
-    total = np.zeros((v, l))
-    for start, flat in summed:
-        blk = flat.reshape(-1, l)
-        total[start:start + len(blk)] = blk
-    return total
+                r, c = (doc + pid) % blocks, idx % terms.blocks
+                order = np.lexsort((c, r))
+                r, c = r[order], c[order]
+                starts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+                ends = [*starts[1:], len(r)]
+                i, j = (doc // blocks)[order].astype(np.int32), (idx // terms.blocks)[order].astype(np.int32)
+                cut = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(r[starts], pa.int32()), pa.array(c[starts], pa.int32()), pa.array([pid] * len(starts), pa.int32()),
+                    pa.array([i[a:b].max() for a, b in zip(starts, ends)], pa.int32()), cut(i), cut(j), cut(val[order])], schema=_TILE)
+
+    return rows.select(*(["_n"] if named else []), "idx", "val").mapInArrow(task, TILES)
+
+
+def tiled(rows: DataFrame, n_terms: int, width: int) -> tuple[DataFrame, Side, Side]:
+    """(tiles of sparse rows, stored once by tile, documents' side, terms' side) for products of ``width`` columns."""
+    blocks = Side.of(rows.count(), width).blocks
+    terms = Side.of(n_terms, width, math.ceil(LEAST_TILES / blocks))
+    tiles = checkpoint_partitioned(tiles_of(rows, blocks, terms).repartition(blocks * terms.blocks, "r", "c"))
+    top = tiles.agg(F.max("p").alias("p"), F.max("most").alias("most")).first()
+    parts = 1 + (top["p"] or 0)
+    return tiles.withColumn("p", F.struct("p", F.lit(parts).alias("of"))), Side(blocks * parts * (1 + (top["most"] or 0)), width, blocks), terms
+
+
+def _add_products(out: np.ndarray, to: np.ndarray, at: np.ndarray, x: np.ndarray, have: np.ndarray) -> None:
+    """``out[to] += x * have[at]``, entry by entry."""
+    order = np.argsort(to, kind="stable")
+    most = _most_nnz(have.shape[1])
+    for k in range(0, len(order), most):
+        o = order[k:k + most]
+        t = to[o]
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        out[t[starts]] += np.add.reduceat(x[o][:, None] * have[at[o]], starts, axis=0)
+
+
+def multiply(tiles: DataFrame, dense: DataFrame, into: Side, by: Side, transposed: bool = False) -> DataFrame:
+    """``X M`` (or ``X^T M``) as a dense table: the blocks of ``dense`` go to the tiles that they meet."""
+    mine, other = ("r", "c") if transposed else ("c", "r")
+    sent = dense.select(F.col("block").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(into.blocks - 1))).alias(other), "piece", "z")
+    entries = tiles.select("r", "c", F.col("p.p").alias("p"), F.col("p.of").alias("of"), "i", "j", "x")
+
+    def products(key, left, right):
+        r, c = (k.as_py() for k in key)
+        block, target = (r, c) if transposed else (c, r)
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], _DENSE)
+        have, out = np.zeros((by.size(block), by.width)), np.zeros((into.size(target), into.width))
+        for piece, z in zip(right["piece"].to_pylist(), right["z"]):
+            z = np.frombuffer(z.as_buffer()).reshape(-1, by.width)
+            have[piece * by.step:piece * by.step + len(z)] = z
+        for p, of, i, j, x in zip(left["p"].to_pylist(), left["of"].to_pylist(), left["i"], left["j"], left["x"]):
+            docs = np.frombuffer(i.as_buffer(), np.int32) * of + p
+            at = np.frombuffer(j.as_buffer(), np.int32)
+            x = np.frombuffer(x.as_buffer())
+            _add_products(out, *((at, docs) if transposed else (docs, at)), x, have)
+        return pa.Table.from_batches([into.cut(target, out)], _DENSE)
+
+    def sums(batches):
+        key = total = None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_DENSE)
+        for batch in batches:
+            for block, piece, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                z = np.frombuffer(z.as_buffer())
+                if key == (block, piece):
+                    total += z
+                    continue
+                if key is not None:
+                    yield row()
+                key, total = (block, piece), z.copy()
+        if key is not None:
+            yield row()
+
+    # the tiles stay where they are stored; the dense blocks move
+    parts = entries.groupBy("r", "c").cogroup(sent.groupBy("r", "c")).applyInArrow(products, DENSE)
+    return parts.repartition(into.blocks, "block", "piece").sortWithinPartitions("block", "piece").mapInArrow(sums, DENSE)
+
+
+def times(dense: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """The rows of a dense table times small matrices, one after the other."""
+    if not steps:
+        return dense
+
+    def task(batches):
+        for batch in batches:
+            out = [_applied(z, steps).tobytes() for z in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=_DENSE)
+
+    return dense.mapInArrow(task, DENSE)
+
+
+def _applied(z, steps: list[np.ndarray], width: int | None = None) -> np.ndarray:
+    rows = np.frombuffer(z.as_buffer()).reshape(-1, len(steps[0]) if steps else width)
+    for step in steps:
+        rows = rows @ step
+    return rows
+
+
+def gram(dense: DataFrame, width: int, steps: list[np.ndarray] | tuple = ()) -> np.ndarray:
+    """l x l Gram matrix of a dense table times ``steps``."""
+    steps = list(steps)
+
+    def partial(batches):
+        g = None
+        for batch in batches:
+            for z in batch.column(2):
+                m = _applied(z, steps, width)
+                g = m.T @ m if g is None else g + m.T @ m
+        if g is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+
+    def added(batches):
+        total = np.zeros(width * width)
+        for batch in batches:
+            for g in batch.column(0):
+                total += np.frombuffer(g.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+    # an l x l matrix from each task, added in one task
+    found = dense.mapInArrow(partial, "g binary").repartition(1).mapInArrow(added, "g binary").collect()
+    return np.frombuffer(found[0].g).reshape(width, width).copy() if found else np.zeros((width, width))
+
+
+def orthonormal(dense: DataFrame, width: int, enough: float, most: int = 8) -> list[np.ndarray]:
+    """Small matrices whose product makes the columns of ``dense`` orthonormal within ``enough``; columns beyond its rank
+    become zero.
+
+    As in Cholesky QR each round takes a factor of the inverse Gram matrix, here from its eigenvectors. The first round
+    holds up eigenvalues under rounding error, so an ill-conditioned iterate loses no direction: the next round sees
+    it at its own scale, and what depends on the others even then is dropped."""
+    steps: list[np.ndarray] = []
+    for k in range(most):
+        g = gram(dense, width, steps)
+        d = np.sqrt(np.diag(g))
+        live = np.flatnonzero(d > 0)
+        if steps and np.abs(g[np.ix_(live, live)] - np.eye(len(live))).max(initial=0.0) < enough:
+            break
+        scale = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        evals, u = np.linalg.eigh(g * scale[:, None] * scale)
+        top = max(evals.max(initial=0.0), 1e-300)
+        step = scale[:, None] * u / np.sqrt(np.maximum(evals, 1e-13 * top))
+        if k:
+            step[:, evals < 1e-10 * top] = 0.0
+        steps.append(step)
+    return steps
+
+
+def _signs(dense: DataFrame, side: Side, steps: list[np.ndarray]) -> np.ndarray:
+    """Sign of the entry of largest magnitude in each column; of equal ones the first row's."""
+
+    def task(batches):
+        best = None
+        for batch in batches:
+            for block, piece, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                m = _applied(z, steps)
+                k = np.abs(m).argmax(axis=0)
+                x = m[k, np.arange(m.shape[1])]
+                row = block + side.blocks * (piece * side.step + k)
+                new = np.stack([np.abs(x), -row, np.sign(x)])
+                best = new if best is None else np.where((new[0] > best[0]) | (new[0] == best[0]) & (new[1] > best[1]), new, best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], ["s"])
+
+    best = None
+    for r in dense.mapInArrow(task, "s binary").collect():
+        new = np.frombuffer(r.s).reshape(3, -1)
+        best = new if best is None else np.where((new[0] > best[0]) | (new[0] == best[0]) & (new[1] > best[1]), new, best)
+    return np.ones(steps[-1].shape[1]) if best is None else np.where(best[2] < 0, -1.0, 1.0)
+
+
+def gram_times(rows: DataFrame, m: np.ndarray) -> np.ndarray:
+    """``X^T X m`` over all documents of ``rows``, on the driver (small ``m`` only)."""
+    v, l = m.shape
+    tiles, docs, terms = tiled(rows.select("idx", "val"), v, l)
+    y = multiply(tiles, generated(rows.sparkSession, terms, lambda b, at: m[at]), docs, terms)
+    return collected(multiply(tiles, y, terms, docs, transposed=True), terms)
 
 
 def fit_svd(rows: DataFrame, index: DataFrame, n_terms: int, k: int = 20,
             oversample: int = 10, power_iters: int = 5, seed: int = 42) -> SVDModel:
     """Top-``k`` right singular vectors of the sparse matrix in ``rows``."""
-    if n_terms > MAX_SVD_TERMS:
-        raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_SVD_TERMS; "
-                         "fit the vocabulary with max_features")
-    # one V x l partial per task: fewer, larger tasks keep the summed volume
-    # at (cores x V x l) per pass instead of (input partitions x V x l)
-    par = rows.sparkSession.sparkContext.defaultParallelism
-    rows = rows.select("idx", "val")
-    if rows.rdd.getNumPartitions() > par:
-        rows = rows.coalesce(par)
-    rows = checkpoint_partitioned(rows)
     l = min(k + oversample, n_terms)
-    m = np.random.default_rng(seed).standard_normal((n_terms, l))
-    # ``power_iters`` passes of X^T X (re-orthonormalised each time), then one
-    # pass for the Rayleigh-Ritz step: power_iters + 1 passes over the data
-    for _ in range(power_iters):
-        m, _ = np.linalg.qr(gram_times(rows, m))
-    z = gram_times(rows, m)
-    evals, u = np.linalg.eigh(m.T @ z)
+    tiles, docs, terms = tiled(rows.select("idx", "val"), n_terms, l)
+    m = generated(rows.sparkSession, terms, lambda b, at: np.random.default_rng([seed, b]).standard_normal((len(at), l)))
+    steps: list[np.ndarray] = []
+    # ``power_iters`` passes of X^T X (re-orthonormalised each time), then X alone for the Rayleigh-Ritz step
+    for i in range(power_iters):
+        y = multiply(tiles, times(m, steps), docs, terms)
+        m = checkpoint_partitioned(multiply(tiles, y, terms, docs, transposed=True))
+        # on the way a well-conditioned basis is enough, the last one has to be orthonormal
+        steps = orthonormal(m, l, 1e-2 if i < power_iters - 1 else 1e-11)
+    evals, u = np.linalg.eigh(gram(multiply(tiles, times(m, steps), docs, terms), l))
     order = np.argsort(evals)[::-1][:k]
-    comps = (m @ u[:, order]).T
+    steps = [*steps, u[:, order]]
     # fix the sign: largest-magnitude entry of each component positive
-    signs = np.sign(comps[np.arange(len(comps)), np.abs(comps).argmax(axis=1)])
-    comps = comps * signs[:, None]
+    steps[-1] = steps[-1] * _signs(m, terms, steps)
     sv = np.sqrt(np.clip(evals[order], 0, None))
-    return SVDModel(index, comps, sv, n_terms)
+    side = Side(n_terms, len(order), terms.blocks)
+    return SVDModel(index, checkpoint_partitioned(_repieced(times(m, steps), terms, side)), sv, n_terms, side.blocks)
+
+
+def _repieced(dense: DataFrame, old: Side, new: Side) -> DataFrame:
+    """A dense table of the same blocks with the pieces of another width."""
+
+    def task(batches):
+        block, z = None, None
+        for batch in batches:
+            for b, piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != block:
+                    if block is not None:
+                        yield new.cut(block, z)
+                    block, z = b, np.zeros((new.size(b), new.width))
+                rows = np.frombuffer(raw.as_buffer()).reshape(-1, new.width)
+                z[piece * old.step:piece * old.step + len(rows)] = rows
+        if block is not None:
+            yield new.cut(block, z)
+
+    return dense.repartition(old.blocks, "block").sortWithinPartitions("block", "piece").mapInArrow(task, DENSE)
+
+
+def given_basis(spark: SparkSession, index: DataFrame, n_terms: int, entries, k: int) -> SVDModel:
+    """A model whose basis a function of the terms' indexes gives, array of idx -> len x k."""
+    side = Side.of(n_terms, k, LEAST_TILES)
+    return SVDModel(index, checkpoint_partitioned(generated(spark, side, lambda b, at: entries(at))), np.ones(k), n_terms, side.blocks)
 
 
 def svd_project(rows: DataFrame, model: SVDModel, key: str = "doc_id",
-                keep: list[str] | tuple = ()) -> DataFrame:
+                keep: list[str] | tuple = (), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(key, *keep, svd array<double>)``: each sparse row times the basis."""
-    keep = list(keep)
+    keep, terms = list(keep), model.side
+    if 8 * terms.n * terms.width > broadcast_bytes:
+        return _project_by_blocks(rows, model, key, keep)
     sc = rows.sparkSession.sparkContext
-    basis = sc.broadcast(np.ascontiguousarray(model.components.T))
+    basis = sc.broadcast(collected(model.basis, terms))
     schema = T.StructType([rows.schema[c] for c in [key, *keep]]
                           + [T.StructField("svd", T.ArrayType(T.DoubleType(), False))])
 
@@ -203,3 +458,22 @@ def svd_project(rows: DataFrame, model: SVDModel, key: str = "doc_id",
                 yield out
 
     return rows.mapInPandas(project, schema)
+
+
+def _project_by_blocks(rows: DataFrame, model: SVDModel, key: str, keep: list[str]) -> DataFrame:
+    terms, k = model.side, model.side.width
+    found, n = numbered(rows)
+    docs = Side.of(n, k)
+    tiles = tiles_of(found, docs.blocks, terms).withColumn("p", F.struct("p", F.lit(1).alias("of")))
+    y = multiply(tiles, model.basis, docs, terms)
+
+    def each(batches):
+        for batch in batches:
+            for block, piece, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                m = np.frombuffer(z.as_buffer()).reshape(-1, k)
+                at = block + docs.blocks * (piece * docs.step + np.arange(len(m)))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(m), pa.list_(pa.float64()))], ["_at", "_svd"])
+
+    products = y.mapInArrow(each, "_at long, _svd array<double>")
+    zero = F.array_repeat(F.lit(0.0), k)  # pieces without entries are not stored
+    return found.join(products, F.col("_n") == F.col("_at"), "left").select(key, *keep, F.coalesce("_svd", zero).alias("svd"))

@@ -20,7 +20,7 @@ from ..sources.tables import table
 from . import sql_text as S
 from .catalog import MAXLEN, WORD_INDEX_CTES, register, stream_output, with_text
 from .corpus import labelled_reviews
-from .models import FIT_ROWS, SMOOTHINGS, nb_context, round6, smoothing_votes, sparse_tfidf, whole_word_index
+from .models import FIT_ROWS, SMOOTHINGS, nb_bundle, nb_context, round6, smoothing_votes, sparse_tfidf, whole_word_index
 from .sql_models import nb_ctes, with_nb
 
 # ------------------------------------- three Naive Bayes models, 2-of-3 vote
@@ -122,9 +122,9 @@ FROM r LEFT JOIN y USING (doc_id)""".replace("\n, w AS", ", w AS", 1)))
 def q_svd_project_formula(spark, sf_dir):
     """TF-IDF rows times a basis whose entries follow from the term's rank."""
     index, rows, v = sparse_tfidf(nb_context(spark, sf_dir))
-    at = np.arange(v)
-    basis = np.stack([((at * (c + 3)) % 13 - 6) / 8.0 for c in range(BASIS_SIZE)])
-    out = svd_ops.svd_project(rows, svd_ops.SVDModel(index, basis, np.ones(BASIS_SIZE), v))
+    model = svd_ops.given_basis(spark, index, v, lambda at: np.stack(
+        [((at * (c + 3)) % 13 - 6) / 8.0 for c in range(BASIS_SIZE)], axis=1), BASIS_SIZE)
+    out = svd_ops.svd_project(rows, model)
     return out.select("doc_id", *((F.round(F.col("svd")[c], 6) + F.lit(0.0)).alias(f"y{c}") for c in range(BASIS_SIZE)))
 
 
@@ -190,4 +190,4 @@ def q_gru_one_unit(spark, sf_dir):
 @register("score_stream_nb", with_nb("SELECT doc_id, pred_nb, round(prob_nb, 6) AS prob_nb FROM scored"))
 def q_score_stream_nb(spark, sf_dir) -> DataFrame:
     """The Naive Bayes columns of the scored stream."""
-    return stream_output(spark, sf_dir).select("doc_id", "pred_nb", round6("prob_nb"))
+    return stream_output(spark, sf_dir, "stream-nb", nb_bundle).select("doc_id", "pred_nb", round6("prob_nb"))

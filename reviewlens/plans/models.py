@@ -253,6 +253,13 @@ def model_bundle(spark: SparkSession, sf_dir: str):
                    sequence_context(spark, sf_dir, GRU_WORDS))
 
 
+def nb_bundle(spark: SparkSession, sf_dir: str):
+    """Naive Bayes alone, for scoring without the other fits."""
+    from ..operators.scoring import ModelBundle
+    nbc = nb_context(spark, sf_dir)
+    return ModelBundle(nbc.vocab, nbc.model)
+
+
 def fit_models(df: DataFrame, num_words: int, alpha: float = 1.0, k: int = 20,
                maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None,
                shards: int = 8):

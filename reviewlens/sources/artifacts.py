@@ -26,10 +26,7 @@ def save_model(models: ModelBundle, path: str) -> None:
     models.vocab.table.write.mode("overwrite").parquet(f"{path}/vocab")
     models.nb.table.write.mode("overwrite").parquet(f"{path}/nb")
     models.term_index.write.mode("overwrite").parquet(f"{path}/term_index")
-    comps = [(i, float(s), [float(x) for x in c]) for i, (s, c) in
-             enumerate(zip(models.svd.singular_values, models.svd.components))]
-    spark.createDataFrame(comps, "component int, singular_value double, basis array<double>") \
-        .write.mode("overwrite").parquet(f"{path}/svd")
+    models.svd.basis.write.mode("overwrite").parquet(f"{path}/svd")
     models.gbt.write().overwrite().save(f"{path}/gbt")
     models.words.table.write.mode("overwrite").parquet(f"{path}/words")
     params = [(k, list(v.shape), [float(x) for x in np.ravel(v)]) for k, v in models.gru.params.items()]
@@ -38,6 +35,7 @@ def save_model(models: ModelBundle, path: str) -> None:
     meta = {"n_docs": models.vocab.n_docs, "n_terms": models.vocab.n_terms,
             "log_prior0": models.nb.log_prior0, "log_prior1": models.nb.log_prior1,
             "alpha": models.nb.alpha, "svd_terms": models.svd.n_terms,
+            "svd_blocks": models.svd.blocks, "singular_values": [float(x) for x in models.svd.singular_values],
             "num_words": models.words.num_words, "n_words": models.words.n_words,
             "maxlen": models.gru.maxlen, "threshold": models.gru.threshold}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -50,9 +48,8 @@ def load_model(spark: SparkSession, path: str) -> ModelBundle:
     nb = NBModel(spark.read.parquet(f"{path}/nb"), meta["log_prior0"], meta["log_prior1"],
                  meta["n_terms"], meta["alpha"])
     index = spark.read.parquet(f"{path}/term_index")
-    comps = spark.read.parquet(f"{path}/svd").orderBy("component").collect()
-    svd = SVDModel(index, np.array([r["basis"] for r in comps]),
-                   np.array([r["singular_value"] for r in comps]), meta["svd_terms"])
+    svd = SVDModel(index, spark.read.parquet(f"{path}/svd"), np.array(meta["singular_values"]),
+                   meta["svd_terms"], meta["svd_blocks"])
     gbt = GBTClassificationModel.load(f"{path}/gbt")
     words = WordIndex(spark.read.parquet(f"{path}/words"), meta["num_words"], meta["n_words"])
     params = {r["name"]: np.array(r["values"]).reshape(r["shape"])

@@ -252,6 +252,49 @@ def test_svd_chunking_does_not_change_results(spark):
     np.testing.assert_allclose(by_chunk, whole, atol=1e-10)
 
 
+def test_svd_holds_blocks_whatever_the_number_of_terms(spark, monkeypatch):
+    n_terms = 400_000    # beyond what the driver used to accept
+    rng = np.random.default_rng(8)
+    at = np.sort(rng.choice(n_terms, 40, replace=False))
+    x = (rng.standard_normal((60, 40)) * 2.0 ** -np.arange(40)) * (rng.random((60, 40)) < 0.7)
+    rows = [(i, [int(at[j]) for j in np.flatnonzero(r)], [float(a) for a in r[r != 0]]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows + [(60, [], [])], "doc_id long, idx array<int>, val array<double>").repartition(5)
+    monkeypatch.setattr(SVD, "BLOCK_BYTES", 4 << 20)
+    assert SVD.index_terms(spark.createDataFrame([("a",)], "term string"), n_terms).count() == 1
+    model = SVD.fit_svd(df, None, n_terms, k=4, oversample=6)
+    np.testing.assert_allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-6)
+    comps = model.components
+    np.testing.assert_allclose(comps @ comps.T, np.eye(4), atol=1e-9)
+    assert (comps[np.arange(4), np.abs(comps).argmax(axis=1)] > 0).all()
+    want = np.vstack([x @ comps[:, at].T, np.zeros((1, 4))])
+    for most in (SVD.BROADCAST_BYTES, 0):    # broadcast, and by blocks
+        got = SVD.svd_project(df, model, broadcast_bytes=most).toPandas().sort_values("doc_id")
+        np.testing.assert_allclose(np.stack(got["svd"].to_numpy()), want, atol=1e-9)
+
+
+def test_svd_of_few_documents(spark):
+    x = np.array([[1.0, 2.0, 0, 0, 0, 0], [0, 0, 3.0, 0, 0, 0]])
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(a) for a in r[r != 0]]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, idx array<int>, val array<double>")
+    model = SVD.fit_svd(df, None, 6, k=4)
+    np.testing.assert_allclose(model.singular_values, [3, 5 ** 0.5, 0, 0], atol=1e-6)
+    none = SVD.fit_svd(df.limit(0), None, 6, k=2)
+    assert none.singular_values.tolist() == [0, 0] and not none.components.any()
+
+
+def test_naive_bayes_streams_without_the_other_models(spark):
+    from reviewlens.plans import catalog, checked, models
+    monkey = pytest.MonkeyPatch()
+    with monkey.context() as m:
+        def fails(*_):
+            raise AssertionError("no other model is needed")
+        m.setattr(models, "trees_context", fails)
+        m.setattr(models, "sequence_context", fails)
+        m.setattr(models, "_CACHE", {})
+        sf = "/root/testdata/sf0.001"
+        assert checked.q_score_stream_nb(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_gru_fit_does_not_depend_on_input_partitions(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [int(x) for x in rng.integers(1, 6, 4)], i % 2) for i in range(80)]
