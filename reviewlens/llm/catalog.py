@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.session import scratch_path
 
-from . import bpe, langid, mixing, neighbours, packed, rollup, secrets, simhash, toxicity, vafile
+from . import audit, bpe, decontamination, fim, langid, mixing, neighbours, packed, rollup, secrets, simhash, toxicity, vafile
 from .common import crc_mod, table
 
-#: Folder of the public vocabularies.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 QUALITY_TARGETS = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
 
@@ -89,6 +87,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle forms of all documents, seed 42: half of them cut, 80 % of those suffix first."""
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over all documents, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside ten-word windows of all benchmark items."""
+    return decontamination.report(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_bpe, op2_secrets, op3_embedding_neardup, op4_simhash, op5_packed_ids, op6_langid, op7_mixing, op8_toxicity, op9_token_counts, op10_topk, pipeline)}
+    op1_bpe, op2_secrets, op3_embedding_neardup, op4_simhash, op5_packed_ids, op6_langid, op7_mixing, op8_toxicity, op9_token_counts, op10_topk,
+    op11_fim, op12_filter_audit, op13_decontamination, pipeline)}
 
 _SECRETS = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
@@ -171,4 +185,72 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op2_secrets": _SECRETS, "op9_token_counts": _TOKEN_COUNTS, "op10_topk": _TOP_K}
+_FIM = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[:least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(units[greatest(c1, c2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_FILTER_AUDIT = r"""
+WITH known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM docs LEFT JOIN known USING (doc_id)),
+cells AS (SELECT part, good, toxic, fails, count(*) AS n FROM masks GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter,
+    list_transform(range(1, step), lambda i: ascii(substr(filter_order, i, 1)) - 64) AS earlier, ascii(substr(filter_order, step, 1)) - 64 AS me
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+met AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails[me] AS now, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+    len(list_filter(fails, lambda f: f)) AS failing FROM cells, steps),
+summed AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT now AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (now AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (now AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (now AND failing = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (now AND NOT gone AND good = 1), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (now AND NOT gone AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM summed
+"""
+
+_DECONTAMINATION = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM items WHERE len(w) > 0),
+placed AS (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized),
+phrases AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM placed),
+docs AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+windows AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM phrases)),
+found AS (SELECT r, k, i, item_id FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM windows) JOIN phrases USING (k, phrase)),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT r, k, i FROM found)) GROUP BY r),
+held AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op2_secrets": _SECRETS, "op9_token_counts": _TOKEN_COUNTS, "op10_topk": _TOP_K, "op11_fim": _FIM,
+                          "op12_filter_audit": _FILTER_AUDIT, "op13_decontamination": _DECONTAMINATION}
