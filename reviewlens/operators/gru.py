@@ -8,37 +8,98 @@ Cell (Cho et al., 2014):
 Padding (id 0) is masked: the state is carried unchanged over padded steps, so
 the output reads the state after the last real word.
 
-Scoring runs the forward pass per Arrow batch with the weights broadcast.
-Training is data parallel by model averaging (Zinkevich et al., 2010;
-McMahan et al., 2017): every epoch each partition starts from the broadcast
-weights, runs mini-batch Adam over its own rows and returns the weight change;
-the driver averages the changes weighted by row count. Only weight-sized arrays
-move, summed with ``treeReduce``.
+The embedding is a table (id, e) with a row for every word that training met; it
+has no bound and is never held whole by the driver or a task. A word without a
+row has its starting vector, which follows from the seed and the id alone.
+
+Rows of both training and scoring are dealt to *shards*, whose number grows with
+the rows. The distinct words of a shard are joined with the embedding table, and
+each task reads first its shard's vectors, then its sequences, so its memory
+depends on the shard and not on the vocabulary.
+
+Training is data parallel by model averaging (Zinkevich et al., 2010; McMahan et
+al., 2017): in every epoch each shard starts from the common weights and runs
+mini-batch Adam over its own rows. A word's Adam slots (both moments and its own
+step count) start when a batch first holds it and move only in batches that hold
+it. The shards' vectors are summed by word id, weighted by the rows of the shards
+that met the word; the gates' weights travel as rows with negative ids, so one
+grouped sum serves both. Only the gates' weights reach the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import checkpoint_partitioned
+from .lineage import write_table
 
 PARAM_NAMES = ["E", "Wz", "Wr", "Wh", "Uz", "Ur", "Uh", "bz", "br", "bh", "wo", "bo"]
+CORE_NAMES = PARAM_NAMES[1:]
+# Rows of a shard: fewer mean more shards and more copies of frequent words' vectors.
+ROWS_PER_SHARD = 1024
+# Rows a task holds while it draws mini-batches from them.
+SHUFFLE_ROWS = 4096
+# Largest embedding that scoring broadcasts; beyond it every shard gets its own words' vectors.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
 class GRUModel:
-    params: dict
+    """``core``: the gates' and output weights; ``rows`` (id, e): the embedding."""
+    core: dict
+    rows: DataFrame
     maxlen: int
     threshold: float = 0.5
-
-
-def init_params(num_words: int, embed: int = 32, hidden: int = 32, seed: int = 42) -> dict:
+    seed: int = 42
+    num_words: int | None = None
+    _sent: dict = field(default_factory=dict, repr=False)
+
+    @property
+    def embed(self) -> int:
+        return self.core["Wz"].shape[0]
+
+    @property
+    def params(self) -> dict:
+        """All weights in the driver's memory, for small models: tests and inspection."""
+        e = init_rows(np.arange(self.num_words), self.embed, self.seed)
+        for r in self.rows.toLocalIterator():
+            e[r["id"]] = r["e"]
+        return {"E": e, **self.core}
+
+    def small_rows(self):
+        """The embedding as a broadcast (sorted ids, vectors) if it is within ``BROADCAST_BYTES``, else None.
+        Sent once per session and model, whatever the number of batches it scores."""
+        sc = self.rows.sparkSession.sparkContext
+        if sc.applicationId not in self._sent:
+            n = self.rows.count()
+            if n * (self.embed + 1) * 8 > BROADCAST_BYTES:
+                self._sent[sc.applicationId] = None
+            else:
+                held = self.rows.orderBy("id").toArrow()
+                e = held.column("e").combine_chunks().flatten().to_numpy().reshape(n, self.embed)
+                self._sent[sc.applicationId] = sc.broadcast((held.column("id").to_numpy(), e))
+        return self._sent[sc.applicationId]
+
+
+def init_rows(ids: np.ndarray, embed: int, seed: int = 42) -> np.ndarray:
+    """Starting vectors of words, uniform in [-0.05, 0.05): a counter-based draw (splitmix64) from seed, id and
+    dimension, so any task can make any row."""
+    with np.errstate(over="ignore"):
+        at = np.asarray(ids).astype(np.uint64)[:, None] * np.uint64(embed) + np.arange(embed, dtype=np.uint64)
+        x = (at + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53) * 0.1 - 0.05
+
+
+def init_core(embed: int = 32, hidden: int = 32, seed: int = 42) -> dict:
     rng = np.random.default_rng(seed)
 
     def glorot(a, b):
@@ -49,14 +110,18 @@ def init_params(num_words: int, embed: int = 32, hidden: int = 32, seed: int = 4
         q, _ = np.linalg.qr(rng.standard_normal((n, n)))
         return q
 
-    p = {"E": rng.uniform(-0.05, 0.05, (num_words, embed))}
+    p = {}
     for g in "zrh":
         p["W" + g] = glorot(embed, hidden)
         p["U" + g] = orth(hidden)
         p["b" + g] = np.zeros(hidden)
     p["wo"] = glorot(hidden, 1)[:, 0]
     p["bo"] = np.zeros(1)
-    return p
+    return {k: p[k] for k in CORE_NAMES}
+
+
+def init_params(num_words: int, embed: int = 32, hidden: int = 32, seed: int = 42) -> dict:
+    return {"E": init_rows(np.arange(num_words), embed, seed), **init_core(embed, hidden, seed)}
 
 
 def _sig(a):
@@ -89,12 +154,13 @@ def forward(p: dict, ids: np.ndarray, keep: bool = False):
     return (prob, h, cache, ids) if keep else prob
 
 
-def loss_and_grads(p: dict, ids: np.ndarray, y: np.ndarray):
-    """Summed binary cross-entropy and its gradient (BPTT)."""
+def sparse_grads(p: dict, ids: np.ndarray, y: np.ndarray):
+    """Summed binary cross-entropy, its gradient for the core weights (BPTT), the embedding rows that the batch
+    holds and their gradient."""
     prob, h_last, cache, ids = forward(p, ids, keep=True)
     eps = 1e-12
     loss = -float(np.sum(y * np.log(prob + eps) + (1 - y) * np.log(1 - prob + eps)))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = {k: np.zeros_like(p[k]) for k in CORE_NAMES}
     dlogit = prob - y
     g["wo"] = h_last.T @ dlogit
     g["bo"] = np.array([dlogit.sum()])
@@ -118,145 +184,269 @@ def loss_and_grads(p: dict, ids: np.ndarray, y: np.ndarray):
         g["Uh"] += (r * h_prev).T @ da_h
         dxs[:, t] = da_z @ p["Wz"].T + da_r @ p["Wr"].T + da_h @ p["Wh"].T
         dh = dh_prev
-    flat_ids = ids.ravel()
-    flat_dx = dxs.reshape(len(flat_ids), -1)
-    n_words = p["E"].shape[0]
-    g["E"] = np.stack([np.bincount(flat_ids, weights=flat_dx[:, j], minlength=n_words)
-                       for j in range(flat_dx.shape[1])], axis=1)
-    return loss, g
-
+    flat = ids.ravel()
+    words = np.flatnonzero(flat)  # padding has no gradient
+    by = words[np.argsort(flat[words], kind="stable")]
+    if not len(by):
+        return loss, g, by, np.zeros((0, dxs.shape[2]))
+    starts = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
+    return loss, g, flat[by[starts]], np.add.reduceat(dxs.reshape(len(flat), -1)[by], starts, axis=0)
 
-def _pack(p: dict) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in PARAM_NAMES])
 
-
-def _unpack(flat: np.ndarray, like: dict) -> dict:
-    out, i = {}, 0
-    for k in PARAM_NAMES:
-        n = like[k].size
-        out[k] = flat[i:i + n].reshape(like[k].shape)
-        i += n
-    return out
+def loss_and_grads(p: dict, ids: np.ndarray, y: np.ndarray):
+    """``sparse_grads`` with the embedding's gradient as a whole matrix."""
+    loss, g, rows, de = sparse_grads(p, ids, y)
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][rows] = de
+    return loss, g
 
 
-class _Adam:
-    """Adam state for one task's local mini-batch steps."""
+class LazyAdam:
+    """Adam whose slots of an embedding row start with the first batch that holds it and rest in the others."""
 
-    def __init__(self, p: dict, lr: float):
+    def __init__(self, p: dict, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.lr, self.step = lr, 0
+        self.steps = np.zeros(len(p["E"]), np.int64)
+        self.lr, self.b1, self.b2, self.eps, self.step = lr, b1, b2, eps, 0
+
+    def _moved(self, name: str, at, g: np.ndarray, t):
+        m, v = self.m[name], self.v[name]
+        m[at] = self.b1 * m[at] + (1 - self.b1) * g
+        v[at] = self.b2 * v[at] + (1 - self.b2) * g * g
+        return self.lr * m[at] / (1 - self.b1 ** t) / (np.sqrt(v[at] / (1 - self.b2 ** t)) + self.eps)
 
-    def update(self, p: dict, g: dict, n: int, b1=0.9, b2=0.999, eps=1e-8):
+    def update(self, p: dict, g: dict, rows: np.ndarray, de: np.ndarray, n: int) -> None:
         self.step += 1
-        for k in p:
-            gk = g[k] / n
-            self.m[k] = b1 * self.m[k] + (1 - b1) * gk
-            self.v[k] = b2 * self.v[k] + (1 - b2) * gk * gk
-            mh = self.m[k] / (1 - b1 ** self.step)
-            vh = self.v[k] / (1 - b2 ** self.step)
-            p[k] = p[k] - self.lr * mh / (np.sqrt(vh) + eps)
-
-
-def local_epoch(p: dict, frames, maxlen: int, rng, batch: int, lr: float):
-    """Mini-batch Adam over a stream of Arrow batches (``ids``, ``y``); memory
-    is bounded by one Arrow batch. Returns new params, rows seen, summed loss."""
-    opt = _Adam(p, lr)
-    total, rows = 0.0, 0
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        x = _to_ids(pdf["ids"], maxlen)
-        y = pdf["y"].to_numpy(dtype=np.float64)
-        order = rng.permutation(len(y))
-        for s in range(0, len(order), batch):
-            sel = order[s:s + batch]
-            loss, g = loss_and_grads(p, x[sel], y[sel])
-            opt.update(p, g, len(sel))
-            total += loss
-            rows += len(sel)
-    return p, rows, total
-
-
-def _to_ids(series: pd.Series, maxlen: int) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, maxlen), dtype=np.int64)
-    return np.concatenate(series.to_numpy()).reshape(len(series), maxlen).astype(np.int64, copy=False)
+        for k in CORE_NAMES:
+            p[k] = p[k] - self._moved(k, slice(None), g[k] / n, self.step)
+        self.steps[rows] += 1
+        p["E"][rows] -= self._moved("E", rows, de / n, self.steps[rows][:, None].astype(np.float64))
+
+
+def train_rows(p: dict, opt: LazyAdam, ids: np.ndarray, y: np.ndarray, rng, batch: int) -> float:
+    """Mini-batches of the given rows in a drawn order; ``p`` moves in place. Returns the summed loss."""
+    order, total = rng.permutation(len(y)), 0.0
+    for s in range(0, len(order), batch):
+        sel = order[s:s + batch]
+        loss, g, rows, de = sparse_grads(p, ids[sel], y[sel])
+        opt.update(p, g, rows, de, len(sel))
+        total += loss
+    return total
+
+
+def _flat(core: dict, embed: int) -> np.ndarray:
+    """The core weights as rows of the embedding's width, zeros at the end."""
+    flat = np.concatenate([core[k].ravel() for k in CORE_NAMES])
+    return np.concatenate([flat, np.zeros(-len(flat) % embed)]).reshape(-1, embed)
+
+
+def _unflat(rows: np.ndarray, like: dict) -> dict:
+    flat, out, at = rows.ravel(), {}, 0
+    for k in CORE_NAMES:
+        out[k] = flat[at:at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+# Columns of what a task reads: a shard's embedding rows (kind 0) and then its sequences (kind 1).
+SHARD, KIND, ORDER, ROW, IDS = "_gru_shard", "_gru_kind", "_gru_order", "_gru_row", "_gru_ids"
+
+
+def shard_words(seqs: DataFrame) -> DataFrame:
+    """(shard, word id) of the distinct words of each shard's sequences."""
+    return seqs.select(SHARD, F.explode(F.array_distinct(F.col(IDS).cast("array<bigint>"))).alias(ORDER)).where(f"{ORDER} <> 0").distinct()
+
+
+def shard_feed(seqs: DataFrame, words: DataFrame, rows: DataFrame | None, shards: int) -> DataFrame:
+    """The vectors of each shard's words, then its sequences, one shard a partition. Words are joined by id; a
+    frequent word has at most a row for each shard."""
+    if rows is None:
+        held = words.withColumn(ROW, F.lit(None).cast("array<double>"))
+    else:
+        held = words.join(rows.select(F.col("id").alias(ORDER), F.col("e").alias(ROW)), ORDER, "left")
+    feed = held.withColumn(KIND, F.lit(0)).unionByName(seqs.withColumn(KIND, F.lit(1)), allowMissingColumns=True)
+    return feed.repartitionById(shards, F.col(SHARD)).sortWithinPartitions(SHARD, KIND, ORDER)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(shard, kind, rows) of the feed, cut where either changes."""
+    for batch in batches:
+        shard, kind = batch.column(SHARD).to_numpy(), batch.column(KIND).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]) if len(shard) else []
+        for a, b in zip(cuts, [*cuts[1:], len(shard)]):
+            yield int(shard[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+def _vectors(part: pa.RecordBatch, embed: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, given = part.column(ORDER).to_numpy(), part.column(ROW)
+    e = init_rows(ids, embed, seed)
+    known = given.is_valid().to_numpy(zero_copy_only=False)
+    e[known] = given.flatten().to_numpy().reshape(-1, embed)
+    return ids, e
+
+
+def _sequences(column: pa.Array, maxlen: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, maxlen).astype(np.int64)
+
+
+class _Held:
+    """The words of the open shard in ascending order after padding, and their vectors."""
+
+    def __init__(self, embed: int):
+        self.ids, self.rows = [np.zeros(1, np.int64)], [np.zeros((1, embed))]
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.rows.append(rows)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.ids), np.concatenate(self.rows)
+
+
+def _trainer(core: dict, embed: int, maxlen: int, batch: int, lr: float, seed: int, epoch: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held = p = opt = None
+        ids = y = None
+        seen, loss = 0, 0.0
+
+        def learn(least: int) -> None:
+            nonlocal ids, y, seen, loss
+            while len(y) and len(y) >= least:
+                local = np.searchsorted(words, ids[:SHUFFLE_ROWS])
+                loss += train_rows(p, opt, local, y[:SHUFFLE_ROWS], rng, batch)
+                seen += len(local)
+                ids, y = ids[SHUFFLE_ROWS:], y[SHUFFLE_ROWS:]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if p is None:
+                return
+            learn(1)
+            moved = np.flatnonzero(opt.steps)
+            flat = _flat(p, embed)
+            n = len(flat) + len(moved)
+            values = np.concatenate([flat, p["E"][moved]])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * embed, pa.int32()), pa.array(values.ravel()))
+            losses = np.zeros(n)
+            losses[0] = loss
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1 - np.arange(len(flat)), words[moved]]), lists,
+                                              pa.array(np.full(n, seen)), pa.array(losses)], ["id", "e", "n", "loss"])
+
+        for at, kind, part in _parts(batches):
+            if at != shard:
+                yield from close()
+                shard, held, p, seen, loss = at, _Held(embed), None, 0, 0.0
+                rng = np.random.default_rng([seed, epoch, at])
+            if kind == 0:
+                held.add(*_vectors(part, embed, seed))
+                continue
+            if p is None:
+                words, e = held.close()
+                p = {"E": e, **{k: v.copy() for k, v in core.items()}}
+                opt = LazyAdam(p, lr)
+                ids, y = np.zeros((0, maxlen), np.int64), np.zeros(0)
+            ids = np.concatenate([ids, _sequences(part.column(IDS), maxlen)])
+            y = np.concatenate([y, part.column("y").to_numpy()])
+            learn(SHUFFLE_ROWS)
+        yield from close()
+
+    return run
 
 
 def fit_gru(train: DataFrame, num_words: int, maxlen: int, label: str = "score",
             ids: str = "ids", epochs: int = 6, embed: int = 32, hidden: int = 32,
-            batch: int = 64, lr: float = 0.01, seed: int = 42, partitions: int = 8,
+            batch: int = 64, lr: float = 0.01, seed: int = 42, partitions: int | None = None,
             patience: int | None = 1, log=None) -> GRUModel:
     """Data-parallel training; stops early when the mean training loss has not
     improved for ``patience`` epochs and keeps the best epoch's weights.
 
     ``partitions``, the number of shards whose models are averaged, is part of
     the model: rows go to shards by key, so the fit does not depend on how many
-    cores or input partitions there are. Raise it with the data."""
+    cores or input partitions there are. By default it grows with the rows, one
+    for each ``ROWS_PER_SHARD``. Without a labelled row the starting weights stay."""
     spark = train.sparkSession
-    sc = spark.sparkContext
     data = train.where(F.col(label).isNotNull()).select(
-        F.col(ids).alias("ids"), F.col(label).cast("double").alias("y"), "doc_id")
-    # checkpointed once: every epoch (and every retried task) sees the same
-    # rows in the same order
-    data = checkpoint_partitioned(data.repartition(partitions, "doc_id").sortWithinPartitions("doc_id"))
-    p = init_params(num_words, embed, hidden, seed)
-    template = {k: v.copy() for k, v in p.items()}
-    best, best_loss, stale = p, float("inf"), 0
+        F.col(ids).alias(IDS), F.col(label).cast("double").alias("y"), F.xxhash64("doc_id").alias(ORDER))
+    shards = partitions or max(1, -(-data.count() // ROWS_PER_SHARD))
+    # stored once: every epoch (and every retried task) reads the same rows
+    data = write_table(data.withColumn(SHARD, F.pmod(ORDER, F.lit(shards)).cast("int")), "gru-sequences")
+    words = write_table(shard_words(data), "gru-words")
+    core = init_core(embed, hidden, seed)
+    rows: DataFrame | None = None
+    best, best_loss, stale = (core, rows), float("inf"), 0
     for epoch in range(epochs):
-        bw = sc.broadcast(_pack(p))
-
-        def run(batches, _bw=bw, _epoch=epoch):
-            import pyspark
-            ctx = pyspark.TaskContext.get()
-            pid = ctx.partitionId() if ctx else 0
-            start = _unpack(_bw.value.copy(), template)
-            rng = np.random.default_rng([seed, _epoch, pid])
-            new, rows, loss = local_epoch({k: v.copy() for k, v in start.items()}, batches,
-                                          maxlen, rng, batch, lr)
-            if rows:
-                delta = (_pack(new) - _pack(start)) * rows
-                yield pd.DataFrame({"d": [delta.tobytes()], "n": [rows], "loss": [loss]})
-
-        parts = data.mapInPandas(run, "d binary, n long, loss double")
-        acc = (parts.rdd.map(lambda r: (np.frombuffer(r.d, dtype=np.float64), r.n, r.loss))
-               .treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])))
-        bw.destroy()
-        # the loss was measured while training from the broadcast weights ``p``
-        loss = acc[2] / max(acc[1], 1)
+        run = _trainer(core, embed, maxlen, batch, lr, seed, epoch)
+        learned = shard_feed(data, words, rows, shards).mapInArrow(run, "id bigint, e array<double>, n bigint, loss double")
+        weighted = [F.sum(F.col("e")[i] * F.col("n")).alias(f"e{i}") for i in range(embed)]
+        summed = learned.groupBy("id").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), *weighted)
+        mean = F.array(*(F.col(f"e{i}") / F.col("n") for i in range(embed)))
+        after = write_table(summed.select("id", "n", "loss", mean.alias("e")), "gru-rows")
+        gates = sorted(after.where("id < 0").collect(), key=lambda r: -r["id"])
+        if not gates:
+            break
+        # the loss was measured while training from the weights before this epoch
+        loss = gates[0]["loss"] / gates[0]["n"]
         if log:
             log(f"epoch {epoch}: mean loss {loss:.4f}")
         if loss < best_loss:
-            best_loss, best, stale = loss, {k: v.copy() for k, v in p.items()}, 0
+            best_loss, best, stale = loss, (core, rows), 0
         else:
             stale += 1
             if patience is not None and stale >= patience:
-                p = best
                 break
-        p = _unpack(_pack(p) + acc[0] / max(acc[1], 1), template)
-    return GRUModel(p, maxlen)
+        # every epoch meets every word, so its table replaces the one before
+        core, rows = _unflat(np.array([r["e"] for r in gates]), core), after.where("id >= 0").select("id", "e")
+    else:
+        best = (core, rows)
+    core, rows = best
+    if rows is None:
+        rows = spark.createDataFrame([], "id bigint, e array<double>")
+    return GRUModel(core, rows, maxlen, seed=seed, num_words=num_words)
 
 
 def predict_proba(df: DataFrame, model: GRUModel, ids: str = "ids", key: str = "doc_id",
                   keep: list[str] | tuple = ()) -> DataFrame:
-    """``(key, *keep, prob_gru)`` per document."""
-    keep = list(keep)
-    sc = df.sparkSession.sparkContext
-    bw = sc.broadcast(_pack(model.params))
-    template = {k: v.copy() for k, v in model.params.items()}
-    maxlen = model.maxlen
-    schema = T.StructType([df.schema[c] for c in [key, *keep]]
-                          + [T.StructField("prob_gru", T.DoubleType())])
-
-    def score(batches):
-        p = _unpack(bw.value, template)
-        for pdf in batches:
-            out = pdf[[key, *keep]].copy()
-            out["prob_gru"] = forward(p, _to_ids(pdf[ids], maxlen)) if len(pdf) else []
-            yield out
-
-    return df.select(key, *keep, ids).mapInPandas(score, schema)
+    """``(key, *keep, prob_gru)`` per document. An embedding within ``BROADCAST_BYTES`` is broadcast; with a larger
+    one the rows are dealt to shards that get their own words' vectors. Both give the same probabilities."""
+    columns = [key, *keep]
+    schema = T.StructType([df.schema[c] for c in columns] + [T.StructField("prob_gru", T.DoubleType())])
+    core, embed, maxlen, seed = model.core, model.embed, model.maxlen, model.seed
+    sent = model.small_rows()
+    rows = df.select(*columns, F.col(ids).alias(IDS))
+
+    def scored(part: pa.RecordBatch, words: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        x = _sequences(part.column(IDS), maxlen)
+        prob = forward({"E": e, **core}, np.searchsorted(words, x)) if len(x) else np.zeros(0)
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(prob, pa.float64())], schema.names)
+
+    def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vectors = sent.value
+        for batch in batches:
+            words = np.union1d(_sequences(batch.column(IDS), maxlen), [0]).astype(np.int64)
+            e = init_rows(words, embed, seed)
+            e[0] = 0.0
+            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+            met = known[at] == words if len(known) else np.zeros(len(words), bool)
+            e[met] = vectors[at[met]]
+            yield scored(batch, words, e)
+
+    def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held = closed = None
+        for at, kind, part in _parts(batches):
+            if at != shard:
+                shard, held, closed = at, _Held(embed), None
+            if kind == 0:
+                held.add(*_vectors(part, embed, seed))
+                continue
+            closed = closed or held.close()
+            yield scored(part, *closed)
+
+    if sent is not None:
+        return rows.mapInArrow(by_batch, schema)
+    # the order of a shard's rows does not matter, only that they follow its words
+    shards = max(1, -(-rows.count() // ROWS_PER_SHARD))
+    rows = rows.withColumn(ORDER, F.xxhash64(key)).withColumn(SHARD, F.pmod(ORDER, F.lit(shards)).cast("int"))
+    return shard_feed(rows, shard_words(rows), model.rows, shards).mapInArrow(by_shard, schema)
 
 
 def score_gru(df: DataFrame, model: GRUModel, ids: str = "ids", key: str = "doc_id",

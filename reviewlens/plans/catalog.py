@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions import text as T
 from ..operators import columns, ensemble, evaluate, summary
 from ..operators import sequence as sequence_ops
 from ..operators import tfidf as tfidf_ops
-from ..operators.gru import PARAM_NAMES
+from ..operators.gru import CORE_NAMES
 from ..operators.scoring import score_reviews
 from ..session import scratch_path
 from ..sources.sinks import format_floats
@@ -21,7 +22,7 @@ from ..sources.tables import table
 from ..streaming.score_stream import review_stream, score_stream
 from . import sql_text as S
 from .corpus import reviews, with_split
-from .models import (FIT_ROWS, GRU_WORDS, all_scores, model_bundle, nb_context, once, quality_context,
+from .models import (FIT_ROWS, all_scores, model_bundle, nb_context, once, quality_context,
                      round6, scored_reviews, sequence_context, trees_context, whole_word_index)
 from .sql_models import with_nb
 
@@ -407,16 +408,18 @@ def q_encode_sequence(spark, sf_dir):
 
 @register("fit_gru")
 def q_fit_gru(spark, sf_dir):
-    m = sequence_context(spark, sf_dir, GRU_WORDS, MAXLEN).model
-    rows = [(k, list(m.params[k].shape), float((m.params[k] ** 2).sum() ** 0.5))
-            for k in PARAM_NAMES]
-    rows.append(("threshold", [], float(m.threshold)))
-    return spark.createDataFrame(rows, "param string, shape array<int>, norm double")
+    """The fitted weights: the vector of every word that training met, and a row for each row of the gates."""
+    m = sequence_context(spark, sf_dir, MAXLEN).model
+    core = [(k, i, [float(x) for x in np.atleast_1d(row)])
+            for k in CORE_NAMES for i, row in enumerate(np.atleast_1d(m.core[k]))]
+    core.append(("threshold", 0, [float(m.threshold)]))
+    return m.rows.select(F.lit("E").alias("param"), F.col("id").alias("row"), F.col("e").alias("values")).unionByName(
+        spark.createDataFrame(core, "param string, row bigint, values array<double>"))
 
 
 @register("score_gru")
 def q_score_gru(spark, sf_dir):
-    return sequence_context(spark, sf_dir, GRU_WORDS, MAXLEN).scored.select(
+    return sequence_context(spark, sf_dir, MAXLEN).scored.select(
         "doc_id", "pred_gru", "prob_gru")
 
 
@@ -495,7 +498,7 @@ def _by_method(spark, sf_dir, method):
     if method == "gbt":
         s = trees_context(spark, sf_dir).scored
     else:
-        s = sequence_context(spark, sf_dir, GRU_WORDS).scored
+        s = sequence_context(spark, sf_dir).scored
     return s.select("doc_id", f"pred_{method}")
 
 

@@ -176,11 +176,12 @@ def q_gru_one_unit(spark, sf_dir):
     """The forward pass over the whole word index with one unit and given weights."""
     index = whole_word_index(spark, sf_dir)
     ids = sequence_ops.encode_sequence(nb_context(spark, sf_dir).docs, index, maxlen=MAXLEN)
-    params = {"E": (((np.arange(index.num_words) * 7) % 11 - 5) / 10.0)[:, None]}
+    core = {}
     for g, (w, u, b) in GATES.items():
-        params |= {f"W{g}": np.array([[w]]), f"U{g}": np.array([[u]]), f"b{g}": np.array([b])}
-    params |= {"wo": np.array([OUT[0]]), "bo": np.array([OUT[1]])}
-    model = gru_ops.GRUModel({n: params[n] for n in gru_ops.PARAM_NAMES}, MAXLEN, 0.5)
+        core |= {f"W{g}": np.array([[w]]), f"U{g}": np.array([[u]]), f"b{g}": np.array([b])}
+    core |= {"wo": np.array([OUT[0]]), "bo": np.array([OUT[1]])}
+    rows = spark.range(1, index.num_words).select("id", F.array(((F.col("id") * 7) % 11 - 5) / F.lit(10.0)).alias("e"))
+    model = gru_ops.GRUModel({n: core[n] for n in gru_ops.CORE_NAMES}, rows, MAXLEN, 0.5)
     return gru_ops.score_gru(ids, model).select("doc_id", "pred_gru", round6("prob_gru"))
 
 

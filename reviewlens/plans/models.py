@@ -23,9 +23,6 @@ from .corpus import labelled_reviews, reviews, with_split
 
 _CACHE: dict = {}
 
-# Embedding rows of the registered GRU queries: a model size, named in each call.
-GRU_WORDS = 20_000
-
 
 @dataclass
 class NBContext:
@@ -189,27 +186,25 @@ class SequenceContext:
     extra: dict = field(default_factory=dict)
 
 
-def sequence_context(spark: SparkSession, sf_dir: str, num_words: int, maxlen: int = 150,
+def sequence_context(spark: SparkSession, sf_dir: str, maxlen: int = 150,
                      epochs: int = 6, seed: int = 42) -> SequenceContext:
-    key = _key(spark, sf_dir, f"seq{num_words}-{maxlen}-{epochs}-{seed}")
+    key = _key(spark, sf_dir, f"seq{maxlen}-{epochs}-{seed}")
     if key not in _CACHE:
-        _CACHE[key] = build_sequence(nb_context(spark, sf_dir).docs, num_words, maxlen, epochs, seed)
+        _CACHE[key] = build_sequence(nb_context(spark, sf_dir).docs, whole_word_index(spark, sf_dir), maxlen, epochs, seed)
     return _CACHE[key]
 
 
-def build_sequence(docs: DataFrame, num_words: int, maxlen: int = 150, epochs: int = 6,
-                   seed: int = 42, shards: int = 8) -> SequenceContext:
-    """Word index, id sequences, GRU, and the F1-best threshold on validation
-    rows. ``num_words`` is the number of rows of the GRU's embedding matrix, so
-    the caller has to choose it; words beyond it share the out-of-vocabulary row."""
+def build_sequence(docs: DataFrame, index, maxlen: int = 150, epochs: int = 6,
+                   seed: int = 42, shards: int | None = None) -> SequenceContext:
+    """Id sequences by the word index, GRU with a vector for every word of it, and
+    the F1-best threshold on validation rows."""
     from ..operators import evaluate as ev
     from ..operators import gru
     from ..operators import sequence as seq
     t0 = time.time()
     keep = ["score", "is_train"]
-    index = seq.fit_word_index(docs.where(FIT_ROWS), num_words=num_words)
     seqs = checkpoint_partitioned(seq.encode_sequence(docs, index, maxlen=maxlen, keep=keep))
-    model = gru.fit_gru(seqs.where(FIT_ROWS), num_words, maxlen, epochs=epochs, seed=seed,
+    model = gru.fit_gru(seqs.where(FIT_ROWS), index.num_words, maxlen, epochs=epochs, seed=seed,
                         partitions=shards)
     probs = checkpoint_partitioned(gru.predict_proba(seqs, model, keep=keep))
     best = ev.best_threshold(probs.where(~F.col("is_train")), "score", "prob_gru").first()
@@ -232,7 +227,7 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _CACHE[key]
     nbs = nb_context(spark, sf_dir).scored
     gbt = trees_context(spark, sf_dir).scored.select("doc_id", "pred_gbt", "prob_gbt")
-    gru = sequence_context(spark, sf_dir, GRU_WORDS).scored.select("doc_id", "pred_gru", "prob_gru")
+    gru = sequence_context(spark, sf_dir).scored.select("doc_id", "pred_gru", "prob_gru")
     df = nbs.join(gbt, "doc_id", "left").join(gru, "doc_id", "left")
     for m in ("nb", "gbt", "gru"):
         df = guard_scores(df, m)
@@ -250,7 +245,7 @@ def _bundle(nbc: NBContext, trc: TreesContext, sqc: SequenceContext):
 def model_bundle(spark: SparkSession, sf_dir: str):
     """Every fitted artifact, for scoring new review tables or streams."""
     return _bundle(nb_context(spark, sf_dir), trees_context(spark, sf_dir),
-                   sequence_context(spark, sf_dir, GRU_WORDS))
+                   sequence_context(spark, sf_dir))
 
 
 def nb_bundle(spark: SparkSession, sf_dir: str):
@@ -260,20 +255,22 @@ def nb_bundle(spark: SparkSession, sf_dir: str):
     return ModelBundle(nbc.vocab, nbc.model)
 
 
-def fit_models(df: DataFrame, num_words: int, alpha: float = 1.0, k: int = 20,
+def fit_models(df: DataFrame, num_words: int | None = None, alpha: float = 1.0, k: int = 20,
                maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None,
-               shards: int = 8):
+               shards: int | None = None):
     """Fit all three models on a review table (``doc_id``, ``text``, 0/1
     ``score``); rows with ``pmod(doc_id, 5) = 0`` validate, the rest train.
-    ``num_words`` sizes the GRU's embedding; ``max_features`` limits the TF-IDF
-    vocabulary (by default it is kept whole); ``shards`` is the number of models
-    the GRU fit averages. Rows without a label are scored
+    ``num_words`` limits the word index and ``max_features`` the TF-IDF
+    vocabulary (by default both are kept whole); ``shards`` is the number of models
+    the GRU fit averages (by default it grows with the rows). Rows without a label are scored
     but never fitted on; a label other than 0 or 1 is an error.
     Returns a ``ModelBundle`` for ``score_reviews`` / ``score_stream``."""
     docs = prepared_docs(df.select("doc_id", "text", F.col("score").cast("int").alias("score")))
     nbc = build_nb(docs, alpha, max_features)
+    from ..operators import sequence as seq
+    index = seq.fit_word_index(docs.where(FIT_ROWS), num_words=num_words)
     return _bundle(nbc, build_trees(nbc, k, seed),
-                   build_sequence(docs, num_words, maxlen, epochs, seed, shards))
+                   build_sequence(docs, index, maxlen, epochs, seed, shards))
 
 
 def quality_context(spark: SparkSession, sf_dir: str) -> NBContext:
@@ -302,7 +299,7 @@ def timings(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, float]]:
     from ..operators import svd as svd_ops
     from ..operators import trees as tree_ops
     nbc, trc = nb_context(spark, sf_dir), trees_context(spark, sf_dir)
-    sqc = sequence_context(spark, sf_dir, GRU_WORDS)
+    sqc = sequence_context(spark, sf_dir)
     plans = {
         "nb": (nbc, lambda: nb_ops.score_nb(nbc.tf_all, nbc.model)),
         "gbt": (trc, lambda: tree_ops.score_gbt(svd_ops.svd_project(trc.rows, trc.svd), trc.gbt)),

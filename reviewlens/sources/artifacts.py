@@ -29,15 +29,16 @@ def save_model(models: ModelBundle, path: str) -> None:
     models.svd.basis.write.mode("overwrite").parquet(f"{path}/svd")
     models.gbt.write().overwrite().save(f"{path}/gbt")
     models.words.table.write.mode("overwrite").parquet(f"{path}/words")
-    params = [(k, list(v.shape), [float(x) for x in np.ravel(v)]) for k, v in models.gru.params.items()]
-    spark.createDataFrame(params, "name string, shape array<int>, values array<double>") \
+    core = [(k, list(v.shape), [float(x) for x in np.ravel(v)]) for k, v in models.gru.core.items()]
+    spark.createDataFrame(core, "name string, shape array<int>, values array<double>") \
         .write.mode("overwrite").parquet(f"{path}/gru")
+    models.gru.rows.write.mode("overwrite").parquet(f"{path}/gru_rows")
     meta = {"n_docs": models.vocab.n_docs, "n_terms": models.vocab.n_terms,
             "log_prior0": models.nb.log_prior0, "log_prior1": models.nb.log_prior1,
             "alpha": models.nb.alpha, "svd_terms": models.svd.n_terms,
             "svd_blocks": models.svd.blocks, "singular_values": [float(x) for x in models.svd.singular_values],
             "num_words": models.words.num_words, "n_words": models.words.n_words,
-            "maxlen": models.gru.maxlen, "threshold": models.gru.threshold}
+            "maxlen": models.gru.maxlen, "threshold": models.gru.threshold, "gru_seed": models.gru.seed}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -52,7 +53,8 @@ def load_model(spark: SparkSession, path: str) -> ModelBundle:
                    meta["svd_terms"], meta["svd_blocks"])
     gbt = GBTClassificationModel.load(f"{path}/gbt")
     words = WordIndex(spark.read.parquet(f"{path}/words"), meta["num_words"], meta["n_words"])
-    params = {r["name"]: np.array(r["values"]).reshape(r["shape"])
-              for r in spark.read.parquet(f"{path}/gru").collect()}
-    gru = GRUModel(params, meta["maxlen"], meta["threshold"])
+    core = {r["name"]: np.array(r["values"]).reshape(r["shape"])
+            for r in spark.read.parquet(f"{path}/gru").collect()}
+    gru = GRUModel(core, spark.read.parquet(f"{path}/gru_rows"), meta["maxlen"], meta["threshold"],
+                   meta["gru_seed"], meta["num_words"])
     return ModelBundle(vocab, nb, index, svd, gbt, words, gru)
