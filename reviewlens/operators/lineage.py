@@ -1,4 +1,4 @@
-"""Size-checked broadcast and lineage cutting.
+"""Size-checked broadcast, lookups in model tables of any size, and lineage cutting.
 
 Fitted model tables are written once to the shared checkpoint folder and read
 back, so scoring never re-runs a fit, and a lost executor re-reads a file
@@ -7,33 +7,79 @@ instead of recomputing the whole lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
 
-# Largest model table shipped to every executor: rows, and bytes as the
-# optimizer estimates them (a term has no length bound, so rows alone prove
-# nothing).
+# Largest model table shipped to every executor: rows, and bytes in memory (a
+# term has no length bound, so rows alone prove nothing).
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 << 20
+# What a broadcast row takes besides its values: pointers, hash slot, null bits.
+ROW_BYTES = 64
 
+_SIZES: dict[tuple[str, int], int] = {}
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (for a stored table: its files' bytes)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as a broadcast hash table: string lengths as stored, 8 for any other value, and ``ROW_BYTES``
+    a row. One pass, remembered for the plan."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _SIZES:
+        text = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+        fixed = ROW_BYTES + 8 * (len(df.columns) - len(text))
+        _SIZES[key] = sum(x or 0 for x in df.agg((F.count(F.lit(1)) * fixed).alias("fixed"), *text).first())
+    return _SIZES[key]
 
-def bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int | None = MAX_BROADCAST_BYTES) -> DataFrame:
+
+def fits_broadcast(df: DataFrame, n_rows: int, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    return n_rows <= (max_rows or MAX_BROADCAST_ROWS) and memory_bytes(df) <= (max_bytes or MAX_BROADCAST_BYTES)
+
+
+def bounded_broadcast(small: DataFrame, n_rows: int, max_rows: int | None = None,
+                      max_bytes: int | None = None, fixed_width: bool = False) -> DataFrame:
     """Broadcast ``small`` only when its row count (known from the fit) and its
-    estimated bytes are within the bounds; otherwise leave the join to a shuffle
+    bytes in memory are within the bounds; otherwise leave the join to a shuffle
     (AQE may still pick a broadcast, or split a hot key, from real sizes).
-    ``max_bytes=None`` is for rows of fixed width, whose count is bound enough."""
-    fits = n_rows <= max_rows and (max_bytes is None or estimated_bytes(small) <= max_bytes)
+    ``fixed_width`` is for rows without strings, whose count is bound enough."""
+    fits = n_rows <= (max_rows or MAX_BROADCAST_ROWS) if fixed_width else fits_broadcast(small, n_rows, max_rows, max_bytes)
     return F.broadcast(small) if fits else small
 
 
+def lookup(left: DataFrame, table: DataFrame, on: str, n_rows: int, heat: Column, how: str = "left") -> DataFrame:
+    """``left`` joined with the model table ``table`` (unique ``on``; ``heat``: a number of its row that grows with how
+    often the key occurs in texts).
+
+    A table within the bounds is broadcast. Of a larger one the most frequent keys are: they are joined where the rows
+    are and enter no shuffle, however many rows hold them; a row without a key stays there too. The rows of the other
+    keys, none of which is frequent, are shuffled by key once. ``how``: left or inner."""
+    if fits_broadcast(table, n_rows):
+        return left.join(F.broadcast(table), on, how)
+    hot = stored_hot(table, heat)
+    flag, values = "_lookup_hot", [c for c in table.columns if c != on]
+    marked = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), on, "left")
+    here = marked.where(F.col(flag) if how == "inner" else F.col(flag) | F.col(on).isNull()).drop(flag)
+    rest = marked.where(F.col(flag).isNull() & F.col(on).isNotNull()).select(*left.columns)
+    tail = table.join(F.broadcast(hot.select(on)), on, "left_anti").select(on, *values)
+    # the hint keeps the tail from being broadcast on a misjudged size
+    return here.select(*left.columns, *values).unionByName(rest.join(tail.hint("shuffle_hash"), on, how).select(*left.columns, *values))
+
+
+def stored_hot(table: DataFrame, heat: Column) -> DataFrame:
+    """The rows of greatest ``heat``, as many as the broadcast bounds allow: those above a quantile, which one pass
+    finds; its share shrinks until both bounds hold."""
+    heated = table.withColumn("_heat", heat.cast("double"))
+    n, share = table.count(), 1.0
+    share = min(1.0, MAX_BROADCAST_ROWS / max(n, 1), MAX_BROADCAST_BYTES / max(memory_bytes(table), 1))
+    while True:
+        cut = heated.agg(F.percentile_approx("_heat", 1.0 - share, 100_000)).first()[0]
+        hot = heated.where(F.col("_heat") > F.lit(cut)).drop("_heat")
+        if fits_broadcast(hot, hot.count()):
+            return hot
+        share /= 2
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import bounded_broadcast, write_table
+from .lineage import bounded_broadcast, lookup, write_table
 from .tfidf import TfidfModel, inv_norm, tfidf
 
 
@@ -76,8 +76,7 @@ def score_nb(tf: DataFrame, model: NBModel, key: str = "doc_id",
              keep: list[str] | tuple = ()) -> DataFrame:
     """``(key, *keep, pred_nb, prob_nb)`` for every document in ``tf``."""
     keep = list(keep)
-    m = bounded_broadcast(model.table, model.n_terms)
-    j = tf.join(m, "term", "left")
+    j = lookup(tf, model.table, "term", model.n_terms, -F.col("idf"))
     w = F.col("tf") * F.col("idf")
     doc = j.groupBy(key, *keep).agg(
         F.sum(w * w).alias("s2"),

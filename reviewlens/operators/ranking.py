@@ -33,7 +33,7 @@ def global_rank(df: DataFrame, order: list[Column], k: int | None = None,
     # one row per partition: a single-partition window over at most n_parts rows
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = (tagged.join(bounded_broadcast(offsets, n_parts, max_bytes=None), "_pid")
+    ranked = (tagged.join(bounded_broadcast(offsets, n_parts, fixed_width=True), "_pid")
               .withColumn(name, F.col("_off") + F.col("_pos")))
     if k is not None:
         ranked = ranked.where(F.col(name) < k)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_light, clean_ml, nfkc_delta
+from . import boosting
 from . import gru as gru_ops
 from . import naive_bayes as nb_ops
 from . import sequence as seq_ops
 from . import svd as svd_ops
 from . import tfidf as tfidf_ops
-from . import trees as tree_ops
 from .ensemble import guard_scores, vote
 from .lineage import checkpoint_partitioned, text_partitions
 
@@ -27,7 +27,7 @@ class ModelBundle:
     nb: nb_ops.NBModel
     term_index: DataFrame | None = None
     svd: svd_ops.SVDModel | None = None
-    gbt: object | None = None
+    gbt: boosting.LeafwiseModel | None = None
     words: seq_ops.WordIndex | None = None
     gru: gru_ops.GRUModel | None = None
 
@@ -63,7 +63,7 @@ def score_prepared(prepared: DataFrame, models: ModelBundle, key: str = "doc_id"
         return guard_scores(nb, "nb")
     x = tfidf_ops.tfidf(tf.select(key, "term", "tf"), models.vocab, key, how="left")
     rows = svd_ops.sparse_rows(x, models.term_index, models.svd.n_terms, key)
-    gbt = tree_ops.score_gbt(svd_ops.svd_project(rows, models.svd, key), models.gbt, key=key)
+    gbt = boosting.score_leafwise(svd_ops.svd_project(rows, models.svd, key), models.gbt, key=key)
     seqs = seq_ops.encode_sequence(prepared.select(key, "clean_light"), models.words,
                                    maxlen=models.gru.maxlen, key=key)
     gru = gru_ops.score_gru(seqs, models.gru, key=key)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .lineage import bounded_broadcast, write_table
+from .lineage import lookup, write_table
 from .ranking import global_rank
 
 PAD_ID = 0
@@ -46,14 +46,15 @@ def encode_sequence(docs: DataFrame, index: WordIndex, text: str = "clean_light"
                     oov: str = "index") -> DataFrame:
     """``(key, *keep, ids array<int>)`` of length ``maxlen``.
 
-    Every word of the text is looked up (broadcast join with the bounded word
-    index); unknown words become ``OOV_ID`` (``oov='index'``) or are dropped
+    Every word of the text is looked up (the frequent ones where they are, see
+    ``lookup``); unknown words become ``OOV_ID`` (``oov='index'``) or are dropped
     (``oov='drop'``). Ids are gathered back in word order per document, then
     truncated / padded after the end.
     """
     keep = list(keep)
     pos = docs.select(key, *keep, F.posexplode_outer(words(text)).alias("pos", "word"))
-    j = pos.join(bounded_broadcast(index.table.select("word", "id"), index.n_words), "word", "left")
+    # the more frequent a word, the smaller its id
+    j = lookup(pos, index.table.select("word", "id"), "word", index.n_words, -F.col("id"))
     if oov == "index":
         wid = F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(OOV_ID)))
     else:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tfidf_terms
-from .lineage import bounded_broadcast, write_table
+from .lineage import lookup, write_table
 from .ranking import global_rank
 
 
@@ -61,8 +61,8 @@ def weights(tf: DataFrame, model: TfidfModel, key: str = "doc_id",
     """Unnormalised weights ``w = tf * idf`` for vocabulary terms.
 
     ``how='left'`` keeps documents without any vocabulary term (null ``w``)."""
-    vocab = bounded_broadcast(model.table.select("term", "idf"), model.n_terms)
-    return (tf.join(vocab, "term", how)
+    # the rarer a term, the greater its idf
+    return (lookup(tf, model.table.select("term", "idf"), "term", model.n_terms, -F.col("idf"), how)
             .select(key, *keep, "term", (F.col("tf") * F.col("idf")).alias("w")))
 
 

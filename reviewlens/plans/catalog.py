@@ -363,10 +363,8 @@ def q_svd_project(spark, sf_dir):
 
 @register("fit_gbt")
 def q_fit_gbt(spark, sf_dir):
-    m = trees_context(spark, sf_dir).gbt
-    rows = [(i, float(w), int(t.numNodes), int(t.depth))
-            for i, (w, t) in enumerate(zip(m.treeWeights, m.trees))]
-    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
+    """The fitted trees, a row for each node."""
+    return trees_context(spark, sf_dir).gbt.table(spark)
 
 
 @register("score_gbt")

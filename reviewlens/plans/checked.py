@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import columns, ensemble, evaluate, summary
+from ..operators import boosting, columns, ensemble, evaluate, summary
 from ..operators import gru as gru_ops
 from ..operators import sequence as sequence_ops
 from ..operators import svd as svd_ops
@@ -148,6 +148,48 @@ def q_gbt_separable(spark, sf_dir):
     return tree_ops.score_gbt(feats, model).select("doc_id", "pred_gbt", round6("prob_gbt"))
 
 
+# ------------------------------------------------ one leaf-wise tree of three leaves
+
+TREE_FEATURES = {"n_chars % 10": lambda: F.col("n_chars") % 10, "n_chars % 7": lambda: F.col("n_chars") % 7,
+                 "least(n_chars // 2000, 3)": lambda: F.least(F.floor(F.col("n_chars") / 2000), F.lit(3)), "doc_id % 6": lambda: F.col("doc_id") % 6}
+
+
+def _best_split(rows: str, leaf: str) -> str:
+    """SQL of the best (feature, cut) of each leaf of ``rows``: every cut's gain, ties to the lower feature and cut."""
+    left, right = "FILTER (WHERE v <= cut)", "FILTER (WHERE v > cut)"
+    return f"""SELECT {leaf} AS leaf, f, cut, n, gain FROM (
+  SELECT {leaf}, f, cut, count(*) AS n, count(*) {left} AS nl, count(*) {right} AS nr,
+    pow(sum(g) {left}, 2) / sum(h) {left} + pow(sum(g) {right}, 2) / sum(h) {right} - pow(sum(g), 2) / sum(h) AS gain
+  FROM {rows} JOIN cuts USING (f) GROUP BY {leaf}, f, cut)
+WHERE nl >= 20 AND nr >= 20 QUALIFY row_number() OVER (PARTITION BY {leaf} ORDER BY round(gain, 9) DESC, f, cut) = 1"""
+
+
+@register("leafwise_tree", f"""
+WITH t AS (SELECT doc_id, n_chars, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS y FROM documents WHERE lang IS NOT NULL AND doc_id % 5 <> 0),
+s AS (SELECT *, (SELECT avg(y) FROM t) AS p FROM t),
+d AS (SELECT doc_id, (p - y)::DOUBLE AS g, (p * (1 - p))::DOUBLE AS h, {', '.join(f'({e})::DOUBLE AS f{i}' for i, e in enumerate(TREE_FEATURES))} FROM s),
+u AS ({' UNION ALL '.join(f'SELECT doc_id, 0 AS leaf, g, h, {i} AS f, f{i} AS v FROM d' for i in range(len(TREE_FEATURES)))}),
+cuts AS (SELECT f, cut FROM (SELECT DISTINCT f, v AS cut FROM u) QUALIFY cut < max(cut) OVER (PARTITION BY f)),
+b0 AS ({_best_split('u', 'leaf')}),
+side AS (SELECT doc_id, CASE WHEN u.v <= b0.cut THEN 1 ELSE 2 END AS side FROM u JOIN b0 USING (f)),
+u1 AS (SELECT u.* REPLACE (side AS leaf) FROM u JOIN side USING (doc_id)),
+b1 AS ({_best_split('u1', 'leaf')}),
+b2 AS (SELECT * FROM b1 ORDER BY round(gain, 9) DESC, leaf LIMIT 1),
+last AS (SELECT doc_id, CASE WHEN u1.v <= b2.cut THEN 3 ELSE 4 END AS leaf FROM u1 JOIN b2 ON u1.leaf = b2.leaf AND u1.f = b2.f),
+place AS (SELECT d.doc_id, g, h, coalesce(last.leaf, side.side) AS leaf FROM d JOIN side USING (doc_id) LEFT JOIN last USING (doc_id)),
+inner_nodes AS (SELECT leaf AS node, f, cut, gain, n FROM b0 UNION ALL SELECT leaf, f, cut, gain, n FROM b2)
+SELECT node, f AS feature, cut AS threshold, round(gain, 6) AS gain, n AS rows, NULL::DOUBLE AS value FROM inner_nodes
+UNION ALL SELECT leaf, -1, NULL, 0.0::DOUBLE, count(*), round(-0.1::DOUBLE * sum(g) / sum(h), 6) FROM place GROUP BY leaf""")
+def q_leafwise_tree(spark, sf_dir):
+    """The first boosted tree over columns of few values, best-first to three leaves."""
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND doc_id % 5 <> 0")
+    rows = docs.select((F.col("lang") == "en").cast("int").alias("score"), F.array(*(e().cast("double") for e in TREE_FEATURES.values())).alias("x"))
+    nodes = boosting.fit_leafwise(rows, "x", trees=1, num_leaves=3).table(spark)
+    leaf = F.col("left") < 0
+    return nodes.select("node", "feature", F.when(~leaf, F.col("threshold")).alias("threshold"), round6("gain"), "rows",
+                        F.when(leaf, F.round("value", 6)).alias("value"))
+
+
 # -------------------------------------------------------- GRU of one unit
 
 GATES = {"z": (0.9, 0.3, 0.1), "r": (-0.7, 0.5, 0.2), "h": (1.3, -0.8, 0.05)}

@@ -1,7 +1,6 @@
 """Save and load a fitted model bundle as Spark-written tables.
 
-Every artifact is a parquet table (or MLlib's own format for the trees) under
-one folder, so any executor or a later job can read it; scoring broadcasts the
+Every artifact is a parquet table under one folder, so any executor or a later job can read it; scoring broadcasts the
 small ones.
 """
 
@@ -10,9 +9,9 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import SparkSession
 
+from ..operators.boosting import model_from
 from ..operators.gru import GRUModel
 from ..operators.naive_bayes import NBModel
 from ..operators.scoring import ModelBundle
@@ -22,39 +21,43 @@ from ..operators.tfidf import TfidfModel
 
 
 def save_model(models: ModelBundle, path: str) -> None:
+    """Write a bundle; of a bundle of Naive Bayes alone its tables. The meta row, which says what else is there, is
+    written last, so a folder without it holds no model yet."""
     spark = models.vocab.table.sparkSession
-    models.vocab.table.write.mode("overwrite").parquet(f"{path}/vocab")
-    models.nb.table.write.mode("overwrite").parquet(f"{path}/nb")
-    models.term_index.write.mode("overwrite").parquet(f"{path}/term_index")
-    models.svd.basis.write.mode("overwrite").parquet(f"{path}/svd")
-    models.gbt.write().overwrite().save(f"{path}/gbt")
-    models.words.table.write.mode("overwrite").parquet(f"{path}/words")
-    core = [(k, list(v.shape), [float(x) for x in np.ravel(v)]) for k, v in models.gru.core.items()]
-    spark.createDataFrame(core, "name string, shape array<int>, values array<double>") \
-        .write.mode("overwrite").parquet(f"{path}/gru")
-    models.gru.rows.write.mode("overwrite").parquet(f"{path}/gru_rows")
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    write(models.vocab.table, "vocab")
+    write(models.nb.table, "nb")
     meta = {"n_docs": models.vocab.n_docs, "n_terms": models.vocab.n_terms,
             "log_prior0": models.nb.log_prior0, "log_prior1": models.nb.log_prior1,
-            "alpha": models.nb.alpha, "svd_terms": models.svd.n_terms,
-            "svd_blocks": models.svd.blocks, "singular_values": [float(x) for x in models.svd.singular_values],
-            "num_words": models.words.num_words, "n_words": models.words.n_words,
-            "maxlen": models.gru.maxlen, "threshold": models.gru.threshold, "gru_seed": models.gru.seed}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{path}/meta")
+            "alpha": models.nb.alpha, "trees": models.gbt is not None, "gru": models.gru is not None}
+    if models.gbt is not None:
+        write(models.term_index, "term_index")
+        write(models.svd.basis, "svd")
+        write(models.gbt.table(spark), "gbt")
+        meta |= {"svd_terms": models.svd.n_terms, "svd_blocks": models.svd.blocks, "gbt_base": models.gbt.base,
+                 "singular_values": [float(x) for x in models.svd.singular_values]}
+    if models.gru is not None:
+        write(models.words.table, "words")
+        core = [(k, list(v.shape), [float(x) for x in np.ravel(v)]) for k, v in models.gru.core.items()]
+        write(spark.createDataFrame(core, "name string, shape array<int>, values array<double>"), "gru")
+        write(models.gru.rows, "gru_rows")
+        meta |= {"num_words": models.words.num_words, "n_words": models.words.n_words,
+                 "maxlen": models.gru.maxlen, "threshold": models.gru.threshold, "gru_seed": models.gru.seed}
+    write(spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1), "meta")
 
 
 def load_model(spark: SparkSession, path: str) -> ModelBundle:
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    vocab = TfidfModel(spark.read.parquet(f"{path}/vocab"), meta["n_docs"], meta["n_terms"])
-    nb = NBModel(spark.read.parquet(f"{path}/nb"), meta["log_prior0"], meta["log_prior1"],
-                 meta["n_terms"], meta["alpha"])
-    index = spark.read.parquet(f"{path}/term_index")
-    svd = SVDModel(index, spark.read.parquet(f"{path}/svd"), np.array(meta["singular_values"]),
-                   meta["svd_terms"], meta["svd_blocks"])
-    gbt = GBTClassificationModel.load(f"{path}/gbt")
-    words = WordIndex(spark.read.parquet(f"{path}/words"), meta["num_words"], meta["n_words"])
-    core = {r["name"]: np.array(r["values"]).reshape(r["shape"])
-            for r in spark.read.parquet(f"{path}/gru").collect()}
-    gru = GRUModel(core, spark.read.parquet(f"{path}/gru_rows"), meta["maxlen"], meta["threshold"],
-                   meta["gru_seed"], meta["num_words"])
-    return ModelBundle(vocab, nb, index, svd, gbt, words, gru)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    meta = json.loads(read("meta").first()["meta"])
+    vocab = TfidfModel(read("vocab"), meta["n_docs"], meta["n_terms"])
+    nb = NBModel(read("nb"), meta["log_prior0"], meta["log_prior1"], meta["n_terms"], meta["alpha"])
+    models = ModelBundle(vocab, nb)
+    if meta["trees"]:
+        models.term_index = read("term_index")
+        models.svd = SVDModel(models.term_index, read("svd"), np.array(meta["singular_values"]), meta["svd_terms"], meta["svd_blocks"])
+        models.gbt = model_from(meta["gbt_base"], read("gbt"))
+    if meta["gru"]:
+        models.words = WordIndex(read("words"), meta["num_words"], meta["n_words"])
+        core = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in read("gru").collect()}
+        models.gru = GRUModel(core, read("gru_rows"), meta["maxlen"], meta["threshold"], meta["gru_seed"], meta["num_words"])
+    return models
