@@ -56,6 +56,14 @@ class LeafwiseModel:
     base: float
     trees: list[Tree]
 
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(labels, probabilities) of rows of feature values."""
+        raw = np.full(len(x), self.base)
+        for tree in self.trees:
+            raw += tree.value[_leaves(x, tree, tree.threshold)]
+        p = _sigmoid(raw)
+        return (p > 0.5).astype(np.int32), p
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(tree, node, feature, threshold, left, right, value, gain, rows): a row for each node."""
         rows = [(i, j, int(t.feature[j]), float(t.threshold[j]), int(t.left[j]), int(t.right[j]), float(t.value[j]), float(t.gain[j]), int(t.rows[j]))
@@ -304,18 +312,13 @@ def score_leafwise(df: DataFrame, model: LeafwiseModel, features: str = "svd", k
     """``(key, *keep, pred_gbt, prob_gbt)``: positive above one half. The trees travel with the task: their size is
     that of the model, trees x leaves."""
     columns = [key, *keep]
-    base, trees = model.base, model.trees
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("pred_gbt", T.IntegerType()), T.StructField("prob_gbt", T.DoubleType())])
-    width = int(max((t.feature.max() for t in trees), default=0)) + 1
+    width = int(max((t.feature.max() for t in model.trees), default=0)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(len(columns)), width)
-            raw = np.full(len(x), base)
-            for tree in trees:
-                raw += tree.value[_leaves(x, tree, tree.threshold)]
-            p = _sigmoid(raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((p > 0.5).astype(np.int32)), pa.array(p)], schema.names)
+            label, p = model.predict(_matrix(batch.column(len(columns)), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(label), pa.array(p)], schema.names)
 
     # values beyond the last feature a tree asks for are not sent
     sent = F.slice(F.col(features).cast("array<double>"), 1, width)

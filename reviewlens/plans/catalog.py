@@ -466,20 +466,24 @@ def q_evaluate_all(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- stream
+def document_stream(spark, sf_dir):
+    """The documents table replayed as a file stream."""
+    file = "documents.parquet"
+    src = f"{sf_dir.rstrip('/')}/{file}"
+    docs = spark.read.parquet(src)
+    # a stream reads folders: the table's own one, or where the table is one file, the folder around it
+    first = docs.select("_metadata.file_name").first()
+    one_file = first is not None and first["file_name"] == file
+    return review_stream(spark, sf_dir if one_file else src, docs.schema, glob=file if one_file else None)
+
+
 def stream_output(spark, sf_dir, name="stream", bundle=model_bundle):
     """The documents table replayed as a file stream and scored per micro-batch, once per session and ``name``."""
     models = bundle(spark, sf_dir)
 
     def run():
-        file = "documents.parquet"
-        src = f"{sf_dir.rstrip('/')}/{file}"
-        docs = spark.read.parquet(src)
-        # a stream reads folders: the table's own one, or where the table is one file, the folder around it
-        first = docs.select("_metadata.file_name").first()
-        one_file = first is not None and first["file_name"] == file
-        stream = review_stream(spark, sf_dir if one_file else src, docs.schema, glob=file if one_file else None)
         out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-        score_stream(stream, models, out, ckpt).awaitTermination()
+        score_stream(document_stream(spark, sf_dir), models, out, ckpt).awaitTermination()
         return spark.read.parquet(out)
 
     return once(spark, sf_dir, name, run)

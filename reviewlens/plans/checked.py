@@ -15,12 +15,15 @@ from ..operators import gru as gru_ops
 from ..operators import sequence as sequence_ops
 from ..operators import svd as svd_ops
 from ..operators import trees as tree_ops
+from ..operators.rowwise import score_rows
 from ..operators.scoring import beside_inputs
+from ..session import scratch_path
 from ..sources.tables import table
+from ..streaming.score_stream import score_rows_stream
 from . import sql_text as S
-from .catalog import MAXLEN, WORD_INDEX_CTES, register, stream_output, with_text
+from .catalog import MAXLEN, WORD_INDEX_CTES, document_stream, register, stream_output, with_text
 from .corpus import labelled_reviews
-from .models import FIT_ROWS, SMOOTHINGS, nb_bundle, nb_context, round6, smoothing_votes, sparse_tfidf, whole_word_index
+from .models import FIT_ROWS, SMOOTHINGS, nb_bundle, nb_context, once, round6, smoothing_votes, sparse_tfidf, whole_word_index
 from .sql_models import nb_ctes, with_nb
 
 # ------------------------------------- three Naive Bayes models, 2-of-3 vote
@@ -234,3 +237,29 @@ def q_gru_one_unit(spark, sf_dir):
 def q_score_stream_nb(spark, sf_dir) -> DataFrame:
     """The Naive Bayes columns of the scored stream."""
     return stream_output(spark, sf_dir, "stream-nb", nb_bundle).select("doc_id", "pred_nb", round6("prob_nb"))
+
+
+_SHOWN = """SELECT doc_id, lang, pred_nb, round(prob_nb, 6) AS prob_nb, CASE WHEN pred_nb = 1 THEN 'Positif' ELSE 'Negatif' END AS label_nb,
+       CAST(round_even(prob_nb * 100, 0) AS INTEGER) AS percent_nb, true AS score_ok_nb FROM scored JOIN documents USING (doc_id)"""
+
+
+def _shown(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", "lang", "pred_nb", round6("prob_nb"), "label_nb", "percent_nb", "score_ok_nb")
+
+
+@register("score_rows_nb", with_nb(_SHOWN))
+def q_score_rows_nb(spark, sf_dir) -> DataFrame:
+    """Every document scored in the task that reads it, with the label's text and the per cent shown for it."""
+    return _shown(score_rows(table(spark, sf_dir, "documents"), nb_bundle(spark, sf_dir)))
+
+
+@register("stream_rows_nb", with_nb(_SHOWN))
+def q_stream_rows_nb(spark, sf_dir) -> DataFrame:
+    """The same rows from a stream of the documents' files, which keeps their columns."""
+
+    def run():
+        out, state = scratch_path(spark, "stream-rows-out"), scratch_path(spark, "stream-rows-state")
+        score_rows_stream(document_stream(spark, sf_dir), nb_bundle(spark, sf_dir), out, state).awaitTermination()
+        return spark.read.parquet(out)
+
+    return _shown(once(spark, sf_dir, "stream-rows", run))

@@ -1,6 +1,10 @@
 """Score review files as they arrive.
 
-``readStream`` over a folder of review files (parquet or CSV) ->
+``score_rows_stream``: ``readStream`` over a folder of review files (parquet or
+CSV) -> row-wise scoring (``rowwise``) -> a plain file sink: no ``foreachBatch``,
+no state, input columns kept and the text column resolved by name as in batch.
+
+``score_stream``, for models of any size: ``readStream`` ->
 ``foreachBatch`` -> the same ``score_prepared`` plan as batch scoring ->
 parquet appended under ``out_path``. ``foreachBatch`` is used because Naive
 Bayes scoring aggregates per document, which on a bare stream would need state;
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.rowwise import RowScorer, score_rows
 from ..operators.scoring import ModelBundle, prepare, score_prepared
 from ..sources.reviews import CSV_OPTIONS, mark_missing
 
@@ -49,3 +54,14 @@ def score_stream(stream: DataFrame, models: ModelBundle, out_path: str, checkpoi
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def score_rows_stream(stream: DataFrame, models: ModelBundle | RowScorer, out_path: str, checkpoint: str,
+                      text: str | None = None, available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """Every input row with its score columns, appended as parquet under ``out_path``."""
+    writer = score_rows(stream, models, text).writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
