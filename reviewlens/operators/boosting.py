@@ -3,8 +3,9 @@
 Feature values become bin numbers once, by quantiles of the training rows. A tree grows best-first: of all leaves the
 one whose best split gains most is split, until there are ``num_leaves`` leaves or no split gains anything. The best
 split of a leaf follows from its gradient histogram, sums of gradient, hessian and rows by (leaf, feature, bin): tasks
-make them from their own rows with bincounts, Spark sums them by key, and the driver, which holds at most
-``leaves x features x bins`` sums, finds the splits. Of two siblings only the smaller one is counted; the other is the
+make them from their own rows with bincounts, Spark adds them up, and the driver, which holds at most
+``leaves x features x bins`` sums, finds the splits. (The binned rows are blocks of arrays, and the sums are arrays added up in two
+levels by ``treeReduce``: a pass is one short job, and a fit has hundreds.) Of two siblings only the smaller one is counted; the other is the
 parent less its sibling.
 
 What a split of one leaf gains does not depend on the other leaves, so one pass over the rows serves every leaf that
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,8 @@ from pyspark.sql import types as T
 from .lineage import write_table
 
 MAX_BIN = 255
+#: Training rows of a task: a pass over few rows is one task without a shuffle.
+ROWS_PER_TASK = 1 << 15
 #: Trees after which the raw scores are stored anew.
 STORED = 10
 NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, rows bigint"
@@ -106,15 +110,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def quantile_cuts(rows: DataFrame, features: str, width: int, max_bin: int = MAX_BIN) -> list[np.ndarray]:
     """Upper ends of each feature's bins but the last, ascending: values of the rows, at most ``max_bin - 1``."""
-    shares = [i / max_bin for i in range(1, max_bin)]
-    value = lambda i: F.when(~F.isnan(F.col(features)[i]), F.col(features)[i])
-    found = rows.agg(*(F.percentile_approx(value(i), shares, 20 * max_bin).alias(f"q{i}") for i in range(width)),
-                     *(F.max(value(i)).alias(f"m{i}") for i in range(width))).first()
-    return [np.array(sorted({x for x in found[i] or [] if x < found[width + i]})) for i in range(width)]
+    values = rows.select(F.posexplode(features).alias("f", "v")).where("NOT isnan(v)")
+    shares = f"array({', '.join(f'{i / max_bin!r}D' for i in range(1, max_bin))})"
+    found = values.groupBy("f").agg(F.expr(f"percentile_approx(v, {shares}, {20 * max_bin})").alias("q"), F.max("v").alias("m")).collect()
+    cuts = {r["f"]: np.array(sorted({x for x in r["q"] if x < r["m"]})) for r in found}
+    return [cuts.get(i, np.zeros(0)) for i in range(width)]
+
+
+BLOCK = "bins binary, y binary, raw binary"
 
 
 def _binned(rows: DataFrame, features: str, label: str, cuts: list[np.ndarray], base: float) -> DataFrame:
-    """(bins binary, y, raw): a byte for each feature."""
+    """Blocks of rows: a byte for each row and feature, labels, raw scores."""
     width = len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +130,21 @@ def _binned(rows: DataFrame, features: str, label: str, cuts: list[np.ndarray],
             bins = np.empty(x.shape, np.uint8)
             for i, cut in enumerate(cuts):
                 bins[:, i] = np.searchsorted(cut, x[:, i], "left")  # NaN sorts last
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), batch.column(1), pa.array(np.full(len(x), base))], ["bins", "y", "raw"])
+            if len(x):
+                yield _block(bins, batch.column(1).to_numpy(), np.full(len(x), base))
+
+    return rows.select(features, F.col(label).cast("double").alias("y")).mapInArrow(run, BLOCK)
 
-    return rows.select(features, F.col(label).cast("double").alias("y")).mapInArrow(run, "bins binary, y double, raw double")
 
+def _block(bins: np.ndarray, y: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, y.astype("<f8"), raw)], ["bins", "y", "raw"])
 
-def _bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
 
+def _arrays(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["bins"], np.uint8).reshape(-1, width), np.frombuffer(row["y"], "<f8"), np.frombuffer(row["raw"], "<f8")
 
-def _raw(batch: pa.RecordBatch, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    raw = batch.column("raw").to_numpy()
+
+def _raw(bins: np.ndarray, raw: np.ndarray, trees: list[Tree]) -> np.ndarray:
     for tree in trees:
         raw = raw + tree.value[_leaves(bins, tree, tree.bin)]
     return raw
@@ -188,9 +199,12 @@ class _Grower:
         return leaves, splits, False
 
     def wanted(self, nodes: list[_Node], leaves: list[int]) -> list[int]:
-        """Leaves that could still be split: no more of them than splits are left, those that gain most."""
-        able = [at for at in leaves if nodes[at].children is None and nodes[at].gain > 0]
-        return sorted(able, key=lambda at: (-nodes[at].gain, at))[:self.num_leaves - len(leaves)]
+        """Nodes worth counting the children of: those without, below leaves to come too, that gain most, as many as
+        splits are left. The leaf that the replay stopped at is one of them."""
+        able = [at for at in range(len(nodes)) if nodes[at].children is None and nodes[at].gain > 0]
+        first = max((at for at in leaves if nodes[at].children is None), key=lambda at: (nodes[at].gain, -at))
+        best = sorted(able, key=lambda at: (-nodes[at].gain, at))[:self.num_leaves - len(leaves)]
+        return best if first in best else [*best[:-1], first]
 
     def routing(self, nodes: list[_Node]) -> Tree:
         """All nodes known so far as a tree of bins."""
@@ -215,37 +229,33 @@ class _Grower:
             value, np.array([n.gain if c else 0.0 for n, c in zip(held, links)]), np.array([int(n.total[2]) for n in held]))
 
 
-def histograms(rows: DataFrame, trees: list[Tree], routing: Tree, targets: list[int], width: int, bins: int) -> np.ndarray:
+def histograms(blocks: RDD, trees: list[Tree], routing: Tree, targets: list[int], width: int, bins: int) -> np.ndarray:
     """Sums (gradient, hessian, rows) of each target node by feature and bin, from one pass over the rows."""
     place = np.full(len(routing.left), -1)
     place[targets] = np.arange(len(targets))
     size = len(targets) * width * bins
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(rows: Iterator) -> Iterator[np.ndarray]:
         sums = np.zeros((3, size))
-        for batch in batches:
-            b = _bins_of(batch, width)
+        for b, y, raw in rows:
             target = place[_leaves(b, routing, routing.bin)]
             mine = np.flatnonzero(target >= 0)
-            if not len(mine):
-                continue
-            p = _sigmoid(_raw(batch, b, trees)[mine])
-            g, h = p - batch.column("y").to_numpy()[mine], p * (1 - p)
+            p = _sigmoid(_raw(b[mine], raw[mine], trees))
             cell = ((target[mine, None] * width + np.arange(width)) * bins + b[mine]).ravel()
-            for k, weights in enumerate((np.repeat(g, width), np.repeat(h, width), None)):
+            for k, weights in enumerate((np.repeat(p - y[mine], width), np.repeat(p * (1 - p), width), None)):
                 sums[k] += np.bincount(cell, weights, size)
-        held = np.flatnonzero(sums[2])
-        if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held), *map(pa.array, sums[:, held])], ["cell", "g", "h", "n"])
+        yield sums
+
+    whole = blocks.mapPartitions(partial).treeReduce(np.add)
+    return whole.T.reshape(len(targets), width, bins, 3)
 
-    parts = rows.select("bins", "y", "raw").mapInArrow(run, "cell bigint, g double, h double, n double")
-    whole = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((size, 3))
-    out[whole.column("cell").to_numpy()] = np.column_stack([whole.column(c).to_numpy() for c in "ghn"])
-    return out.reshape(len(targets), width, bins, 3)
 
+def _held(stored: DataFrame, tasks: int, width: int) -> RDD:
+    """Stored blocks as arrays in at most so many partitions, kept by the executors; a lost one is read again."""
+    return stored.coalesce(tasks).rdd.map(lambda row: _arrays(row, width)).persist(StorageLevel.MEMORY_AND_DISK)
 
-def _grow(rows: DataFrame, trees: list[Tree], grower: _Grower) -> Tree | None:
+
+def _grow(rows: RDD, trees: list[Tree], grower: _Grower) -> Tree | None:
     start = Tree(*(np.array([x]) for x in (0, -1, 0.0, -1, -1, 0.0, 0.0, 0)))
     nodes = [grower.node(histograms(rows, trees, start, [0], grower.width, grower.bins)[0])]
     while True:
@@ -277,35 +287,36 @@ def fit_leafwise(train: DataFrame, features: str = "svd", label: str = "score",
     base = float(np.log(share / (1 - share)))
     data = data.where(F.col("x").isNotNull())
     cuts = quantile_cuts(data, "x", seen["width"], max_bin)
-    rows = write_table(_binned(data, "x", "y", cuts, base), "boosting-rows")
+    tasks = -(-seen["n"] // ROWS_PER_TASK)
     grower = _Grower(cuts, rate, num_leaves, least_rows, least_hessian, l2)
+    stored = write_table(_binned(data, "x", "y", cuts, base), "boosting-rows")
+    rows = _held(stored, tasks, grower.width)
     done: list[Tree] = []
     pending: list[Tree] = []  # not yet in the stored raw scores
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # hundreds of like passes with few sums: nothing to re-plan
-    try:
-        for i in range(trees):
-            tree = _grow(rows, pending, grower)
-            if tree is None:
-                break
-            done.append(tree)
-            pending.append(tree)
-            if log:
-                log(f"tree {i}: {int((tree.left < 0).sum())} leaves")
-            if len(pending) == STORED:
-                rows, pending = write_table(_with_raw(rows, pending, grower.width), "boosting-rows"), []
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    for i in range(trees):
+        tree = _grow(rows, pending, grower)
+        if tree is None:
+            break
+        done.append(tree)
+        pending.append(tree)
+        if log:
+            log(f"tree {i}: {int((tree.left < 0).sum())} leaves")
+        if len(pending) == STORED:
+            stored, pending = write_table(_with_raw(stored, pending, grower.width), "boosting-rows"), []
+            rows.unpersist()
+            rows = _held(stored, tasks, grower.width)
+    rows.unpersist()
     return LeafwiseModel(base, done)
 
 
-def _with_raw(rows: DataFrame, trees: list[Tree], width: int) -> DataFrame:
+def _with_raw(stored: DataFrame, trees: list[Tree], width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = _raw(batch, _bins_of(batch, width), trees)
-            yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("y"), pa.array(raw)], ["bins", "y", "raw"])
+            for row in batch.to_pylist():
+                bins, y, raw = _arrays(row, width)
+                yield _block(bins, y, _raw(bins, raw, trees))
 
-    return rows.select("bins", "y", "raw").mapInArrow(run, "bins binary, y double, raw double")
+    return stored.mapInArrow(run, BLOCK)
 
 
 def score_leafwise(df: DataFrame, model: LeafwiseModel, features: str = "svd", key: str = "doc_id", keep: list[str] | tuple = ()) -> DataFrame:

@@ -35,6 +35,8 @@ BLOCK_BYTES = 32 << 20
 PIECE_BYTES = 1 << 20
 # Tiles (document block x term block) at least: small inputs have more than one task, too.
 LEAST_TILES = 16
+# Entries (16 bytes each) that a task of stored tiles holds about: it takes several small tiles, one after the other.
+TASK_ENTRIES = 4 << 20
 # Largest basis that is broadcast for a projection.
 BROADCAST_BYTES = 64 << 20
 
@@ -229,12 +231,19 @@ def tiled(rows: DataFrame, n_terms: int, width: int) -> tuple[DataFrame, Side, S
     """(tiles of sparse rows, stored once by tile, documents' side, terms' side) for products of ``width`` columns."""
     blocks = Side.of(rows.count(), width).blocks
     terms = Side.of(n_terms, width, math.ceil(LEAST_TILES / blocks))
-    tiles = checkpoint_partitioned(tiles_of(rows, blocks, terms).repartition(blocks * terms.blocks, "r", "c"))
+    tiles = checkpoint_partitioned(tiles_of(rows, blocks, terms).repartition(tile_tasks(rows, blocks * terms.blocks), "r", "c"))
     top = tiles.agg(F.max("p").alias("p"), F.max("most").alias("most")).first()
     parts = 1 + (top["p"] or 0)
     return tiles.withColumn("p", F.struct("p", F.lit(parts).alias("of"))), Side(blocks * parts * (1 + (top["most"] or 0)), width, blocks), terms
 
 
+def tile_tasks(rows: DataFrame, tiles: int) -> int:
+    """Tasks for so many tiles: by the entries there are, whatever the number of block pairs. A task multiplies its
+    tiles one at a time, each with the one dense block it meets."""
+    entries = rows.agg(F.sum(F.size("idx"))).first()[0] or 0
+    return max(1, min(tiles, max(LEAST_TILES, math.ceil(entries / TASK_ENTRIES))))
+
+
 def _add_products(out: np.ndarray, to: np.ndarray, at: np.ndarray, x: np.ndarray, have: np.ndarray) -> None:
     """``out[to] += x * have[at]``, entry by entry."""
     order = np.argsort(to, kind="stable")
@@ -328,8 +337,12 @@ def gram(dense: DataFrame, width: int, steps: list[np.ndarray] | tuple = ()) ->
                 total += np.frombuffer(g.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
-    # an l x l matrix from each task, added in one task
-    found = dense.mapInArrow(partial, "g binary").repartition(1).mapInArrow(added, "g binary").collect()
+    # an l x l matrix from each task, added by groups of about the root of their number, and these in one task
+    parts = dense.mapInArrow(partial, "g binary")
+    groups = math.isqrt(max(dense.rdd.getNumPartitions() - 1, 0)) + 1
+    if groups > 1:
+        parts = parts.repartition(groups).mapInArrow(added, "g binary")
+    found = parts.repartition(1).mapInArrow(added, "g binary").collect()
     return np.frombuffer(found[0].g).reshape(width, width).copy() if found else np.zeros((width, width))
 
 

@@ -23,6 +23,10 @@ from .corpus import labelled_reviews, reviews, with_split
 
 _CACHE: dict = {}
 
+# Sizes of the registered queries. ``fit_models`` has the reference's (k = 300, 100 trees) as defaults; the README says
+# what those take.
+QUERY_K, QUERY_TREES = 20, 20
+
 
 @dataclass
 class NBContext:
@@ -144,10 +148,10 @@ class TreesContext:
     extra: dict = field(default_factory=dict)
 
 
-def trees_context(spark: SparkSession, sf_dir: str, k: int = 20, seed: int = 42) -> TreesContext:
+def trees_context(spark: SparkSession, sf_dir: str, k: int = QUERY_K, seed: int = 42) -> TreesContext:
     key = _key(spark, sf_dir, f"trees{k}-{seed}")
     if key not in _CACHE:
-        _CACHE[key] = build_trees(nb_context(spark, sf_dir), k, seed)
+        _CACHE[key] = build_trees(nb_context(spark, sf_dir), k, seed, QUERY_TREES)
     return _CACHE[key]
 
 
@@ -163,7 +167,7 @@ def sparse_tfidf(ctx: NBContext) -> tuple[DataFrame, DataFrame, int]:
     return ctx.extra["sparse"]
 
 
-def build_trees(ctx: NBContext, k: int = 20, seed: int = 42, trees: int = 100) -> TreesContext:
+def build_trees(ctx: NBContext, k: int = 300, seed: int = 42, trees: int = 100) -> TreesContext:
     """SVD on the TF-IDF rows of the training documents, then leaf-wise boosted trees."""
     from ..operators import boosting
     from ..operators import svd as svd_ops
@@ -255,7 +259,7 @@ def nb_bundle(spark: SparkSession, sf_dir: str):
     return ModelBundle(nbc.vocab, nbc.model)
 
 
-def fit_models(df: DataFrame, num_words: int | None = None, alpha: float = 1.0, k: int = 20,
+def fit_models(df: DataFrame, num_words: int | None = None, alpha: float = 1.0, k: int = 300,
                maxlen: int = 150, epochs: int = 6, seed: int = 42, max_features: int | None = None,
                shards: int | None = None, trees: int = 100):
     """Fit all three models on a review table (``doc_id``, ``text``, 0/1
