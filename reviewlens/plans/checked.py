@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import boosting, columns, ensemble, evaluate, summary
+from ..operators import boosting, columns, ensemble, evaluate, naive_bayes, observed, summary
 from ..operators import gru as gru_ops
 from ..operators import sequence as sequence_ops
 from ..operators import svd as svd_ops
@@ -263,3 +263,31 @@ def q_stream_rows_nb(spark, sf_dir) -> DataFrame:
         return spark.read.parquet(out)
 
     return _shown(once(spark, sf_dir, "stream-rows", run))
+
+
+# ------------------------------------------------------ counts of the pass itself
+
+
+@register("observed_scoring", with_nb("""SELECT (SELECT count(*) FROM documents) AS rows, count_if(d.text IS NULL) AS null_text, count_if(coalesce("""
+          + S.is_blank("d.text") + """, false)) AS blank_text, count_if(d.lang IS NULL) AS null_label, count_if(d.lang <> 'en') AS bad_label,
+       CAST(sum(pred_nb) AS BIGINT) AS positive, 0::BIGINT AS failed FROM documents d JOIN scored USING (doc_id)"""))
+def q_observed_scoring(spark, sf_dir) -> DataFrame:
+    """The input report and the score counts of one scoring pass over the documents; a language that is not ``en`` plays
+    the label that is neither 0 nor 1."""
+    docs = table(spark, sf_dir, "documents").withColumn("label", F.when(F.col("lang") == "en", "1").when(F.col("lang").isNotNull(), "x"))
+    metrics = [*observed.input_counts("text", "label"), *observed.score_counts("nb")[1:]]
+    counts = observed.run_observed(score_rows(docs, nb_bundle(spark, sf_dir), "text"), "scoring", metrics).counts
+    return spark.createDataFrame([counts], "rows bigint, null_text bigint, blank_text bigint, null_label bigint, bad_label bigint, positive bigint, failed bigint")
+
+
+@register("timing_table")
+def q_timing_table(spark, sf_dir) -> DataFrame:
+    """Published and measured seconds of the three models over the documents, with the counts of the measured passes."""
+    from ..operators import boosting, svd
+    from .models import sequence_context, trees_context
+    nbc, trc, sqc = nb_context(spark, sf_dir), trees_context(spark, sf_dir), sequence_context(spark, sf_dir)
+    plans = {"Naive Bayes": ("nb", nbc, naive_bayes.score_nb(nbc.tf_all, nbc.model)),
+             "LightGBM": ("gbt", trc, boosting.score_leafwise(svd.svd_project(trc.rows, trc.svd), trc.gbt)),
+             "GRU": ("gru", sqc, gru_ops.score_gru(sqc.seqs, sqc.model))}
+    stages = {name: observed.run_observed(ensemble.guard_scores(df, m), f"inference-{m}", observed.score_counts(m)) for name, (m, _, df) in plans.items()}
+    return observed.timing_table(spark, {name: ctx.extra["fit_s"] for name, (_, ctx, _) in plans.items()}, stages)

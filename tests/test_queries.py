@@ -39,6 +39,7 @@ WITHOUT_SQL = {
     "fit_svd", "svd_project", "fit_gbt", "score_gbt", "fit_gru", "score_gru", "score_all", "vote",
     "class_distribution_vote", "top_tokens_vote", "evaluate_all", "score_stream", "class_distribution_gbt",
     "top_tokens_gbt", "class_distribution_gru", "top_tokens_gru", "score_conversations",
+    "timing_table",  # measured seconds
 }
 
 
