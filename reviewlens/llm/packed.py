@@ -16,27 +16,44 @@ themselves; a null doc_id comes first. Columns other than doc_id and text are no
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import col
 
 BLOCK_IDS = 4096
-#: Ids after which a segment is closed; a segment ends with a document.
+#: Ids after which a segment is closed; a segment ends with a slice of documents.
 SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<4sBxxxIQ")
-SHORT, REMEMBERED = 48, 400_000
-#: Marks that often end a piece.
-_STOPS = frozenset(".,;:!?")
+#: Bytes of remembered pieces and their ids after which a worker's table starts anew.
+REMEMBERED = 48 << 20
+#: Bytes of text encoded at a time: the more, the fewer pieces that are distinct in it.
+TEXT_BYTES = 8 << 20
+#: Words of letters of Latin scripts, which every version of Unicode has as letters, maybe with a space before them.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+#: Each byte's printable character in byte-level vocabularies.
+_BYTE_NAMES = {b: s for b, s in enumerate(byte_symbols()) if b != 10}
+_BLANK, _LINE, _HIDDEN, _ALPHA, _STOP = 1, 2, 4, 8, 16
+#: What each byte is to the cuts. Hidden: controls and white space, and the first bytes of characters some of which are.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b" \n"]] |= _BLANK
+_KIND[[*b"\n"]] |= _LINE
+_KIND[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3]] |= _HIDDEN
+_KIND[[*range(65, 91), *range(97, 123)]] |= _ALPHA
+_KIND[[*b".,;:!?"]] |= _STOP
 
 SEGMENTS = "part int, segment int, inside bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, payload binary"
 
@@ -86,112 +103,126 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
     return np.concatenate(out)[start - base:stop - base]
 
 
-class TextIds(dict):
-    """Text -> packed ids by the tokenizers library. Byte-level vocabularies never join anything across a space
-    that a visible character follows, so the library encodes each piece between two such spaces once."""
+class TextIds:
+    """Texts -> ids by the tokenizers library. A byte-level vocabulary splits a text by a fixed pattern before it merges
+    anything, so a text can be cut wherever the pattern ends a token: before the last white space of a run that a
+    visible character follows, before a mark after a letter, and between a line end and a letter. The cuts of a whole
+    slice are found at once; each distinct piece of it is encoded once, a word of letters by the library's merge model
+    alone, any other piece by the whole library. Pieces are remembered in a table that is bounded in bytes."""
 
     def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library, self.specials, self.by_piece = _library(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.by_piece = self._byte_level(path)
-        # a space is no cut before another space or at the end, nor before what only Python takes for white space
-        self.cut = regex.compile(r" (?=\S)")
-        self.odd = [" " + c for c in map(chr, range(0x3001)) if c.isspace()] + [chr(c) for c in range(0x1C, 0x20)]
-        #: Ids of the pieces that a space comes before, by the piece; those of an earlier time; those of other pieces.
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _byte_level(self, path: str) -> bool:
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        before = spec.get("pre_tokenizer") or {}
-        return not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self._forget()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __missing__(self, piece: str) -> bytes:
-        """Pieces too long to be remembered, and words that a mark ends: a mark starts a piece of its own."""
-        if piece[-1:] in _STOPS and piece[:-1].isalpha():
-            ids = self[piece[:-1]] + self._first(piece[-1])
-            self[piece] = ids
-            return ids
-        return self._whole([" " + piece])[0]
-
-    def _first(self, piece: str) -> bytes:
-        if (ids := self.first.get(piece)) is None:
-            ids = self._whole([piece])[0]
-            if len(piece) <= SHORT and len(self.first) < REMEMBERED // 8:
-                self.first[piece] = ids
-        return ids
-
-    def _parts(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.specials):
-            return None
-        if text[-1:] == " " or any(s in text for s in self.odd):
-            return self.cut.split(text)
-        return text.split(" ")
-
-    def _meet(self, split: list[list[str] | None]) -> None:
-        """Have the library encode all short pieces not met before."""
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        found: set[str] = set()
-        for parts in split:
-            if parts:
-                found.update(parts[1:])
-        todo: set[str] = set()
-        for piece in found.difference(self):
-            if (ids := self.old.get(piece)) is not None:
-                self[piece] = ids
-            elif piece[-1:] in _STOPS and piece[:-1].isalpha():
-                if piece[:-1] not in self and len(piece) <= SHORT:
-                    todo.add(piece[:-1])
-            elif len(piece) <= SHORT:
-                todo.add(piece)
-        ordered = [*todo]
-        for at in range(0, len(ordered), 4096):
-            some = ordered[at:at + 4096]
-            self.update(zip(some, self._whole([" " + p for p in some])))
+        return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Put pieces that are not in the table into it; their rows."""
+        simple = np.fromiter((_WORD.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        pieces, n = [pieces[i] for i in order], int(simple.sum())
+        # no word holds a line end, so one call names the bytes of all of them
+        named = b"\n".join(pieces[:n]).decode("latin-1").translate(_BYTE_NAMES).split("\n") if n else []
+        merged = [*map(self.library.model.tokenize, named)]
+        other = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces[n:]], add_special_tokens=False)]
+        width = np.fromiter(map(len, chain(merged, other)), np.int64, len(pieces))
+        ids = np.fromiter(chain((t.id for tokens in merged for t in tokens), chain.from_iterable(other)), "<u4", int(width.sum()))
+        rows = np.empty(len(pieces), np.int64)
+        rows[order] = len(self.known) + np.arange(len(pieces))
+        self.known = pa.concat_arrays([self.known, pa.array(pieces, pa.binary())])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(width) - width])
+        self.width, self.ids = np.concatenate([self.width, width]), np.concatenate([self.ids, ids])
+        return rows
+
+    def _forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.binary()), np.zeros(0, "<u4")
+        self.first = self.width = np.zeros(0, np.int64)
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """The table's row of each distinct piece."""
+        if self.known.nbytes + self.ids.nbytes + 2 * self.first.nbytes > REMEMBERED:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        rows, new = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), found.is_null()
+        rows[new.to_numpy(zero_copy_only=False)] = self._learn(pieces.filter(new).to_pylist()) if found.null_count else 0
+        return rows
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each)."""
+        strings = texts.to_pylist()
+        alone = [i for i, t in enumerate(strings) if t and (not self.by_piece or any(s in t for s in self.specials))]
+        if alone:  # special tokens are found before the pattern, and change what is at a piece's ends
+            whole = dict(zip(alone, self._whole([strings[i] for i in alone])))
+            rest, counts = self.arrays(pa.array(["" if i in whole else t for i, t in enumerate(strings)], pa.string()))
+            ends = np.cumsum(counts)
+            parts = [np.frombuffer(whole[i], "<u4") if i in whole else rest[ends[i] - counts[i]:ends[i]] for i in range(len(strings))]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        data = "".join([t or "" for t in strings]).encode()
+        sizes = np.array([0 if t is None else len(t.encode()) if not t.isascii() else len(t) for t in strings], np.int64)
+        if not data:
+            return np.zeros(0, "<u4"), np.zeros(len(strings), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        cuts = _cuts(np.frombuffer(data, np.uint8), starts)
+        offsets = pa.py_buffer(np.append(cuts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        row = self._rows(coded.dictionary)[coded.indices.to_numpy()]
+        many = self.width[row]
+        before = np.cumsum(many) - many
+        flat = self.ids[np.repeat(self.first[row] - before, many) + np.arange(int(many.sum()))]
+        at = np.append(before, len(flat))[np.searchsorted(cuts, starts)]
+        return flat, np.diff(np.append(at, len(flat)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if not self.by_piece:
-            return self._whole(texts)
-        split = [self._parts(t) for t in texts]
-        self._meet(split)
-        return [self._whole([t])[0] if parts is None else self._first(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
-                for t, parts in zip(texts, split)]
+        flat, counts = self.arrays(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [flat[e - n:e].tobytes() for n, e in zip(counts, ends)]
+
+
+def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 texts, one after the other, where the split pattern ends a token, and all texts' starts."""
+    kind = _KIND[raw]
+    before, after = kind[:-1], kind[1:]
+    cut = np.zeros(len(raw), bool)
+    # a blank before a visible character ...
+    cut[:-1] = (before & _BLANK != 0) & (after & _HIDDEN == 0)
+    # ... a mark after a letter, a letter after a line end
+    cut[1:] |= (before & _ALPHA != 0) & (after & _STOP != 0) | (before & _LINE != 0) & (after & _ALPHA != 0)
+    # what a text's last byte is followed by is another text
+    ends = starts[1:] - 1
+    cut[ends[ends >= 0]] = False
+    cut[starts[starts < len(raw)]] = True
+    return np.flatnonzero(cut)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
+def _library(path: str):
+    """(tokenizer, its special tokens, whether it is a byte-level one that cuts by its own pattern alone)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    by_piece = (not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+                and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library, [t.content for t in library.get_added_tokens_decoder().values()], by_piece
+
+
+@lru_cache(maxsize=1)
 def _ids_of(path: str) -> TextIds:
     return TextIds(path)
 
 
-def _groups(batch: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters."""
-    group, size = [], 0
-    for text in batch:
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def write_segments(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append ``end_id``, and write the segments of the format to ``path`` in ascending ``key`` order.
 
@@ -206,30 +237,33 @@ def write_segments(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
         from pyspark import TaskContext
 
         part, encoder, segment = TaskContext.get().partitionId(), _ids_of(tokenizer), 0
-        bits, end = id_bits(max(encoder.size, end_id + 1)), struct.pack("<I", end_id)
+        bits = id_bits(max(encoder.size, end_id + 1))
         docs: list[int | None] = []
-        parts_: list[bytes] = []
+        counts: list[np.ndarray] = []
+        held_ids: list[np.ndarray] = []
         held = inside = 0  # ids in the open segment, and in this part's earlier ones
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts_), "<u4")
-            columns = [[part], [segment], [inside], [docs], [[len(p) // 4 for p in parts_]], [len(ids)], [pack(ids, bits)]]
+            columns = [[part], [segment], [inside], [docs], [np.concatenate(counts)], [held], [pack(np.concatenate(held_ids), bits)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             names = ["part", "segment", "inside", "doc_ids", "doc_tokens", "n_ids", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            keys, at = batch.column(0).to_pylist(), 0
-            for texts in _groups(batch.column(1).to_pylist()):
-                for ids in encoder(texts):
-                    docs.append(keys[at])
-                    parts_.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    at += 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
-                        inside += held
-                        docs, parts_, held, segment = [], [], 0, segment + 1
+            rows = max(1, TEXT_BYTES * len(batch) // max(batch.nbytes, 1))
+            for at in range(0, len(batch), rows):
+                some = batch.slice(at, rows)
+                flat, n = encoder.arrays(some.column(1))
+                ids = np.full(len(flat) + len(n), end_id, "<u4")  # each document's ids and the end id
+                ids[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+                docs += some.column(0).to_pylist()
+                counts.append(n + 1)
+                held_ids.append(ids)
+                held += len(ids)
+                if held >= SEGMENT_IDS:
+                    yield close()
+                    inside += held
+                    docs, counts, held_ids, held, segment = [], [], [], 0, segment + 1
         if docs:
             yield close()
 
