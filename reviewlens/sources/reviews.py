@@ -12,6 +12,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_ranges import read_csv_ranges
+
 # --- Fixed values: pandas' default missing-value markers ----------------------
 NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
               "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -26,20 +28,23 @@ class UnreadableInput(ValueError):
     pass
 
 
-#: How CSV is read, by batch and by stream. ``multiLine`` keeps line breaks inside quoted cells (as
-#: pandas does) and makes a file one split: pass ``multi_line=False`` for large files without such cells.
+#: How CSV is read, by batch and by stream. Line breaks inside quoted cells are kept, as pandas does: in batch by byte
+#: ranges (``csv_ranges``), with a given schema and in streams by ``multiLine``, which makes a file one split.
 CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "multiLine": True, "mode": "FAILFAST",
                "encoding": "UTF-8"}
 
 
 def read_csv_reviews(spark: SparkSession, path: str, schema=None, glob: str | None = "*.csv",
                      multi_line: bool = True) -> DataFrame:
-    """CSV files with their columns matched by name: files are grouped by their header line, and a
-    column that a file lacks is null in its rows. A given ``schema`` is applied by position."""
+    """CSV files with their columns matched by name; a column that a file lacks is null in its rows. Large files are
+    read in ranges, also with line breaks inside quoted cells; ``multi_line=False`` is for files without any, which need
+    no pass over the quotes. A given ``schema`` is applied by position."""
     options = CSV_OPTIONS | {"multiLine": multi_line} | ({"pathGlobFilter": glob} if glob else {})
     reader = spark.read.options(**options)
     if schema is not None:
         return mark_missing(reader.schema(schema).csv(path))
+    if multi_line:
+        return mark_missing(read_csv_ranges(spark, path, CSV_OPTIONS, glob))
     groups = _files_by_header(spark, path, glob)
     if len(groups) < 2:
         return mark_missing(reader.csv(path))

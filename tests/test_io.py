@@ -214,7 +214,7 @@ def test_fit_models_on_an_uploaded_file(spark, tmp_dir):
     pd.DataFrame({"Ulasan": [t + f" {i}" for i in range(20) for t in pos + neg],
                   "Nilai": [1, 1, 1, 0, 0, 0] * 20}).to_csv(p, index=False)
     df = with_doc_id(standardize(reviews.read_reviews(spark, p)))
-    models = fit_models(df, num_words=50, k=4, maxlen=8, epochs=3)
+    models = fit_models(df, num_words=50, k=4, maxlen=8, epochs=3, trees=5)
     scored = score_reviews(df.select("doc_id", "text"), models)
     out = scored.join(df.select("doc_id", F.col("score").cast("int").alias("y")), "doc_id").toPandas()
     assert len(out) == 120
