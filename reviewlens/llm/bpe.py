@@ -35,8 +35,8 @@ from .common import col, fresh, per_text
 
 #: Symbols that the encoder takes in between two emissions.
 BLOCK = 512
-#: Pieces up to this many characters are remembered, at most so many of them in a worker.
-SHORT, REMEMBERED = 48, 300_000
+#: Pieces up to this many characters are remembered, at most so many of them in a task.
+SHORT, REMEMBERED = 48, 120_000
 #: Characters of a text that are split into pieces at a time.
 WINDOW = 1 << 16
 ID_BITS, ID_MASK, NONE = 32, (1 << 32) - 1, 1 << 90
@@ -45,9 +45,9 @@ ID_BITS, ID_MASK, NONE = 32, (1 << 32) - 1, 1 << 90
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{SPACE}]+")
 #: What str.split() cuts at although it has not the property.
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Marks that often end a piece.
 _STOPS = frozenset(".,;:!?")
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -311,11 +311,6 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> Encoder:
-    return Encoder(load(path))
-
-
 def decode_ids(model: Model, ids: bytes | None) -> str:
     decoder = Decoder(model)
     parts = [decoder.push((ids or b"")[at:at + 4 * WINDOW]) for at in range(0, len(ids or b""), 4 * WINDOW)]
@@ -326,7 +321,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids")
     """``df`` with the ids of each text as a binary column of little-endian unsigned 32-bit integers."""
 
     def task():
-        encoder = _encoder(tokenizer)
+        encoder = Encoder(load(tokenizer))
         return lambda batch: pa.array([encoder(x) for x in batch.to_pylist()], pa.binary())
 
     return df.withColumn(fresh(df, out)[0], per_text(task, "binary")(col(text)))
@@ -343,9 +338,21 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded"
 
 
 def round_trip(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, ids binary, decoded string) of every row: encoded, then decoded again from the ids alone."""
-    named = df.select(col(key).alias("doc_id"), col(text).cast("string").alias("text"))
-    return decode(encode(named, tokenizer), tokenizer).select("doc_id", "ids", "decoded")
+    """(doc_id, ids binary, decoded string) of every row: encoded, then decoded again from the ids alone. Both run in
+    one worker, so a task has one vocabulary in memory."""
+
+    def task():
+        model = load(tokenizer)
+        encoder = Encoder(model)
+
+        def apply(batch: pa.Array) -> pa.Array:
+            ids = [encoder(x) for x in batch.to_pylist()]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decode_ids(model, x) for x in ids], pa.string())], ["ids", "decoded"])
+
+        return apply
+
+    coded = df.select(col(key).alias("doc_id"), per_text(task, "struct<ids binary, decoded string>")(col(text).cast("string")).alias("c"))
+    return coded.select("doc_id", "c.ids", "c.decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:
