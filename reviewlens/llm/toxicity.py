@@ -6,8 +6,9 @@ learning rate and its weight follow; the L1 term leaves weights at exactly zero
 so the model that is broadcast holds the few features that matter.
 
 Learning is data-parallel: labelled rows (at most ``MOST_LABELLED``, those of the least key hash, a documented bound) are
-dealt to ``SHARDS`` shards; each round every shard learns from its own rows on top of the common state, and the shards'
-states are averaged. A state has ``1 << BITS`` coordinates whatever the corpus. Scoring covers all rows and whole texts.
+dealt to ``SHARDS`` shards; each round every shard learns from its own rows on top of the common state, and the
+change of a coordinate is the mean of the changes in the shards that met it: a shard without rows, or without the
+coordinate, does not pull it back. (Summing the changes instead overshoots: held-out recall on check_s fell to 0.07.) A state has ``1 << BITS`` coordinates whatever the corpus. Scoring covers all rows and whole texts.
 
 Null and empty texts have the score of the intercept alone, as any text without a weighted feature. With no labelled rows
 every score is 0. Rows without a key are scored and never learned from. Repeated rows count each. Other columns are not read.
@@ -33,7 +34,7 @@ SHARDS, ROUNDS = 8, 4
 MOST_LABELLED = 24_000
 #: FTRL parameters: learning rate, its damping, and the two penalties; how many times a toxic row counts.
 ALPHA, BETA, L1, L2, POSITIVE = 4.0, 1.0, 2.0, 1.0, 2.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Words whose features are held at a time.
 WINDOW = 1 << 16
 _TRIM = string.punctuation
@@ -41,7 +42,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """Hash of each word, remembered for up to REMEMBERED words."""
+    """Hash of each word, remembered for up to REMEMBERED words of a task."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.lower().strip(_TRIM).encode("utf-8", "surrogatepass"))
@@ -51,7 +52,6 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
 _WORD = re.compile(r"\S+")
 
 
@@ -59,16 +59,16 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _windows(text: str) -> Iterator[np.ndarray]:
+def _windows(text: str, known: WordHashes) -> Iterator[np.ndarray]:
     """Hashes of a text's words; windows of a long text overlap by two words."""
     if len(text) <= 8 * WINDOW:
         words = text.split()
         if words:
-            yield np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+            yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         return
     held: list[int] = []
     for word in _WORD.finditer(text):
-        held.append(_WORDS[word.group()])
+        held.append(known[word.group()])
         if len(held) >= WINDOW:
             yield np.array(held, np.uint64)
             held = held[-2:]
@@ -82,9 +82,9 @@ def buckets(words: np.ndarray) -> np.ndarray:
     return np.concatenate([_bucket(words), _bucket(words[:-1] * pair + words[1:]), _bucket(words[:-2] * skip + words[2:])])
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, known: WordHashes | None = None) -> np.ndarray:
     """The set of a text's buckets, sorted."""
-    found = [np.unique(buckets(w)) for w in _windows(text or "")]
+    found = [np.unique(buckets(w)) for w in _windows(text or "", WordHashes() if known is None else known)]
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
 
 
@@ -133,8 +133,9 @@ def _shard(sent):
                     shards[shard] = State(*(x.copy() for x in sent.value))
                 shards[shard].learn(np.frombuffer(found, "<i4"), label)
         for state in shards.values():
-            at = np.flatnonzero(state.n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state.z[at]), pa.array(state.n[at])], ["at", "z", "n"])
+            z, n = state.z - sent.value[0], state.n - sent.value[1]
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], ["at", "z", "n"])
 
     return run
 
@@ -142,7 +143,11 @@ def _shard(sent):
 def fit(rows: DataFrame) -> ToxicityModel | None:
     """Model of ``rows`` (h: hash of the key, y: 0 or 1, t: text), a bounded number of them."""
     spark = rows.sparkSession
-    found = per_text(lambda: lambda batch: pa.array([features(t).astype("<i4").tobytes() for t in batch.to_pylist()], pa.binary()), "binary")
+    def task():
+        known = WordHashes()
+        return lambda batch: pa.array([features(t, known).astype("<i4").tobytes() for t in batch.to_pylist()], pa.binary())
+
+    found = per_text(task, "binary")
     coded = stored(rows.select(F.pmod("h", F.lit(SHARDS)).cast("int").alias("shard"), "h", "y", found("t").alias("f")), "toxicity-rows")
     if not coded.head(1):
         return None
@@ -151,10 +156,10 @@ def fit(rows: DataFrame) -> ToxicityModel | None:
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast((state.z, state.n))
         learned = rows_.mapInArrow(_shard(sent), "at bigint, z double, n double")
-        mean = learned.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
-        state = State.empty()
-        at = mean["at"].to_numpy()
-        state.z[at], state.n[at] = mean["z"].to_numpy(), mean["n"].to_numpy()
+        added = learned.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+        at = added.column("at").to_numpy()
+        state.z[at] += added.column("z").to_numpy()
+        state.n[at] += added.column("n").to_numpy()
         sent.destroy()
     w = state.weights(np.arange(len(state.z)))
     kept = np.flatnonzero(w[:-1])
@@ -169,12 +174,12 @@ def score(df: DataFrame, model: ToxicityModel | None, text: str = "text") -> Col
 
     def task():
         at, w, intercept = sent.value
-        table = np.zeros(1 << BITS)
+        table, known = np.zeros(1 << BITS), WordHashes()
         table[at] = w
 
         def one(text: str | None) -> float:
             found = []
-            for words in _windows(text or ""):
+            for words in _windows(text or "", known):
                 b = buckets(words)
                 found.append(b[table[b] != 0])
             return float(sigmoid(intercept + table[np.unique(np.concatenate(found))].sum())) if found else float(sigmoid(intercept))
