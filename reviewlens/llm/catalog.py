@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reviewlens.session import scratch_path
 
 from . import audit, bpe, decontamination, fim, langid, mixing, neighbours, packed, rollup, secrets, simhash, toxicity, vafile
-from .common import crc_mod, table
+from .common import crc_mod, stored, table
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,21 +65,26 @@ COUNTERS = {"words-1": r"[^\x20\x09-\x0D]+", "letters-2": r"[^\x00-\x40\x5B-\x60
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents enter under two counters; toxic ones are deleted; poor ones have their second count revised to
-    that of their distinct lines; one batch is sent twice."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    kept = rollup.TokenRollup(spark, scratch_path(spark, "token-counts"))
-    count = lambda v, text: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(COUNTERS[v])).cast("bigint").alias("tokens")
-    both = F.explode(F.array(*(F.struct(F.lit(v).alias("version"), count(v, F.col("text"))) for v in COUNTERS))).alias("c")
-    entered = docs.select("doc_id", "source", "lang", both).select("doc_id", "c.version", F.lit("insert").alias("op"), "source", "lang", "c.tokens")
-    kept.apply("1-insert", entered)
-    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    gone = marked.where("toxic = 1").select("doc_id", F.explode(F.array(*map(F.lit, COUNTERS))).alias("version"))
-    kept.apply("2-delete", gone.select("doc_id", "version", F.lit("delete").alias("op"), F.lit("").alias("source"), F.lit("").alias("lang"), F.lit(0).alias("tokens")))
+    that of their distinct lines; one batch is sent twice. Rows with equal or no doc_id count each: like rows are one
+    change with their number, unlike ones differ in ``copy``. The counters are patterns, so that SQL can count too."""
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    poor = docs.join(marked.where("quality = 0").select(F.col("doc_id").alias("of")), F.col("doc_id") == F.col("of"))
-    revised = poor.select("doc_id", F.lit("letters-2").alias("version"), F.lit("revise").alias("op"), "source", "lang", count("letters-2", lines))
-    kept.apply("3-revise", revised)
-    kept.apply("2-delete", gone.select("doc_id", "version", F.lit("delete").alias("op"), F.lit("").alias("source"), F.lit("").alias("lang"), F.lit(0).alias("tokens")))
+    count = lambda v, text: F.regexp_count(text, F.lit(COUNTERS[v])).cast("bigint")
+    counted = docs.select("doc_id", "source", "lang", F.xxhash64("text", "source", "lang").alias("copy"),
+                          *(count(v, F.col("text")).alias(v) for v in COUNTERS), count("letters-2", lines).alias("distinct lines"))
+    like = stored(counted.groupBy(*counted.columns).agg(F.count("*").alias("docs")), "token-counts-rows")
+    marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    known = like.join(marked, F.col("doc_id") == F.col("of"))
+    columns = ["doc_id", "copy", "docs", "source", "lang"]
+    change = lambda rows, op, counts: rows.select(*columns, F.lit(op).alias("op"), F.explode(F.array(
+        *(F.struct(F.lit(v).alias("version"), F.col(f"`{c}`").alias("tokens")) for v, c in counts.items()))).alias("c")).select(*columns, "op", "c.version", "c.tokens")
+    kept = rollup.TokenRollup(spark, scratch_path(spark, "token-counts"))
+    gone = change(known.where("toxic = 1"), "delete", {v: v for v in COUNTERS})
+    kept.apply("1-insert", change(like, "insert", {v: v for v in COUNTERS}))
+    kept.apply("2-delete", gone)
+    kept.apply("3-revise", change(known.where("quality = 0"), "revise", {"letters-2": "distinct lines"}))
+    kept.apply("2-delete", gone)
     return kept.totals()
 
 

@@ -6,7 +6,9 @@ the success marker of this last write is the commit. A batch id that is committe
 attempt that died has left is overwritten by the next. Totals are the sum over the committed batches' totals: a few rows
 each, so reading them does not touch documents.
 
-A document counts once for each tokenizer version. An insert of one that counts already, and a delete or revision of one
+A document counts once for each tokenizer version. Rows that share a doc_id, or have none, are told apart by the
+changes' optional ``copy`` number, and a change can stand for several like rows (optional ``docs``; ``tokens`` is that of
+one): a caller with repeated ids sends both, and every row counts. An insert of one that counts already, and a delete or revision of one
 that does not, change nothing. Of several changes of one document in a batch the one with the greatest ``seq`` holds (then the
 greatest op, tokens, source, language). A revision takes the new source and language. A null id is an id like another, null sources and
 languages are groups, null tokens are 0. Hot sources are summed on the map side. Changes' other columns are not read.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "version"]
 LEDGER = "doc_id bigint, version string, source string, lang string, docs bigint, tokens bigint"
+_LEDGER = f"{LEDGER}, copy bigint"
+_ENTRY = ["doc_id", "version", "copy", "source", "lang"]
 TOTALS = "source string, lang string, version string, docs bigint, tokens bigint"
 OPS = ["insert", "delete", "revise"]
 
@@ -50,9 +54,10 @@ class TokenRollup:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def documents(self) -> DataFrame:
-        """(doc_id, version, source, lang, tokens) of what counts now."""
-        sums = self._read("ledger", LEDGER).groupBy("doc_id", "version", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where(F.col("docs") > 0).select("doc_id", "version", "source", "lang", "tokens")
+        """(doc_id, version, source, lang, tokens, docs, copy) of what counts now; tokens of all its rows."""
+        held = self._read("ledger", _LEDGER).withColumn("copy", _number("copy", 0))
+        sums = held.groupBy(*_ENTRY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.where(F.col("docs") > 0).select("doc_id", "version", "source", "lang", "tokens", "docs", "copy")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens); groups with no document left are gone."""
@@ -60,32 +65,38 @@ class TokenRollup:
         return sums.where(F.col("docs") > 0)
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (doc_id, version, op, source, lang, tokens, optional seq) as ``batch``; False if it is
-        committed already."""
+        """Apply ``changes`` (doc_id, version, op, source, lang, tokens, optional seq, copy and docs) as ``batch``;
+        False if it is committed already."""
         if self._exists(f"{self.path}/totals/{batch}/_SUCCESS"):
             return False
-        seq = F.col("seq").cast("bigint") if "seq" in changes.columns else F.lit(0).cast("bigint")
-        tokens = F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint"))
-        last = F.max(F.struct(seq.alias("seq"), F.col("op"), tokens.alias("tokens"), F.col("source"), F.col("lang"))).alias("c")
-        new = changes.where(F.col("op").isin(OPS)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("version").cast("string").alias("version")).agg(last)
-        new = new.select("doc_id", "version", F.col("c.op").alias("op"), F.col("c.source").alias("source"), F.col("c.lang").alias("lang"), F.col("c.tokens").alias("tokens"))
-        old = self.documents().select(*(F.col(c).alias(f"old_{c}") for c in ("doc_id", "version", "source", "lang", "tokens")))
+        given = lambda name, default: _number(name, default) if name in changes.columns else F.lit(default).cast("bigint")
+        docs = given("docs", 1)
+        last = F.max(F.struct(given("seq", 0).alias("seq"), F.col("op"), (docs * given("tokens", 0)).alias("tokens"), F.col("source"), F.col("lang"), docs.alias("docs"))).alias("c")
+        new = changes.where(F.col("op").isin(OPS)).groupBy(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("version").cast("string").alias("version"), given("copy", 0).alias("copy")).agg(last)
+        new = new.select("doc_id", "version", "copy", *(F.col(f"c.{c}").alias(c) for c in ("op", "source", "lang", "tokens", "docs")))
+        old = self.documents().select(*(F.col(c).alias(f"old_{c}") for c in ("doc_id", "version", "source", "lang", "tokens", "docs", "copy")))
         if self.committed():
-            both = new.join(old, F.col("doc_id").eqNullSafe(F.col("old_doc_id")) & F.col("version").eqNullSafe(F.col("old_version")), "left")
+            same = F.col("doc_id").eqNullSafe(F.col("old_doc_id")) & F.col("version").eqNullSafe(F.col("old_version")) & (F.col("copy") == F.col("old_copy"))
+            both = new.join(old, same, "left")
         else:
-            both = new.withColumns({"old_source": F.lit(None).cast("string"), "old_lang": F.lit(None).cast("string"), "old_tokens": F.lit(None).cast("bigint")})
+            none = {c: F.lit(None).cast(kind) for c, kind in (("old_source", "string"), ("old_lang", "string"), ("old_tokens", "bigint"), ("old_docs", "bigint"))}
+            both = new.withColumns(none)
         counts = F.col("old_tokens").isNotNull()
         op = F.col("op")
-        taken = _delta(-1, "old_").alias("d")
-        given = _delta(1, "").alias("d")
-        moves = F.when((op == "insert") & ~counts, F.array(given)).when((op == "delete") & counts, F.array(taken)).when((op == "revise") & counts, F.array(taken, given))
-        deltas = both.select("doc_id", "version", F.explode(moves).alias("d")).select("doc_id", "version", "d.source", "d.lang", "d.docs", "d.tokens")
-        deltas = deltas.groupBy("doc_id", "version", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        out, into = _delta(-1, "old_").alias("d"), _delta(1, "").alias("d")
+        moves = F.when((op == "insert") & ~counts, F.array(into)).when((op == "delete") & counts, F.array(out)).when((op == "revise") & counts, F.array(out, into))
+        deltas = both.select("doc_id", "version", "copy", F.explode(moves).alias("d")).select("doc_id", "version", "copy", "d.source", "d.lang", "d.docs", "d.tokens")
+        deltas = deltas.groupBy(*_ENTRY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         deltas.where((F.col("docs") != 0) | (F.col("tokens") != 0)).write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
         written = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{batch}")
         written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/totals/{batch}")
         return True
 
 
+def _number(name: str, default: int) -> Column:
+    return F.coalesce(F.col(name).cast("bigint"), F.lit(default).cast("bigint"))
+
+
 def _delta(sign: int, prefix: str) -> Column:
-    return F.struct(F.col(f"{prefix}source").alias("source"), F.col(f"{prefix}lang").alias("lang"), F.lit(sign).cast("bigint").alias("docs"), (F.lit(sign) * F.col(f"{prefix}tokens")).alias("tokens"))
+    return F.struct(F.col(f"{prefix}source").alias("source"), F.col(f"{prefix}lang").alias("lang"), *((F.lit(sign) * F.col(prefix + c)).alias(c) for c in ("docs", "tokens")))
