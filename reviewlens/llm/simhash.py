@@ -137,16 +137,36 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, key: str
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_print(text: str, shingle: int):
+    """The fingerprint of a text column."""
+    task = lambda: lambda batch: pa.array([fingerprint(x, shingle) for x in ascii_lower_bytes(batch)], pa.int64())
+    return per_text(task, "bigint")(col(text).cast("string"))
+
+
 def one_of_each(df: DataFrame, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each component: the one with the smallest doc_id. Of rows that repeat this id
-    one stays; rows without an id stay."""
-    found = stored(near_duplicates(df, shingle, distance, key, text), "simhash-found")
-    gone_id, again_id = fresh(df, "_gone", "_again")
-    per_id = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    gone = per_id.where(F.col("doc_id") != F.col("c")).select(F.col("doc_id").alias(gone_id))
-    again = per_id.where((F.col("doc_id") == F.col("c")) & (F.col("n") > 1)).select(F.col("doc_id").alias(again_id))
-    kept = df.join(gone, col(key) == F.col(gone_id), "left_anti")
-    if not again.head(1):
+    """``df`` with one row of each component of fingerprints: one of its smallest doc_id, of several such rows the one
+    with the least fingerprint, then text, then other columns. Rows without an id stay.
+
+    Unlike texts that share an id are judged each by their own fingerprint, so no text goes that nothing else stands for.
+    Only rows that repeat an id are looked at by themselves again; texts are neither stored nor shuffled, but for those."""
+    id_, fp_, other_ = fresh(df, "_id", "_fp", "_fp2")
+    prints = fingerprints(df, shingle, key, text).where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    prints = stored(prints, "simhash-rows")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
+    linked = link_components(distinct.select("fp", F.col("fp").alias("rep")), distance)
+    found = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "fp").alias("component"))
+    chosen = found.groupBy("component").agg(F.min(F.struct("id", "fp")).alias("c"))
+    chosen = stored(chosen.select(F.col("c.id").alias(id_), F.col("c.fp").alias(fp_)), "simhash-chosen")
+    per_id = prints.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    repeated = stored(per_id.where("n > 1").select(F.col("doc_id").alias(id_)), "simhash-repeated")
+    gone = per_id.where("n = 1").select(F.col("doc_id").alias(id_)).join(chosen.select(id_), id_, "left_anti")
+    same_id = col(key).cast("bigint") == col(id_)
+    kept = df.join(gone, same_id, "left_anti")
+    if not repeated.head(1):
         return kept
-    single = kept.join(again, col(key) == F.col(again_id), "left_semi").dropDuplicates([key])
-    return kept.join(again, col(key) == F.col(again_id), "left_anti").unionByName(single)
+    again = df.join(repeated, same_id, "left_semi").withColumn(other_, _row_print(text, shingle))
+    mine = again.join(chosen, same_id & (col(other_) == col(fp_)), "left_semi")
+    row = F.min(F.struct(*(col(c) for c in [text, *(c for c in df.columns if c != text)]))).alias("row")
+    least = mine.groupBy(col(key).cast("bigint").alias(id_), col(other_)).agg(row)
+    single = least.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    return kept.join(repeated, same_id, "left_anti").unionByName(single)
