@@ -31,7 +31,9 @@ def local_roots(u: np.ndarray, v: np.ndarray, roots: np.ndarray) -> np.ndarray:
 
 
 def _sums(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum("a"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    """Number and checksums of the links; sums of remainders, as those of the nodes may be too large for a number."""
+    part = lambda c: F.sum(F.pmod(F.col(c), F.lit(1 << 20)))
+    return tuple(edges.agg(F.count("*"), part("a"), part("b"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
