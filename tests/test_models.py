@@ -321,3 +321,20 @@ def test_scores_beside_inputs(spark):
     assert scoring.beside_inputs(df.limit(0), scores).count() == 0
     with pytest.raises(ValueError, match="PRED_NB"):
         scoring.beside_inputs(df.withColumnRenamed("text", "pred_nb"), scores.withColumnRenamed("pred_nb", "PRED_NB"))
+
+
+def test_svd_of_three_hundred_components_matches_numpy(spark):
+    """The default size on the small table, whose rank is below it: the rest are zeros."""
+    from reviewlens.plans import models
+    sf = "/root/testdata/sf0.001"
+    index, rows, v = models.sparse_tfidf(models.nb_context(spark, sf))
+    train = rows.where(models.FIT_ROWS)
+    found = SVD.fit_svd(train, index, v, k=300)
+    held = train.select("idx", "val").collect()
+    x = np.zeros((len(held), v))
+    for i, r in enumerate(held):
+        x[i, r.idx] = r.val
+    exact = np.zeros(300)
+    exact[:min(x.shape)] = np.linalg.svd(x, compute_uv=False)[:300]
+    np.testing.assert_allclose(found.singular_values, exact, rtol=1e-6, atol=1e-6)
+    assert SVD.tile_tasks(rows, 10 ** 9) <= SVD.LEAST_TILES + rows.count()
