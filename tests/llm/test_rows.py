@@ -44,6 +44,15 @@ def test_one_of_each_keeps_a_row_for_each_text(spark, odd):
         assert any(near(simhash.fingerprint((r.text or "").lower().encode()), f) for f in stay)
 
 
+def test_links_of_nodes_over_the_whole_range(spark):
+    """Fingerprints as nodes: sums of some of them are beyond 64 bits."""
+    from reviewlens.llm.components import components
+    big = (1 << 63) - 1
+    edges = spark.createDataFrame([(big - i, big - i - 1) for i in range(8)] + [(-big, -big + 1)], "a bigint, b bigint")
+    got = {(r.node, r.component) for r in components(edges).collect()}
+    assert got == {(big - i, big - 8) for i in range(9)} | {(-big, -big), (-big + 1, -big)}
+
+
 # ---------------------------------------------------------------- rollup
 
 def test_rows_that_share_an_id_count_each(spark, tmp_path):
