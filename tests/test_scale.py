@@ -5,13 +5,14 @@ import os
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import ROOT, SF_SMALL
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 from oracle_check import digest  # noqa: E402
-from reviewlens.operators import lineage, naive_bayes, sequence, tfidf  # noqa: E402
+from reviewlens.operators import lineage, naive_bayes, sequence, svd, tfidf  # noqa: E402
 from reviewlens.plans import catalog, checked, models  # noqa: E402, F401
 
 ROWS = [(1, 1, "good good bad of"), (1, 1, "bad day"), (1, 0, "good"), (2, 0, "a b"), (2, 0, None), (3, None, "day day day"),
@@ -101,3 +102,30 @@ def test_queries_score_beyond_the_bounds(spark, monkeypatch, name):
     df = catalog.QUERIES[name](spark, SF_SMALL)
     want = con.sql(catalog.ORACLE[name])
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(want.columns, want.fetchall())[0]
+
+
+def test_svd_sends_no_term_of_a_single_entry(spark):
+    """Such terms are dealt with where their document is: the iterate has a row for each document instead of one for each of them."""
+    rng = np.random.default_rng(4)
+    n, shared, own = 60, 5, 30
+    x = np.zeros((n, shared + n * own))
+    x[:, :shared] = rng.random((n, shared)) * (rng.random((n, shared)) < 0.8)
+    for i in range(n - 1):    # the last document has none
+        x[i, shared + i * own:shared + (i + 1) * own] = rng.random(own) / (1 + i)
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(a) for a in r[r != 0]]) for i, r in enumerate(x)] + [(None, [0], [1.0]), (3, [], [])]
+    x = np.vstack([x, np.eye(1, x.shape[1]), np.zeros((1, x.shape[1]))])
+    df = spark.createDataFrame(rows, "doc_id long, idx array<int>, val array<double>")
+    m = rng.standard_normal((x.shape[1], 3))
+    matrix = svd.Matrix.of(df, *m.shape)
+    assert matrix.gram_times(3, start=lambda terms: m[terms]).count() == shared + n - 1
+    np.testing.assert_allclose(svd.gram_times(df, m), x.T @ (x @ m), atol=1e-10)
+    model = svd.fit_svd(svd.in_parts(df, 3, "doc_id"), None, x.shape[1], k=4)
+    np.testing.assert_allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:4], rtol=1e-4)
+    basis = model.components.T
+    np.testing.assert_allclose(basis.T @ basis, np.eye(4), atol=1e-9)
+    for parts, most in ((df, 0), (svd.in_parts(df, 3, "doc_id"), 0), (df, 1 << 30)):
+        got = {r["doc_id"]: r["svd"] for r in svd.svd_project(parts, model, broadcast_bytes=most).where("doc_id <> 3 OR doc_id IS NULL").collect()}
+        assert len(got) == n
+        for i, r in enumerate(rows[:-1]):
+            if r[0] != 3:
+                np.testing.assert_allclose(got[r[0]], x[i] @ basis, atol=1e-9)
