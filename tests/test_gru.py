@@ -130,3 +130,36 @@ def test_gru_odd_input(spark, rows):
     assert G.fit_gru(blank, 60, 8, epochs=2, embed=3, hidden=3).rows.count() == 0
     named = spark.createDataFrame([("a:1", [1] * 8), (None, [2] * 8)], "key string, ids array<int>")
     assert G.predict_proba(named, none, key="key").count() == 2
+
+
+def stepwise(p, ids):
+    """The cell of the module's head, a row and a word at a time."""
+    sig = lambda a: 1.0 / (1.0 + np.exp(-a))
+    out = []
+    for row in ids:
+        h = np.zeros(len(p["Uz"]))
+        for i in row[row != 0]:
+            x = p["E"][i]
+            z, r = (sig(x @ p["W" + g] + h @ p["U" + g] + p["b" + g]) for g in "zr")
+            h = z * h + (1 - z) * np.tanh(x @ p["Wh"] + (r * h) @ p["Uh"] + p["bh"])
+        out.append(sig(h @ p["wo"] + p["bo"][0]))
+    return np.array(out)
+
+
+def test_steps_hold_words_only():
+    """Padding after the last word costs no step; padding between words and rows without a word keep their meaning."""
+    rng = np.random.default_rng(7)
+    p = G.init_params(30, embed=5, hidden=4, seed=3)
+    p["E"] *= 40
+    ids = rng.integers(1, 30, (G.BLOCK_ROWS + 9, 12))
+    ids[np.arange(12) >= rng.integers(0, 13, len(ids))[:, None]] = 0
+    assert len(G._Steps(ids).ids) == (ids != 0).sum()
+    ids[3], ids[5] = 0, [4, 0, 0, 7, 2, 0, 9, 0, 0, 0, 0, 0]
+    np.testing.assert_allclose(G.forward(p, ids), stepwise(p, ids), atol=1e-12)
+    np.testing.assert_allclose(G.forward(p, ids[5:6]), G.forward(p, np.array([[4, 7, 2, 9]])), atol=1e-12)
+    y = rng.integers(0, 2, len(ids)).astype(float)
+    whole, each = G.loss_and_grads(p, ids, y), [G.loss_and_grads(p, ids[i:i + 1], y[i:i + 1]) for i in range(len(ids))]
+    assert abs(whole[0] - sum(loss for loss, _ in each)) < 1e-9
+    for name in G.PARAM_NAMES:
+        np.testing.assert_allclose(whole[1][name], sum(g[name] for _, g in each), atol=1e-10)
+    assert G.forward(p, ids[:0]).shape == (0,)

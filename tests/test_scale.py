@@ -129,3 +129,36 @@ def test_svd_sends_no_term_of_a_single_entry(spark):
         for i, r in enumerate(rows[:-1]):
             if r[0] != 3:
                 np.testing.assert_allclose(got[r[0]], x[i] @ basis, atol=1e-9)
+
+
+def test_text_models_fit_no_naive_bayes(spark, monkeypatch, tmp_path):
+    """The GRU's queries and the trees on the label read the prepared texts alone."""
+    rows = [(i, f"{'good' if i % 2 else 'bad'} day {i % 5}", "en" if i % 2 else "fr" if i % 4 else None, "web", 9) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(models, "_CACHE", {})
+    monkeypatch.setattr(models, "build_nb", None)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("gru_one_unit", "gbt_separable", "fit_word_index", "encode_sequence"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalog.ORACLE[name])
+        assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(want.columns, want.fetchall())[0]
+    for name in ("fit_gru", "score_gru", "class_distribution_gru", "top_tokens_gru"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count()
+
+
+def test_a_gram_matrix_runs_its_shuffles_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch.select(["z"])
+
+    z = np.arange(6.0)
+    rows = spark.createDataFrame([(i, bytearray((z + i).tobytes())) for i in range(8)], "i long, z binary").mapInArrow(
+        lambda batches: ((runs.add(b.num_rows), b)[1] for b in batches), "i long, z binary").repartition(3, "i").mapInArrow(task, "z binary")
+    runs.value = 0
+    m = np.stack([z + i for i in range(8)])
+    np.testing.assert_allclose(svd.gram(rows, 6, n_parts=3), m.T @ m)
+    assert runs.value == 16
