@@ -162,3 +162,46 @@ def test_a_gram_matrix_runs_its_shuffles_once(spark):
     m = np.stack([z + i for i in range(8)])
     np.testing.assert_allclose(svd.gram(rows, 6, n_parts=3), m.T @ m)
     assert runs.value == 16
+
+
+def test_sums_of_a_lookup_read_the_rows_once(spark, monkeypatch):
+    left = spark.range(9000).select("id", (F.col("id") % 5).alias("tf"), F.when(F.col("id") % 3 == 0, F.lit("the")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(
+        F.concat(F.lit("w"), (F.col("id") % 2999).cast("string"))).alias("word"), F.when(F.col("id") % 7 != 0, F.col("id") % 50).alias("doc"))
+    # rows that come twice, and a group whose words the table does not have
+    left = left.unionByName(left.where("id < 200")).unionByName(spark.sql("SELECT 1L AS id, 2L AS tf, 'none' AS word, 77L AS doc"))
+    table = left.where("word is not null").groupBy("word").agg(F.count("*").cast("double").alias("n")).where("word not in ('w7', 'none')")
+    table = lineage.write_table(table, "lookup-sums-test")
+    sums = {"s": F.col("tf") * F.col("n"), "q": F.col("tf") * F.col("tf") * F.col("n")}
+    want = left.join(table, "word", "left").groupBy("doc").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()
+    assert (77, None, None) in {tuple(r) for r in want}
+    for most in (50, 100_000):
+        monkeypatch.setattr(lineage, "MAX_BROADCAST_ROWS", most)
+        got = lineage.lookup_sums(left, table, "word", table.count(), F.col("n"), ["doc"], ["tf"], sums)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+        kept = lineage.checkpoint_partitioned(left.repartition(4, "doc"))
+        plan = plan_of(lineage.lookup_sums(kept, table, "word", table.count(), F.col("n"), ["doc"], ["tf"], sums))
+        assert plan.count("Scan ExistingRDD") == 1
+
+
+def test_models_of_one_pass_score_as_each_alone(docs, monkeypatch):
+    monkeypatch.setattr(lineage, "MAX_BROADCAST_ROWS", 2)
+    tf = tfidf.stored_frequencies(docs.repartition(4, "doc_id"), keep=["score"])
+    train = tf.where("score is not null and doc_id is not null")
+    vocab, counts = tfidf.fit_tfidf(train, 6), {0: 3, 1: 3}
+    table, fitted = naive_bayes.fit_nb_each(train, vocab, counts, {"a": 0.1, "b": 1.0})
+    both = naive_bayes.score_nb_each(tf, table, fitted, keep=["score"])
+    near = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+    for name, alpha in {"a": 0.1, "b": 1.0}.items():
+        alone = naive_bayes.score_nb(tf, naive_bayes.fit_nb(train, vocab, counts, alpha=alpha), keep=["score"])
+        assert near(both.select("doc_id", "score", f"pred_{name}", f"prob_{name}").collect()) == near(alone.collect())
+
+
+
+def test_cleaning_skips_no_url_and_no_mention(spark):
+    from reviewlens.functions import text as T
+    texts = ["HTTP://A.b c", "WWW.x.y z", "wwW. k", "a@b_C d", "#tag e", "://f", "http:/ g", "www h", "İ@I j", "@http://q w", "#www.k l", "", None, "plain Text"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = T.text_lower("t")
+    want_ml, want_light = T.letters_only(T.strip_mentions(T.strip_urls(low))), T.letters_only(T.strip_urls(low))
+    for r in df.select(T.clean_ml("t").alias("a"), want_ml.alias("b"), T.clean_light("t").alias("c"), want_light.alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
