@@ -197,6 +197,17 @@ def test_models_of_one_pass_score_as_each_alone(docs, monkeypatch):
 
 
 
+def test_batches_of_a_stream_store_their_counts(spark, monkeypatch):
+    """Scores of Naive Bayes alone come from stored counts, which no branch makes anew."""
+    from reviewlens.operators import scoring
+    rows = spark.createDataFrame([(i, f"good w{i} the") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(models, "_CACHE", {})
+    monkeypatch.setattr(lineage, "MAX_BROADCAST_ROWS", 1_000)
+    plan = plan_of(scoring.score_prepared(scoring.prepare(rows), models.nb_bundle(spark, SF_SMALL)))
+    assert plan.count("Scan ExistingRDD") == 1 and "regexp_replace" not in plan
+
+
+
 def test_cleaning_skips_no_url_and_no_mention(spark):
     from reviewlens.functions import text as T
     texts = ["HTTP://A.b c", "WWW.x.y z", "wwW. k", "a@b_C d", "#tag e", "://f", "http:/ g", "www h", "İ@I j", "@http://q w", "#www.k l", "", None, "plain Text"]
