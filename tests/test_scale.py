@@ -196,6 +196,16 @@ def test_models_of_one_pass_score_as_each_alone(docs, monkeypatch):
         assert near(both.select("doc_id", "score", f"pred_{name}", f"prob_{name}").collect()) == near(alone.collect())
 
 
+def test_votes_read_the_term_counts_once(spark, monkeypatch):
+    """The three smoothings are scored by one pass over the stored counts."""
+    monkeypatch.setattr(models, "_CACHE", {})
+    passes, one = [], naive_bayes.lookup_sums
+    monkeypatch.setattr(naive_bayes, "lookup_sums", lambda *a: passes.append(a[5]) or one(*a))
+    models.nb_context(spark, SF_SMALL)
+    before = len(passes)
+    models.smoothing_votes(spark, SF_SMALL)
+    assert len(passes) - before == 1
+
 
 def test_batches_of_a_stream_store_their_counts(spark, monkeypatch):
     """Scores of Naive Bayes alone come from stored counts, which no branch makes anew."""
@@ -207,6 +217,12 @@ def test_batches_of_a_stream_store_their_counts(spark, monkeypatch):
     assert plan.count("Scan ExistingRDD") == 1 and "regexp_replace" not in plan
 
 
+def test_inputs_beside_scores_are_not_sorted(spark):
+    from reviewlens.operators.scoring import beside_inputs
+    rows = spark.range(100).selectExpr("id AS doc_id", "repeat('x', 10) AS text")
+    plan = plan_of(beside_inputs(rows, rows.selectExpr("doc_id", "1 AS pred")))
+    assert "Sort" not in plan and "ShuffledHashJoin" in plan
+
 
 def test_cleaning_skips_no_url_and_no_mention(spark):
     from reviewlens.functions import text as T
