@@ -78,6 +78,20 @@ def test_sparse_fit_equals_the_dense_fit(rows, shards):
         np.testing.assert_allclose(got, want[name], atol=1e-9, err_msg=name)
 
 
+def test_a_task_gets_a_vector_once_for_all_its_shards(rows, monkeypatch):
+    fed, feed = [], G.shard_feed
+    monkeypatch.setattr(G, "shard_feed", lambda *a: fed.append(a) or feed(*a))
+    monkeypatch.setattr(G, "BUCKET_BYTES", 500)
+    model = G.fit_gru(rows, 60, 8, epochs=2, embed=5, hidden=4, batch=16, partitions=40, seed=7)
+    _, words, _, shards, tasks = fed[1]
+    assert tasks < shards == 40
+    got = [(r[G.TASK], x) for r in words.collect() for x in np.frombuffer(r[G.WORDS], np.int64)]
+    assert len(got) == len(set(got)) and {x for _, x in got} == {x for r in rows.collect() for x in r["ids"]} - {0}
+    want = dense_fit(rows, 40, 60, 8, 2, 5, 4, 16, 0.01, 7)
+    for name, have in model.params.items():
+        np.testing.assert_allclose(have[name == "E":], want[name][name == "E":], atol=1e-9, err_msg=name)
+
+
 def test_only_words_of_the_rows_get_a_vector(rows):
     model = G.fit_gru(rows, 10 ** 9, 8, epochs=1, embed=3, hidden=3)
     met = {x for r in rows.collect() for x in r["ids"]} - {0}
