@@ -131,6 +131,41 @@ def test_svd_sends_no_term_of_a_single_entry(spark):
                 np.testing.assert_allclose(got[r[0]], x[i] @ basis, atol=1e-9)
 
 
+@pytest.mark.parametrize("keep", [["score"], []])
+def test_sparse_rows_of_a_part_look_its_terms_up_there(spark, docs, keep):
+    """The rows by parts are those of the join; a part's terms are looked up once, its documents move as they are stored."""
+    packed = tfidf.packed_frequencies(docs.repartition(4, "doc_id"), keep=["score"])
+    tf = tfidf.spread(packed, keep=["score"])
+    vocab = tfidf.fit_tfidf(tf.where("doc_id <> 5"), 6)
+    index = svd.index_terms(vocab.table, vocab.n_terms)
+    want = svd.sparse_rows(tfidf.tfidf(tf, vocab, keep=["score"], how="left"), index, vocab.n_terms, keep=keep)
+    shown = lambda df: sorted(str((r["doc_id"], *(r[c] for c in keep), r["idx"], [round(x, 12) for x in r["val"]])) for r in df.collect())
+    for stored in (True, False):
+        got = svd.sparse_parts(packed, vocab, index, 3, keep=keep, stored=stored)
+        assert (svd.PART in got.columns) == stored and shown(got) == shown(want)
+    none = svd.sparse_parts(packed.limit(0), vocab, index, 3, keep=keep)
+    assert none.count() == 0
+
+
+def test_a_large_iterate_travels_in_arrays_and_single_precision(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((50, 40)) * (rng.random((50, 40)) < 0.4)
+    df = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(a) for a in r[r != 0]]) for i, r in enumerate(x)],
+                               "doc_id long, idx array<int>, val array<double>")
+    parts = svd.in_parts(df, 3, "doc_id")
+    alone = svd.fit_svd(parts, None, 40, k=4).singular_values
+    monkeypatch.setattr(svd, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(svd, "BUCKET_BYTES", 1000)
+    kinds, sent = [], svd.Iterate.messages
+    monkeypatch.setattr(svd.Iterate, "messages", lambda it: kinds.append((it.kind, it.packed.count(), sent(it).count())) or sent(it))
+    found = svd.fit_svd(parts, None, 40, k=4)
+    np.testing.assert_allclose(found.singular_values, alone, rtol=1e-9)
+    np.testing.assert_allclose(found.components @ found.components.T, np.eye(4), atol=1e-9)
+    # the result comes from the last pass, in double; a message holds a part's rows of a bucket of terms
+    assert [k for k, _, _ in kinds] == [svd.SINGLE] * 4 + [svd.DOUBLE]
+    assert all(n <= 10 and m <= 3 * n for _, n, m in kinds)
+
+
 def test_text_models_fit_no_naive_bayes(spark, monkeypatch, tmp_path):
     """The GRU's queries and the trees on the label read the prepared texts alone."""
     rows = [(i, f"{'good' if i % 2 else 'bad'} day {i % 5}", "en" if i % 2 else "fr" if i % 4 else None, "web", 9) for i in range(40)]
