@@ -267,3 +267,18 @@ def test_cleaning_skips_no_url_and_no_mention(spark):
     want_ml, want_light = T.letters_only(T.strip_mentions(T.strip_urls(low))), T.letters_only(T.strip_urls(low))
     for r in df.select(T.clean_ml("t").alias("a"), want_ml.alias("b"), T.clean_light("t").alias("c"), want_light.alias("d")).collect():
         assert (r.a, r.c) == (r.b, r.d)
+
+
+def test_evaluate_counts_every_labelled_row(spark, monkeypatch, tmp_path):
+    """Both folds, the held-out one by itself; only rows without a label stay out."""
+    rows = [(i, f"{'good' if i % 2 else 'bad'} day {i % 7}", "en" if i % 2 else "fr" if i % 4 else None, "web", 9) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(models, "_CACHE", {})
+    df = catalog.QUERIES["evaluate"](spark, str(tmp_path))
+    got = {r["fold"]: r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in df.collect()}
+    labelled = [r[0] for r in rows if r[2] is not None]
+    assert got == {"validation": sum(i % 5 == 0 for i in labelled), "train": sum(i % 5 > 0 for i in labelled)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(catalog.ORACLE["evaluate"])
+    assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(want.columns, want.fetchall())[0]
