@@ -282,3 +282,26 @@ def test_evaluate_counts_every_labelled_row(spark, monkeypatch, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.sql(catalog.ORACLE["evaluate"])
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(want.columns, want.fetchall())[0]
+
+
+def test_sequences_are_stored_before_they_are_scored(spark, monkeypatch):
+    """The shards of a large embedding read a document's words three times, which are looked up once."""
+    from types import SimpleNamespace as Of
+
+    from reviewlens.operators import scoring
+    docs = spark.createDataFrame([(1, "good day", "a good day"), (2, "bad", "a bad one"), (3, "", "")], "doc_id long, clean string, clean_light string")
+    for module, name in ((scoring.nb_ops, "score_nb"), (scoring.svd_ops, "sparse_parts"), (scoring.svd_ops, "svd_project"), (scoring.boosting, "score_leafwise")):
+        monkeypatch.setattr(module, name, lambda *a, **k: None)
+    met = []
+
+    def scored(seqs, *a, **k):
+        met.append(seqs)
+        raise LookupError
+
+    monkeypatch.setattr(scoring.gru_ops, "score_gru", scored)
+    models = scoring.ModelBundle(None, None, None, Of(side=svd.Side(4, 2, 1)), Of(), sequence.fit_word_index(docs), Of(maxlen=4))
+    with pytest.raises(LookupError):
+        scoring.score_prepared(docs, models)
+    plan = plan_of(met[0])
+    assert "Scan ExistingRDD" in plan and "Generate" not in plan and "Exchange" not in plan
+    assert {r.doc_id: len(r.ids) for r in met[0].collect()} == {1: 4, 2: 4, 3: 4}
